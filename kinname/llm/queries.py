@@ -26,6 +26,31 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(tokens, path).select("doc_id", F.col("n_tokens"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import packing
+
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import common, tokens
+
+    # each run starts with an empty cache, so a run's figures hold the encoding of all its texts
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), f"{common.shared_dir(spark)}/token-counts")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import sharding
+
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], [f"shard-{i:04d}" for i in range(256)])
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import fingerprints
+
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
