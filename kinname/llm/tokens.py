@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 from kinname.llm.common import Memo, arrow_batches, text_or_empty
 
 
+_PLAIN = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
+
+
 class PieceEncoder:
     """The ids of whole texts from a .json file whose tokenizer drops white space.
 
@@ -23,7 +27,7 @@ class PieceEncoder:
     each piece; the memo is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -31,15 +35,27 @@ class PieceEncoder:
         library.no_truncation()
         library.no_padding()
         self.encode_one = library.encode
-        self.ids = Memo(lambda piece: array("I", self.encode_one(piece, add_special_tokens=False).ids).tobytes(), limit)
-        self.sizes = Memo(lambda piece: len(self.encode_one(piece, add_special_tokens=False).ids), limit)
+        # ASCII letters and the marks after them are separate runs to any such tokenizer, which lowers them
+        self.lowers = any(p.get("type") == "Lowercase" for p in json.loads(library.to_str())["normalizer"]["normalizers"])
+        self.word = Memo(self.encode_piece, limit // 2)
+        self.ids = Memo(self.encode_run, limit)
+
+    def encode_piece(self, piece: str) -> bytes:
+        return array("I", self.encode_one(piece, add_special_tokens=False).ids).tobytes()
+
+    def encode_run(self, run: str) -> bytes:
+        plain = _PLAIN.fullmatch(run) if self.lowers else None
+        if not plain:
+            return self.encode_piece(run)
+        ids = self.word[plain[1].lower()]
+        return ids + self.word[plain[2]] if plain[2] else ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" ")))
 
     def count(self, text: str) -> int:
-        return sum(map(self.sizes.__getitem__, text.replace("\n", " ").split(" ")))
+        return len(self.encode(text)) // 4
 
 
 class WholeEncoder:
@@ -74,8 +90,6 @@ def drops_white_space(path: str) -> bool:
     """Whether the file's tokenizer collapses white space to single spaces and then drops it."""
     if not path.endswith(".json"):
         return False
-    import json
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     parts = (spec.get("normalizer") or {}).get("normalizers", [])
