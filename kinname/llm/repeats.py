@@ -107,8 +107,9 @@ def match(group: np.ndarray, node: np.ndarray, order: np.ndarray, left: np.ndarr
     """
     n = len(group)
     before, after, sides = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-    for words in (right, left):
-        by = np.lexsort((order, _rank(words), group))
+    ranks = _rank(right), _rank(left)
+    for near, far in (ranks, ranks[::-1]):
+        by = np.lexsort((order, far, near, group))
         a, b = by[:-1], by[1:]
         l, r = _common(left, a, b), _common(right, a, b)
         linked = (group[a] == group[b]) & (l + r >= PASSAGE)
