@@ -25,9 +25,7 @@ class Memo(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

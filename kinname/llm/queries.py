@@ -64,6 +64,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity_categories()))
+
+
+def toxicity_categories() -> dict:
+    """The categories that the labels have, in the chain's order."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinname.llm import near_duplicates
 
