@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +93,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(point, nodes.node == point.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that connect what a block's links connect, at most one for each row and column."""
+    rows, columns = linked.shape
+    seen_r, seen_c, out = np.zeros(rows, bool), np.zeros(columns, bool), []
+    for start in np.flatnonzero(linked.any(axis=1)):
+        if seen_r[start]:
+            continue
+        seen_r[start] = True
+        stack = [start]
+        while stack:
+            r = stack.pop()
+            for c in np.flatnonzero(linked[r] & ~seen_c):
+                seen_c[c] = True
+                out.append((r, c))
+                fresh = np.flatnonzero(linked[:, c] & ~seen_r)
+                seen_r[fresh] = True
+                out += [(x, c) for x in fresh]
+                stack += fresh.tolist()
+    return out

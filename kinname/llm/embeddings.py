@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import components, cut
+from kinname.llm.common import components, cut, forest
 
 LEAST = 0.93
 #: Cells are fitted on so many vectors of a label at most; all vectors are assigned and compared.
@@ -48,27 +48,6 @@ def block_links(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray
     return (left @ right.T) >= least * np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (row, column) that connect what a block's links connect, at most one for each row and column."""
-    rows, columns = linked.shape
-    seen_r, seen_c, out = np.zeros(rows, bool), np.zeros(columns, bool), []
-    for start in np.flatnonzero(linked.any(axis=1)):
-        if seen_r[start]:
-            continue
-        seen_r[start] = True
-        stack = [start]
-        while stack:
-            r = stack.pop()
-            for c in np.flatnonzero(linked[r] & ~seen_c):
-                seen_c[c] = True
-                out.append((r, c))
-                fresh = np.flatnonzero(linked[:, c] & ~seen_r)
-                seen_r[fresh] = True
-                out += [(x, c) for x in fresh]
-                stack += fresh.tolist()
-    return out
-
-
 def _fit(vectors: DataFrame, label_counts: dict) -> dict:
     """Centres for each label and dimension, from a bounded sample of its distinct vectors."""
     centres = {}
@@ -175,7 +154,7 @@ def near_vectors(table: DataFrame, *, least: float = LEAST, id_col: str = "vec_i
         linked &= ~(g[:, None] & h[None, :])  # two guests meet in a cell of their own
         if lo == hi:
             np.fill_diagonal(linked, False)
-        edges = _forest(linked)
+        edges = forest(linked)
         out_n, out_m = linked @ v, w @ linked
         ends = [(n, out_n)] if lo == hi else [(n, out_n), (m, out_m)]
         frames = [pd.DataFrame({"a": a[c > 0], "b": a[c > 0], "links": c[c > 0]}) for a, c in ends]

@@ -13,16 +13,19 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, components, cut, text_or_empty
+from kinname.llm.common import arrow_batches, components, cut, forest, text_or_empty
 from kinname.llm.shingles import WORDS, mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+#: Documents of one side of a block comparison.
+BLOCK = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,12 +117,59 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return whole.mapInArrow(run, "a long, b long")
 
 
-def _labelled(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """Hits (key, node) of the buckets that still hold several components of ``links``, with the component and the bucket's largest one."""
+def jaccard_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarities of all documents of two blocks, given by their distinct shingles."""
+    sizes = [len(x) for x in (*left, *right)]
+    kinds, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    common = times[column] > 1
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8_192):
+        a, b = np.searchsorted(column, [at, at + 8_192])
+        part = np.zeros((len(sizes), 8_192), dtype=np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        shared += part[: len(left)] @ part[len(left) :].T
+    total = np.array(sizes[: len(left)])[:, None] + np.array(sizes[len(left) :])[None, :]
+    return shared / np.maximum(total - shared, 1)
+
+
+def _across(hits: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) between components of ``links`` whose documents share a bucket; enough of them to join what they join.
+
+    Buckets with several components hang together in pools. A pool is cut into blocks of about BLOCK
+    documents, and each pair of blocks is compared as a whole in one task, from texts, without listing
+    its pairs.
+    """
     found = hits.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    sizes = found.groupBy("key", "component").count()
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("main.component").alias("main"))
-    return found.join(mixed, "key")
+    mixed = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low < high").select("key", "least")
+    open_hits = cut(found.join(mixed, "key"))
+    pools = components(open_hits.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    members = open_hits.select("node", "component").distinct().join(pools.withColumnRenamed("component", "pool"), "node")
+    members = cut(members)
+    sizes = members.groupBy("pool").count().select("pool", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "pool").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("pool", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "text")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sides = [part[part["block"] == b] for b in (part["lo"].iloc[0], part["hi"].iloc[0])]
+        if not all(len(s) for s in sides):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        grams = [[np.unique(shingles(t)) for t in s["text"]] for s in sides]
+        alike = jaccard_blocks(*grams)
+        linked = alike >= least - 1e-6  # the bound itself is settled in integers
+        linked &= sides[0]["component"].to_numpy()[:, None] != sides[1]["component"].to_numpy()[None, :]
+        for i, j in zip(*np.nonzero(linked & (alike < least + 1e-6)), strict=True):
+            shared = len(np.intersect1d(grams[0][i], grams[1][j], assume_unique=True))
+            linked[i, j] = shared >= least * (len(grams[0][i]) + len(grams[1][j]) - shared)
+        edges = forest(linked)
+        a, b = (s["node"].to_numpy() for s in sides)
+        return pd.DataFrame({"a": [a[i] for i, _ in edges], "b": [b[j] for _, j in edges]}).astype("int64")
+
+    return pairs.groupBy("pool", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,11 +177,10 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "d
 
     Rows of equal texts are one node from the start, aggregated before they are shuffled, so copies
     by the million cost one node. Nodes that share a band are candidates. First each is compared with
-    the least node of its buckets; then, in buckets where several components are left, so are chosen
-    members of the components, anew in each of two rounds; at last all pairs of such buckets across
-    components. So every candidate pair is either within one component or compared, while a large
-    group of copies costs a few comparisons a member and its pairs are never listed. The comparison is
-    exact, on whole texts.
+    the least node of its buckets; then, where buckets still hold several components, their nodes are
+    compared in blocks across components. So every candidate pair is either within one component or
+    compared, while a group of copies costs a few comparisons a member, and pairs of a group are never
+    listed. Comparisons are exact, on whole texts.
 
     Texts without words equal only their like. class_id: the least id in the class (null if all are
     null); kept: whether the row is the one row that stays for its class, the least id and of equal
@@ -147,23 +196,9 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "d
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
     texts = cut(text.join(needed.withColumnRenamed("id", "_id"), (text.digest == needed.digest) & text.id.eqNullSafe(F.col("_id"))).groupBy("node").agg(F.first("text").alias("text")))
 
-    tried = cut(hits.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut(similar(tried, texts, similarity))
-    for turn in range(3):
-        open_hits = cut(_labelled(hits.select("key", "node"), links))
-        if open_hits.isEmpty():
-            break
-        if turn < 2:
-            chosen = open_hits.groupBy("key", "main", "component").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-            mains = chosen.where("component = main").select("key", F.col("node").alias("other"))
-            pairs = chosen.where("component != main").join(mains, "key").select("node", "other")
-        else:
-            minor = open_hits.where("component != main").select("key", "node", F.col("component").alias("c"))
-            every = open_hits.select("key", F.col("node").alias("other"), F.col("component").alias("d"), "main")
-            pairs = minor.join(every, "key").where("c != d AND (d = main OR node < other)").select("node", "other")
-        fresh = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = cut(fresh)
-        tried, links = tried.unionByName(fresh), cut(links.unionByName(similar(fresh, texts, similarity)))
+    stars = hits.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut(similar(stars, texts, similarity))
+    links = cut(links.unionByName(_across(hits.select("key", "node"), links, texts, similarity)))
 
     classed = nodes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
     rows = sketched.select("row", "id", "digest").join(classed, "digest")
