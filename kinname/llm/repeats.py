@@ -46,14 +46,16 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, words = [], []
+            runs, times, words = [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = word_hashes(text.split())
-                runs.append(np.unique(minimisers(hashes)[1]).view(np.int64))
+                kinds, count = np.unique(minimisers(hashes)[1], return_counts=True)
+                runs.append(kinds.view(np.int64))
+                times.append(count)
                 words.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(words, pa.int32()), pa.array(runs, pa.list_(pa.int64()))], ["id", "digest", "words", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(words, pa.int32()), pa.array(runs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["id", "digest", "words", "runs", "times"])
 
-    return source.mapInArrow(run, "id long, digest string, words int, runs array<long>").withColumn("row", F.monotonically_increasing_id())
+    return source.mapInArrow(run, "id long, digest string, words int, runs array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
 _SUFFIX = "run long, salt int, salts int, id long, node long, at int, left binary, right binary"
@@ -76,7 +78,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 for p, r in zip(at.tolist(), runs.view(np.int64).tolist(), strict=True):
                     if r in shared:
                         n = shared[r]
-                        for k, v in zip(out, (r, node * 2654435761 % 2**32 % n, n, ident, node, p, words[p : p + BEFORE][::-1].tobytes(), words[p + BEFORE : p + BEFORE + AFTER].tobytes()), strict=True):
+                        for k, v in zip(out, (r, (node * 1_000_003 + p) * 2654435761 % 2**32 % n, n, ident, node, p, words[p : p + BEFORE][::-1].tobytes(), words[p + BEFORE : p + BEFORE + AFTER].tobytes()), strict=True):
                             out[k].append(v)
             kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(out[k.split()[0]], kinds[k.split()[1]]) for k in _SUFFIX.split(", ")], list(out))
@@ -227,10 +229,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     arrow_batches(docs.sparkSession)
     scanned = cut(_anchors(docs, id_col, text_col))
-    keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "runs", "words")
-    nodes = cut(scanned.groupBy("digest").agg(F.min(keyed).alias("of")).select("digest", F.col("of.row").alias("node"), F.col("of.id").alias("id"), F.col("of.runs").alias("runs")))
-    each = nodes.select(F.explode("runs").alias("run"), "node")
-    shared = each.groupBy("run").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("run", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+    keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "runs", "times")
+    nodes = cut(scanned.groupBy("digest").agg(F.min(keyed).alias("of")).select("digest", F.col("of.row").alias("node"), F.col("of.id").alias("id"), F.arrays_zip("of.runs", "of.times").alias("runs")))
+    each = nodes.select("node", F.explode("runs").alias("r")).select("node", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
+    shared = each.groupBy("run").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.sum("times").alias("n")).where("low < high").select("run", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
     wanted = each.join(shared, "run").groupBy("node").agg(F.collect_list(F.struct("run", "salts")).alias("shared"))
     wanted = cut(wanted.join(nodes.select("node", "digest", F.col("id").alias("_id")), "node").select("node", "_id", F.col("digest").alias("_digest"), F.col("shared.run").alias("runs"), F.col("shared.salts").alias("salts")))
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
