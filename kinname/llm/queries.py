@@ -46,6 +46,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"), f"{common.shared_dir(spark)}/token-counts")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinname.llm import secrets
+
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), secrets.train(secrets.made_findings()))
+
+
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinname.llm import embeddings
 
