@@ -37,39 +37,61 @@ def rules() -> tuple[dict[str, tuple[list[str], list[str], list[str]]], dict[str
     return table, fold, max(map(len, table))
 
 
-@lru_cache(200_000)
+class Coder:
+    """Codes of names by a rule table that travels with it; executors need no jar. Remembers recent names."""
+
+    def __init__(self, table: dict, fold: dict, longest: int):
+        self.rules = table, fold, longest
+        self._known = lru_cache(200_000)(self._codes)
+
+    def __reduce__(self):
+        return Coder, self.rules
+
+    def __call__(self, name: str | None) -> list[str] | None:
+        """The distinct codes of a name, in the order of discovery; None if it has no letter with a code."""
+        return self._known(name)
+
+    def _codes(self, name: str | None) -> list[str] | None:
+        table, fold, longest = self.rules
+        letters = "".join(c for c in (fold.get(c, c) for c in (name or "").lower()) if c in table or "a" <= c <= "z")
+        if not letters:
+            return None
+        branches: dict[tuple[str, str], None] = {("", ""): None}  # (digits, last code)
+        at, before = 0, ""
+        while at < len(letters):
+            size = next((k for k in range(min(longest, len(letters) - at), 0, -1) if letters[at : at + k] in table), 0)
+            if not size:
+                at += 1
+                continue
+            follows = letters[at + size : at + size + 1]
+            codes = table[letters[at : at + size]][0 if at == 0 else 1 if follows in _VOWELS and follows else 2]
+            # M and N in a row are both coded though their codes are equal
+            force = {before, letters[at]} == {"m", "n"}
+            fresh: dict[tuple[str, str], None] = {}
+            for digits, last in branches:
+                for code in codes:
+                    grown = digits if last.endswith(code) and last and not force else (digits + code)[:6]
+                    fresh[grown, code] = None
+            branches = fresh
+            before = letters[at]
+            at += size
+        return list(dict.fromkeys(d.ljust(6, "0") for d, _ in branches))
+
+
+@lru_cache(1)
+def coder() -> Coder:
+    return Coder(*rules())
+
+
 def codes_of(name: str | None) -> list[str] | None:
-    """The distinct codes of a name, sorted by discovery; None if it has no letter with a code."""
-    table, fold, longest = rules()
-    letters = "".join(c for c in (fold.get(c, c) for c in (name or "").lower()) if c in table or "a" <= c <= "z")
-    if not letters:
-        return None
-    branches: dict[tuple[str, str], None] = {("", ""): None}  # (digits, last code)
-    at, before = 0, ""
-    while at < len(letters):
-        size = next((k for k in range(min(longest, len(letters) - at), 0, -1) if letters[at : at + k] in table), 0)
-        if not size:
-            at += 1
-            continue
-        follows = letters[at + size : at + size + 1]
-        codes = table[letters[at : at + size]][0 if at == 0 else 1 if follows in _VOWELS and follows else 2]
-        # M and N in a row are both coded though their codes are equal
-        force = {before, letters[at]} == {"m", "n"}
-        fresh: dict[tuple[str, str], None] = {}
-        for digits, last in branches:
-            for code in codes:
-                grown = digits if last.endswith(code) and last and not force else (digits + code)[:6]
-                fresh[grown, code] = None
-        branches = fresh
-        before = letters[at]
-        at += size
-    return list(dict.fromkeys(d.ljust(6, "0") for d, _ in branches))
+    return coder()(name)
 
 
 def codes(name: Column) -> Column:
     """The codes as an array; null for a null name and where nothing can be coded. Vectorised, and memoised as names recur."""
+    code = coder()
 
     def run(names: pd.Series) -> pd.Series:
-        return names.map(codes_of, na_action="ignore")
+        return names.map(code, na_action="ignore")
 
     return F.pandas_udf(run, "array<string>")(name)
