@@ -59,8 +59,22 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def text_or_empty(text: str | Column = "text") -> Column:
+    return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct named doc, so that no name of theirs meets a helper column's."""
+    return df.select(F.struct("*").alias("doc"))
+
+
+def of_doc(name: str) -> Column:
+    return F.col("doc").getField(name)
+
+
+def unboxed(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The boxed columns again, in order; those in ``new`` replaced."""
+    return df.select(*[(new or {}).get(c, of_doc(c)).alias(c) for c in columns])
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, components, cut, forest, text_or_empty
+from kinname.llm.common import arrow_batches, boxed, components, cut, forest, of_doc, text_or_empty, unboxed
 from kinname.llm.shingles import WORDS, mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -216,13 +216,12 @@ def without_near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY,
     """The rows of ``docs``, all columns, that stay: one of each class."""
     found = cut(classes(docs, similarity=similarity, id_col=id_col, text_col=text_col).select("id", "digest", "kept"))
     keys = found.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    keys = keys.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "kept", F.col("n").alias("_n"))
-    gone, repeated = keys.where("NOT kept"), keys.where("kept AND _n > 1")
-    names = docs.columns
-    marked = docs.withColumn("_key", F.md5(text_or_empty(text_col)))
-    same = lambda k: (F.col("_key") == k["_digest"]) & F.col(id_col).cast("long").eqNullSafe(k["_id"])
+    keys = keys.select(F.col("id").alias("key_id"), F.col("digest").alias("key_digest"), "kept", "n")
+    gone, repeated = keys.where("NOT kept"), keys.where("kept AND n > 1")
+    marked = boxed(docs).select("doc", F.md5(text_or_empty(of_doc(text_col))).alias("digest"), of_doc(id_col).cast("long").alias("id"))
+    same = lambda k: (F.col("digest") == k["key_digest"]) & F.col("id").eqNullSafe(k["key_id"])
     kept = marked.join(gone, same(gone), "left_anti")
-    if repeated.isEmpty():
-        return kept.select(names)
-    once = kept.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "_key"])
-    return kept.join(repeated, same(repeated), "left_anti").unionByName(once).select(names)
+    if not repeated.isEmpty():  # of rows equal in id and text one stays
+        once = kept.join(repeated, same(repeated), "left_semi").groupBy("id", "digest").agg(F.first("doc").alias("doc")).select("doc")
+        kept = kept.join(repeated, same(repeated), "left_anti").select("doc").unionByName(once)
+    return unboxed(kept, docs.columns)

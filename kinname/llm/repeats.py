@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, cut, text_or_empty
+from kinname.llm.common import arrow_batches, boxed, cut, of_doc, text_or_empty, unboxed
 from kinname.llm.shingles import run_hashes, word_hashes
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
@@ -278,15 +278,15 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     equal in id and text count as copies of each other like any others.
     """
     found = cut(repeated_passages(docs, id_col=id_col, text_col=text_col).select("id", "digest", "row", "start", "stop", "kept"))
-    gone = found.where("NOT kept").groupBy("id", "digest", "row").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    # equal rows cannot be told apart: of n equal ones, those without a span that covers all stay
-    cutting = gone.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.min_by("_spans", "row").alias("_spans"))
-    text = text_or_empty(text_col)
-    joined = docs.withColumn("_key", F.md5(text)).join(cutting, (F.col("_key") == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    changed = F.col("_spans").isNotNull()
-    out = joined.withColumn("_new", F.when(changed, F.pandas_udf(_without, "string")(text, F.col("_spans"))))
-    out = out.where(~changed | (F.length(F.trim(F.regexp_replace("_new", r"\s+", " "))) > 0))
-    new = {text_col: F.when(changed, F.col("_new")).otherwise(F.col(text_col))}
+    gone = found.where("NOT kept").groupBy("id", "digest", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # equal rows cannot be told apart: of rows equal in id and text all get what the first of them gets
+    cutting = gone.groupBy(F.col("id").alias("key_id"), F.col("digest").alias("key_digest")).agg(F.min_by("spans", "row").alias("spans"))
+    marked = boxed(docs).select("doc", text_or_empty(of_doc(text_col)).alias("text"), of_doc(id_col).cast("long").alias("id"))
+    joined = marked.join(cutting, (F.md5("text") == F.col("key_digest")) & F.col("id").eqNullSafe(F.col("key_id")), "left")
+    changed = F.col("spans").isNotNull()
+    out = joined.withColumn("new", F.when(changed, F.pandas_udf(_without, "string")("text", "spans")))
+    out = out.where(~changed | F.col("new").rlike(r"\S"))
+    new = {text_col: F.when(changed, F.col("new")).otherwise(of_doc(text_col))}
     if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.when(changed, F.length("_new")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new[chars_col] = F.when(changed, F.length("new")).otherwise(of_doc(chars_col)).cast(docs.schema[chars_col].dataType)
+    return unboxed(out, docs.columns, new)

@@ -15,10 +15,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, text_or_empty
+from kinname.llm.common import arrow_batches, boxed, of_doc, text_or_empty, unboxed
 
 #: Labelled findings that the forest is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -232,11 +232,11 @@ def _cleaner(forest: Forest, least: float, mark: str):
 def without_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE, mark: str = "[secret]", text_col: str = "text", path_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs``, all rows and columns, with each secret's characters replaced by ``mark``; chars_col is counted anew where texts change."""
     arrow_batches(docs.sparkSession)
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
-    clean: Column = F.pandas_udf(_cleaner(forest, least, mark), "string")(text_or_empty(text_col), path)
-    out = docs.withColumn("_clean", clean)
-    changed = F.col("_clean") != text_or_empty(text_col)
-    new = {text_col: F.when(changed, F.col("_clean")).otherwise(F.col(text_col))}
+    path = text_or_empty(of_doc(path_col)) if path_col in docs.columns else F.lit("")
+    marked = boxed(docs).withColumn("text", text_or_empty(of_doc(text_col)))
+    out = marked.withColumn("clean", F.pandas_udf(_cleaner(forest, least, mark), "string")("text", path))
+    changed = F.col("clean") != F.col("text")
+    new = {text_col: F.when(changed, F.col("clean")).otherwise(of_doc(text_col))}
     if chars_col and chars_col in docs.columns:
-        new[chars_col] = F.when(changed, F.length("_clean")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new[chars_col] = F.when(changed, F.length("clean")).otherwise(of_doc(chars_col)).cast(docs.schema[chars_col].dataType)
+    return unboxed(out, docs.columns, new)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinname.llm.common import boxed, of_doc
+
 #: The slots of the table: a prime, so that every shard's walk visits every slot.
 SLOTS = 65_537
 
@@ -54,7 +56,8 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], *, slots: i
     repeated rows stay repeated; an empty table stays empty. slot_col and shard_col replace columns of
     the same names.
     """
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"_slot": range(slots), "_shard": lookup_table(shards, slots)}), "_slot int, _shard int")
-    slot = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(slots)).cast("int")
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"at": range(slots), "owner": lookup_table(shards, slots)}), "at int, owner int")
+    marked = boxed(df).withColumn("slot", F.pmod(F.xxhash64(*[of_doc(k) for k in keys]), F.lit(slots)).cast("int"))
     kept = [c for c in df.columns if c not in (slot_col, shard_col)]
-    return df.withColumn("_slot", slot).join(F.broadcast(table), "_slot").select(*kept, F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+    placed = marked.join(F.broadcast(table), F.col("slot") == F.col("at"))
+    return placed.select(*[of_doc(c).alias(c) for c in kept], F.col("slot").alias(slot_col), F.col("owner").alias(shard_col))

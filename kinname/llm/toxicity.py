@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, text_or_empty
+from kinname.llm.common import Memo, arrow_batches, boxed, of_doc, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Labelled rows that the models are fitted on, at most; every document is scored.
@@ -247,4 +247,5 @@ def score_documents(docs: DataFrame, chain: Chain, *, reject: float = REJECT, ca
 def without_toxic(docs: DataFrame, chain: Chain, *, reject: float = REJECT, category: str = "toxic", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the chain does not reject."""
     arrow_batches(docs.sparkSession)
-    return docs.withColumn("_p", scores(chain, text_or_empty(text_col))).where(F.col("_p")[category] < reject).select(docs.columns)
+    judged = boxed(docs).withColumn("p", scores(chain, text_or_empty(of_doc(text_col))))
+    return unboxed(judged.where(F.col("p")[category] < reject), docs.columns)
