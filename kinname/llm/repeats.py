@@ -221,7 +221,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Rows of equal texts are one document from the start, and its copies' whole texts are stretches if
     they have PASSAGE words. Groups of suffixes of one run beyond GROUP are dealt to several tasks; the
     first copies that each task finds then meet, so a passage that a third of all documents hold is
-    dealt out, too, with nothing dropped.
+    dealt out, too, with nothing dropped. What such a group can miss is a chance match of a few words
+    beyond the end of a passage with a document in another task's part.
 
     A null text is the empty text; texts of fewer than PASSAGE words have no stretches; a passage that
     repeats within one document only is left alone; rows that share an id but not a text are different
