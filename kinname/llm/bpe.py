@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinname.llm.common import Memo, arrow_batches, text_or_empty
+from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, text_or_empty
 
 _NEVER = 1 << 60
 #: A space that starts a pretoken whatever stands around: neither neighbour is white space.
@@ -41,7 +41,7 @@ class PairTable:
         self.rank = {a + b: i for i, (a, b) in reversed(list(enumerate(merges)))}
         self.split = {a + b: (a, b) for a, b in reversed(merges)}
         self.merge = {pair: i for i, pair in reversed(list(enumerate(merges)))}
-        self.known = Memo(lambda pair: self.apart(*pair), 400_000)
+        self.known = Memo(lambda pair: self.apart(*pair), 400_000, "bpe")
 
     def apart(self, left: str, right: str, until: int = _NEVER) -> bool:
         """Undoes the later merge of the facing ends, again and again. At no time may the parts that
@@ -82,16 +82,14 @@ class Codec:
         auto.make_automaton()
         self.auto = auto
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.word = Memo(self.encode_word, 150_000)
-        self.first = Memo(self.encode_piece, 20_000)
-        self.later = Memo(self.encode_later, 250_000)
+        self.word = Memo(self.encode_word, 150_000, "bpe")
+        self.first = Memo(self.encode_piece, 20_000, "bpe")
+        self.later = Memo(self.encode_later, 250_000, "bpe")
         self._table(vocab)
 
     def _table(self, vocab: dict[str, int]) -> None:
         """The bytes of all tokens in one array; token i lies at offset[i], size[i] bytes long."""
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values of byte-level vocabularies
-        others = [b for b in range(256) if b not in set(printable)]
-        byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        byte = {sign: b for b, sign in byte_alphabet().items()}
         top = max([*vocab.values(), *self.special.values()]) + 1
         texts = [b""] * top
         for token, i in [*vocab.items(), *self.special.items()]:
@@ -184,6 +182,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     kind = source.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         code = codec(path)
         for batch in batches:
             found = [code.encode(x) for x in batch.column("text").to_pylist()]

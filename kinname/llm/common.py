@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,20 +19,51 @@ class Memo(dict):
     """A memo of ``make(key)`` in two generations that holds at most ``2 * limit`` entries.
 
     When the young generation is full it becomes the old one; what is used again moves back. So
-    frequent keys stay and memory is bounded, whatever the number of distinct keys.
+    frequent keys stay and memory is bounded, whatever the number of distinct keys. A Python worker
+    serves many stages: ``claim`` empties the memos of the operators that ran in it before.
     """
 
-    def __init__(self, make, limit: int = 300_000):
+    _all: weakref.WeakSet = weakref.WeakSet()
+
+    def __init__(self, make, limit: int, group: str = ""):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.group, self.old = make, limit, group, {}
+        Memo._all.add(self)
+
+    def __hash__(self):
+        return id(self)
+
+    def __eq__(self, other):
+        return self is other
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def knows(self, key) -> bool:
+        return key in self or key in self.old
+
+
+def claim(group: str) -> None:
+    """Empties the memos of other groups in this process."""
+    for memo in list(Memo._all):
+        if memo.group != group:
+            memo.clear()
+            memo.old = {}
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The sign of each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values of that format
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, components, cut, forest, of_doc, text_or_empty, unboxed
+from kinname.llm.common import arrow_batches, boxed, claim, components, cut, forest, of_doc, text_or_empty, unboxed
 from kinname.llm.shingles import WORDS, mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -77,6 +77,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
             found = [shingles(x) for x in batch.column("text").to_pylist()]
             some = [i for i, x in enumerate(found) if len(x)]

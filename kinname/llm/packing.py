@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kinname.llm.common import arrow_batches, cut, text_or_empty
+from kinname.llm.common import arrow_batches, claim, cut, text_or_empty
 from kinname.llm.tokens import encoder
 
 #: A bin's content as (length, how many of it), longest first.
@@ -131,11 +131,12 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int =
     end, step = separator.to_bytes(4, "little"), capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        claim("tokens")
+        encode = encoder(path).encode_batch
         for batch in batches:
             row, number, start, length, crc, parts = [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode(batch.column("text").to_pylist())):
+                ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
                     row.append(i)

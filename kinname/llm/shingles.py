@@ -8,7 +8,7 @@ import xxhash
 from kinname.llm.common import Memo
 
 WORDS = 5
-_word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 200_000)
+_word = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 100_000, "shingles")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

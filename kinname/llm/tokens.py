@@ -13,21 +13,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, text_or_empty
+from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, text_or_empty
 
 
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
+#: Letters that lower to one letter each, and ASCII marks but the apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class PieceEncoder:
     """The ids of whole texts from a .json file whose tokenizer drops white space.
 
     Such a tokenizer treats every run between white space by itself, so a text's ids are those of
-    its pieces between spaces and line ends, in order, and most pieces recur. The library encodes
-    each piece; the memo is bounded.
+    its runs between spaces and line ends, in order, and most runs recur. The library encodes each
+    run; runs of plain letters and marks by their words.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,24 +36,37 @@ class PieceEncoder:
         library.no_truncation()
         library.no_padding()
         self.encode_one = library.encode
-        # ASCII letters and the marks after them are separate runs to any such tokenizer, which lowers them
-        self.lowers = any(p.get("type") == "Lowercase" for p in json.loads(library.to_str())["normalizer"]["normalizers"])
-        self.word = Memo(self.encode_piece, limit // 2)
-        self.ids = Memo(self.encode_run, limit)
-
-    def encode_piece(self, piece: str) -> bytes:
-        return array("I", self.encode_one(piece, add_special_tokens=False).ids).tobytes()
+        spec = json.loads(library.to_str())
+        # plain letters and the marks after them are separate runs to any such tokenizer, which lowers them
+        self.lowers = any(p.get("type") == "Lowercase" for p in spec["normalizer"]["normalizers"])
+        self.merge = library.model.tokenize
+        self.signs = byte_alphabet()
+        self.word = Memo(self.encode_word, limit // 2, "tokens")
+        self.marks = Memo(self.encode_run, 1_000, "tokens")
+        self.ids = Memo(self.encode_piece, limit, "tokens")
 
     def encode_run(self, run: str) -> bytes:
+        return array("I", self.encode_one(run, add_special_tokens=False).ids).tobytes()
+
+    def encode_piece(self, run: str) -> bytes:
         plain = _PLAIN.fullmatch(run) if self.lowers else None
         if not plain:
-            return self.encode_piece(run)
+            return self.encode_run(run)
         ids = self.word[plain[1].lower()]
-        return ids + self.word[plain[2]] if plain[2] else ids
+        return ids + self.marks[plain[2]] if plain[2] else ids
+
+    def encode_word(self, word: str) -> bytes:
+        """One lowered word of plain letters, which is one pretoken: the library's model alone tells its ids."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.merge(signs)]).tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids = self.ids
+        return [b"".join([ids[run] for run in text.replace("\n", " ").split(" ")]) for text in texts]
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_batch([text])[0]
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) // 4
@@ -79,6 +93,9 @@ class WholeEncoder:
     def encode(self, text: str) -> bytes:
         return array("I", self.ids_of(text)).tobytes()
 
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
     def count(self, text: str) -> int:
         return len(self.ids_of(text))
 
@@ -151,9 +168,10 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 2048, i
     misses = whole.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path).count
+        claim("tokens")
+        encode = encoder(path).encode_batch
         for batch in batches:
-            n = pa.array([count(x) for x in batch.column("text").to_pylist()], pa.int64())
+            n = pa.array([len(x) // 4 for x in encode(batch.column("text").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n)), batch.column("content"), n], ["tokenizer", "content", "n_tokens"])
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)

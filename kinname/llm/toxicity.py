@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, boxed, of_doc, text_or_empty, unboxed
+from kinname.llm.common import Memo, arrow_batches, boxed, claim, of_doc, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Labelled rows that the models are fitted on, at most; every document is scored.
@@ -100,7 +100,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.ndarray, y: np.ndarray, vote: np.ndarray, ridge: float = 0.2, steps: int = 25) -> np.ndarray:
+def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.ndarray, y: np.ndarray, vote: np.ndarray, ridge: float = 0.2, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps with conjugate gradients; weights of words, dense columns and the constant."""
     rows, d = len(y), n_words + dense.shape[1] + 1
     penalty = np.full(d, ridge)
@@ -123,7 +123,7 @@ def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.nd
     for _ in range(steps):
         p = _sigmoid(forward(w))
         gradient = back(vote * (p - y)) + penalty * w
-        if np.abs(gradient).max() < 1e-4:
+        if np.abs(gradient).max() < 1e-2:
             break
         curve = vote * p * (1 - p)
         step, residual = np.zeros(d), -gradient
@@ -134,7 +134,7 @@ def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.nd
             step += size * direction
             residual -= size * turned
             fresh = float(residual @ residual)
-            if fresh < 1e-8 * max(1.0, float(gradient @ gradient)):
+            if fresh < 1e-3 * float(gradient @ gradient):  # a rough step does, the next ones correct it
                 break
             direction, norm = residual + fresh / norm * direction, fresh
         # a full step can overshoot where the classes are all but separate
@@ -145,42 +145,45 @@ def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.nd
     return w
 
 
-def fit_chain(rows: Sequence[Sequence[str]], labels: np.ndarray, groups: np.ndarray, categories: Sequence[str], *, ridge: float = 0.2) -> Chain:
+def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, categories: Sequence[str], *, ridge: float = 0.2) -> Chain:
     """A chain from each row's features, its labels (0, 1; a column a category) and its group of near copies."""
-    vote = 1 / np.unique(groups, return_counts=True)[1][np.unique(groups, return_inverse=True)[1]] if len(groups) else np.zeros(0)
-    names: dict[str, int] = {}
-    flat = np.array([names.setdefault(w, len(names)) for r in rows for w in r], dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    n = len(rows)
+    coded = rows.flatten().dictionary_encode()
+    texts, flat = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(n), np.diff(rows.offsets.to_numpy()))
+    kind = np.unique(groups, return_inverse=True, return_counts=True)
+    vote = 1 / kind[2][kind[1]] if n else np.zeros(0)
     found: set[int] = set()
     for j in range(len(categories)):
         y = labels[:, j]
         total_1, total_0 = (vote * y).sum(), (vote * (1 - y)).sum()
         if not total_1 or not total_0:
             continue
-        n1 = np.bincount(flat, weights=(vote * y)[owner], minlength=len(names))
-        n0 = np.bincount(flat, weights=(vote * (1 - y))[owner], minlength=len(names))
+        n1 = np.bincount(flat, weights=(vote * y)[owner], minlength=len(texts))
+        n0 = np.bincount(flat, weights=(vote * (1 - y))[owner], minlength=len(texts))
         share = (n1 + n0) / (total_1 + total_0)
         z = (n1 / total_1 - n0 / total_0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total_1 + 1 / total_0))
         best = np.argsort(-np.abs(z), kind="stable")[: MOST_WORDS // len(categories)]
         found.update(best[np.abs(z[best]) >= LEAST_Z].tolist())
     chosen = sorted(found)
-    number = np.full(len(names), -1)
+    number = np.full(len(texts), -1)
     number[chosen] = np.arange(len(chosen))
-    keep = number[flat] >= 0 if len(flat) else np.zeros(0, bool)
-    owner, word = owner[keep], number[flat[keep]] if len(flat) else flat
-    texts = list(names)
-    chain = Chain(list(categories), {texts[i]: n for n, i in enumerate(chosen)})
+    keep = number[flat] >= 0
+    owner, word = owner[keep], number[flat[keep]]
+    chain = Chain(list(categories), {texts[i].as_py(): k for k, i in enumerate(chosen)})
     fold = (mix(groups.astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    earlier = np.zeros((len(rows), 0))
+    earlier = np.zeros((n, 0))
     for j in range(len(categories)):
         y = labels[:, j].astype(float)
         chain.weights.append(fit_logistic(owner, word, len(chosen), earlier, y, vote, ridge))
-        held = np.zeros(len(rows))
+        if j + 1 == len(categories):
+            break
+        held = np.zeros(n)
         for f in range(FOLDS):
             out = fold == f
             if out.any():
                 w = fit_logistic(owner, word, len(chosen), earlier, y, np.where(out, 0.0, vote), ridge)
-                score = np.bincount(owner, weights=w[word], minlength=len(rows)) + earlier @ w[len(chosen) : -1] + w[-1]
+                score = np.bincount(owner, weights=w[word], minlength=n) + earlier @ w[len(chosen) : -1] + w[-1]
                 held[out] = score[out]
         earlier = np.column_stack([earlier, np.clip(held, -8, 8)])
     return chain
@@ -200,24 +203,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     source = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     arrow_batches(docs.sparkSession)
 
+    names_y = [f"_y{i}" for i in range(len(names))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = Memo(plain, 200_000)
+        claim("shingles")
+        word = Memo(plain, 50_000, "shingles")
         for batch in batches:
-            words, times, groups = [], [], []
+            found, groups = [], []
             for text in batch.column("_text").to_pylist():
                 count = Counter(map(word.__getitem__, text.split()))
-                words.append(list(count))
-                times.append(list(count.values()))
+                found.append(features(list(count), list(count.values())))
                 hashes = shingles(text)
                 groups.append(int(hashes.min()) >> 1 if len(hashes) else 0)  # near copies mostly share their least shingle
-            kept = [batch.column(f"_y{i}") for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *kept, pa.array(groups, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["_id", *[f"_y{i}" for i in range(len(names))], "_group", "_words", "_times"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *[batch.column(y) for y in names_y], pa.array(groups, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["_id", *names_y, "_group", "_found"])
 
-    schema = "_id long, " + ", ".join(f"_y{i} int" for i in range(len(names))) + ", _group long, _words array<string>, _times array<int>"
+    schema = "_id long, " + ", ".join(f"{y} int" for y in names_y) + ", _group long, _found array<string>"
     table = source.mapInArrow(run, schema).toArrow()
-    table = table.slice(0, min(table.num_rows, 2 * rows)).sort_by([("_id", "ascending"), ("_group", "ascending")])
-    y = np.column_stack([table[f"_y{i}"].to_numpy() for i in range(len(names))]) if table.num_rows else np.zeros((0, len(names)))
-    return fit_chain([features(w, c) for w, c in zip(table["_words"].to_pylist(), table["_times"].to_pylist(), strict=True)], y, table["_group"].to_numpy().astype(np.int64), names)
+    table = table.sort_by([("_id", "ascending"), ("_group", "ascending")]).slice(0, 2 * rows).combine_chunks()
+    y = np.column_stack([table[k].to_numpy() for k in names_y])
+    found = table["_found"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.string()))
+    return fit_chain(found, y, table["_group"].to_numpy().astype(np.int64), names)
 
 
 def scores(chain: Chain, text: Column) -> Column:
@@ -226,7 +231,8 @@ def scores(chain: Chain, text: Column) -> Column:
 
     def run(texts: pd.Series) -> pd.DataFrame:
         # the memo lives as long as the worker's copy of the function
-        known = run.__dict__.setdefault("known", Memo(chain.known, 300_000))
+        claim("toxicity")
+        known = run.__dict__.setdefault("known", Memo(chain.known, 100_000, "toxicity"))
         return pd.DataFrame(_sigmoid(chain.logits([chain.numbers(t, known.__getitem__) for t in texts])), columns=names)
 
     return F.pandas_udf(run, ", ".join(f"`{n}` double" for n in names))(text)
