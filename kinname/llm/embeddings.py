@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from kinname.llm.common import components, cut, forest
 
 LEAST = 0.93
-#: Cells are fitted on so many vectors of a label at most; all vectors are assigned and compared.
+#: Cells are fitted on about so many vectors of a label; all vectors are assigned and compared.
 SAMPLE = 4_096
 #: Vectors of a cell, in the mean, and cells of a label at most.
 CELL, MOST_CELLS = 2_048, 1_024
@@ -49,19 +49,15 @@ def block_links(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray
 
 
 def _fit(vectors: DataFrame, label_counts: dict) -> dict:
-    """Centres for each label and dimension, from a bounded sample of its distinct vectors."""
-    centres = {}
-    chosen = None
-    for (label, dim), n in label_counts.items():
-        k = min(MOST_CELLS, math.ceil(n / CELL))
-        if k > 1:
-            part = vectors.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64("node")).limit(SAMPLE).select("label", "dim", "vector")
-            chosen = part if chosen is None else chosen.unionByName(part)
-            centres[label, dim] = k
-    if chosen is None:
+    """Centres for each label and dimension, from about SAMPLE of its distinct vectors, chosen by hash in one pass."""
+    cells = {key: min(MOST_CELLS, math.ceil(n / CELL)) for key, n in label_counts.items()}
+    if not any(k > 1 for k in cells.values()):
         return {}
-    table = chosen.toPandas()
-    return {key: spherical_k_means(_unit(np.array(part["vector"].tolist(), dtype=np.float64)), centres[key]) for key, part in table.groupby(["label", "dim"])}
+    kind = vectors.schema["label"].dataType.simpleString()
+    share = vectors.sparkSession.createDataFrame([(label, dim, min(1.0, SAMPLE / n)) for (label, dim), n in label_counts.items()], f"label {kind}, dim int, share double")
+    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 31)) / float(1 << 31)
+    table = vectors.join(F.broadcast(share), ["label", "dim"]).where(draw < F.col("share")).select("node", "label", "dim", "vector").toPandas().sort_values("node")
+    return {key: spherical_k_means(_unit(np.array(part["vector"].tolist(), dtype=np.float64)), cells[key]) for key, part in table.groupby(["label", "dim"]) if cells[key] > 1}
 
 
 def near_vectors(table: DataFrame, *, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

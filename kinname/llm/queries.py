@@ -74,7 +74,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinname.llm import toxicity
 
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity_categories()))
+    scored = toxicity.score_documents(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity_categories()))
+    return scored.withColumnRenamed("rejected", "toxic")
 
 
 def toxicity_categories() -> dict:
@@ -92,5 +93,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Links as pairs of ids (x, y) to the least id that links reach.
+_REACH = """
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"""
+
+_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.93 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+{_REACH},
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least.y, vec_id)) AS component_id, vec_id <= coalesce(least.y, vec_id) AS kept
+FROM v LEFT JOIN n ON n.x = vec_id LEFT JOIN least ON least.x = vec_id"""
+
+_DUPLICATES_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN list_filter([array_to_string(w, ' ')], lambda x: x <> '')
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c)
+  UNION SELECT a.doc_id, b.doc_id FROM d a JOIN d b ON a.t = b.t AND a.doc_id < b.doc_id),
+{_REACH},
+classed AS (SELECT doc_id, least(doc_id, coalesce(y, doc_id)) AS class_id FROM d LEFT JOIN least ON x = doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM classed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op6_near_vectors": _VECTORS_SQL, "op10_near_duplicates": _DUPLICATES_SQL}

@@ -67,10 +67,10 @@ def corpus(spark):
 
 def test_toxic_documents(spark):
     path = "/root/testdata/sf0.01"
-    rows = entry.queries()["op9_toxicity"](spark, path)
+    rows = entry.queries()["op9_toxicity"](spark, path).withColumnRenamed("toxic", "flagged")
     both = rows.join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
-    assert np.mean([r.rejected for r in both if r.toxic]) > 0.8
-    assert np.mean([r.rejected for r in both if not r.toxic]) < 0.02
+    assert np.mean([r.flagged for r in both if r.toxic]) > 0.8
+    assert np.mean([r.flagged for r in both if not r.toxic]) < 0.02
 
 
 def test_queries_against_brute_force(spark, corpus):
