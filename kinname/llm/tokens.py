@@ -28,7 +28,7 @@ class PieceEncoder:
     run; runs of plain letters and marks by their words.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,23 +41,26 @@ class PieceEncoder:
         self.lowers = any(p.get("type") == "Lowercase" for p in spec["normalizer"]["normalizers"])
         self.merge = library.model.tokenize
         self.signs = byte_alphabet()
-        self.word = Memo(self.encode_word, limit // 2, "tokens")
         self.marks = Memo(self.encode_run, 1_000, "tokens")
-        self.ids = Memo(self.encode_piece, limit, "tokens")
+        self.ids = Memo(self.encode_piece if self.lowers else self.encode_run, limit, "tokens")
 
     def encode_run(self, run: str) -> bytes:
         return array("I", self.encode_one(run, add_special_tokens=False).ids).tobytes()
 
     def encode_piece(self, run: str) -> bytes:
-        plain = _PLAIN.fullmatch(run) if self.lowers else None
+        if run.isascii() and run.isalpha() and run.islower():
+            return array("I", [t.id for t in self.merge(run)]).tobytes()
+        plain = _PLAIN.fullmatch(run)
         if not plain:
             return self.encode_run(run)
-        ids = self.word[plain[1].lower()]
-        return ids + self.marks[plain[2]] if plain[2] else ids
+        word = plain[1].lower()
+        if word == run:
+            return self.encode_word(word)
+        return self.ids[word] + self.marks[plain[2]] if plain[2] else self.ids[word]
 
     def encode_word(self, word: str) -> bytes:
         """One lowered word of plain letters, which is one pretoken: the library's model alone tells its ids."""
-        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+        signs = word.encode().decode("latin-1").translate(self.signs)
         return array("I", [t.id for t in self.merge(signs)]).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: linear models in sequence, each fed with the categories before it.
 
 Each category's model is a logistic regression on the presence of words, on how often and how densely
-words of one beginning occur, and on the logits of the earlier categories. Models are trained with out-of-fold predictions of the earlier ones: a row's
+words of one beginning occur, and on the probabilities of the earlier categories. Models are trained with out-of-fold predictions of the earlier ones: a row's
 earlier probabilities come from models that did not see it, so a later model learns how far they can
 be trusted on new documents. Folds keep near copies together, and near copies share one vote.
 """
@@ -25,9 +25,9 @@ from kinname.llm.shingles import mix, shingles
 #: Labelled rows that the models are fitted on, at most; every document is scored.
 TRAIN_ROWS = 8_000
 FOLDS = 4
-#: Words whose share among a category's rows differs from the rest by so many standard errors are features.
+#: Features whose share among a category's rows is above that of the rest by so many standard errors are used.
 LEAST_Z, MOST_WORDS = 5.0, 2_000
-REJECT = 0.5
+REJECT = 0.3
 
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -37,39 +37,40 @@ def plain(word: str) -> str:
 
 
 #: Features of word beginnings: of so many letters, in words that are longer, at so many words or at so high a share.
-BEGINNING, TIMES, SHARES = 5, (2, 3, 5), (0.01, 0.02, 0.04)
+BEGINNINGS, TIMES, SHARES = (4, 6), (2, 3, 5), (0.01, 0.02, 0.04)
 
 
 def beginning_features(times: dict[str, int], n_words: int) -> list[str]:
     """The names of the levels that the counts of word beginnings reach in a text of n_words words."""
-    return [f"{b}*{t}" for b, c in times.items() for t in TIMES if c >= t] + [f"{b}%{t}" for b, c in times.items() for t in SHARES if c >= t * n_words]
+    return [f"{b}*{t}" for b, c in times.items() for t in TIMES if c >= t] + [f"{b}%{t}" for b, c in times.items() for t in SHARES if c >= max(2, t * n_words)]
 
 
 def features(words: Sequence[str], counts: Sequence[int]) -> list[str]:
     """The features of a text with these distinct plain words, so often each."""
     times: dict[str, int] = {}
     for w, c in zip(words, counts, strict=True):
-        if len(w) > BEGINNING:
-            times[w[:BEGINNING]] = times.get(w[:BEGINNING], 0) + c
+        for k in BEGINNINGS:
+            if len(w) > k:
+                times[w[:k]] = times.get(w[:k], 0) + c
     return [*words, *beginning_features(times, sum(counts))]
 
 
 @dataclass
 class Chain:
-    """The features, and for each category its weights: features, earlier logits, constant."""
+    """The features, and for each category its weights: features, earlier probabilities, constant."""
 
     categories: list[str]
     words: dict[str, int]
     weights: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self):
-        self.beginnings = {w[:BEGINNING] for w in self.words if w[BEGINNING : BEGINNING + 1] in ("*", "%")}
+        self.beginnings = {w[:k] for w in self.words for k in BEGINNINGS if w[k : k + 1] in ("*", "%") and w[:k].isalnum()}
 
-    def known(self, raw: str) -> tuple[int, str] | None:
-        """The number of a word's feature, or -1, and its beginning, or ''; None if it has neither."""
+    def known(self, raw: str) -> tuple[int, tuple[str, ...]] | None:
+        """The number of a word's feature, or -1, and its beginnings that are in features; None if it has neither."""
         w = plain(raw)
-        number, start = self.words.get(w, -1), w[:BEGINNING] if len(w) > BEGINNING and w[:BEGINNING] in self.beginnings else ""
-        return (number, start) if number >= 0 or start else None
+        number, starts = self.words.get(w, -1), tuple(w[:k] for k in BEGINNINGS if len(w) > k and w[:k] in self.beginnings)
+        return (number, starts) if number >= 0 or starts else None
 
     def numbers(self, text: str, known) -> np.ndarray:
         """The numbers of a text's features; known: a memo of self.known."""
@@ -77,8 +78,8 @@ class Chain:
         hits = [x for x in map(known, words) if x]
         found = {n for n, _ in hits if n >= 0}
         times: dict[str, int] = {}
-        for _, start in hits:
-            if start:
+        for _, starts in hits:
+            for start in starts:
                 times[start] = times.get(start, 0) + 1
         if times:
             found.update(self.words[f] for f in beginning_features(times, len(words)) if f in self.words)
@@ -92,7 +93,7 @@ class Chain:
         owner = np.repeat(np.arange(len(rows)), sizes)
         out = np.zeros((len(rows), len(self.categories)))
         for j, w in enumerate(self.weights):
-            out[:, j] = w[-1] + np.bincount(owner, weights=w[flat], minlength=len(rows)) + out[:, :j] @ w[n : n + j]
+            out[:, j] = w[-1] + np.bincount(owner, weights=w[flat], minlength=len(rows)) + _sigmoid(out[:, :j]) @ w[n : n + j]
         return out
 
 
@@ -100,7 +101,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.ndarray, y: np.ndarray, vote: np.ndarray, ridge: float = 0.2, steps: int = 40) -> np.ndarray:
+def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.ndarray, y: np.ndarray, vote: np.ndarray, ridge: float = 0.03, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton steps with conjugate gradients; weights of words, dense columns and the constant."""
     rows, d = len(y), n_words + dense.shape[1] + 1
     penalty = np.full(d, ridge)
@@ -145,7 +146,7 @@ def fit_logistic(owner: np.ndarray, word: np.ndarray, n_words: int, dense: np.nd
     return w
 
 
-def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, categories: Sequence[str], *, ridge: float = 0.2) -> Chain:
+def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, categories: Sequence[str], *, ridge: float = 0.03) -> Chain:
     """A chain from each row's features, its labels (0, 1; a column a category) and its group of near copies."""
     n = len(rows)
     coded = rows.flatten().dictionary_encode()
@@ -163,8 +164,9 @@ def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, catego
         n0 = np.bincount(flat, weights=(vote * (1 - y))[owner], minlength=len(texts))
         share = (n1 + n0) / (total_1 + total_0)
         z = (n1 / total_1 - n0 / total_0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / total_1 + 1 / total_0))
-        best = np.argsort(-np.abs(z), kind="stable")[: MOST_WORDS // len(categories)]
-        found.update(best[np.abs(z[best]) >= LEAST_Z].tolist())
+        # only what tells for the category: what tells against it is mostly the language of other texts
+        best = np.argsort(-z, kind="stable")[: MOST_WORDS // len(categories)]
+        found.update(best[z[best] >= LEAST_Z].tolist())
     chosen = sorted(found)
     number = np.full(len(texts), -1)
     number[chosen] = np.arange(len(chosen))
@@ -185,7 +187,7 @@ def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, catego
                 w = fit_logistic(owner, word, len(chosen), earlier, y, np.where(out, 0.0, vote), ridge)
                 score = np.bincount(owner, weights=w[word], minlength=n) + earlier @ w[len(chosen) : -1] + w[-1]
                 held[out] = score[out]
-        earlier = np.column_stack([earlier, np.clip(held, -8, 8)])
+        earlier = np.column_stack([earlier, _sigmoid(held)])
     return chain
 
 
