@@ -78,6 +78,11 @@ def full_name(first: Column, middle: Column, last: Column) -> Column:
     return F.concat_ws(" ", first, F.nullif(middle, F.lit("")), last)
 
 
+def with_thousands(number: Column) -> Column:
+    """A whole number with commas between its thousands."""
+    return F.format_number(number, 0)
+
+
 def without_double(name: Column) -> Column:
     """A name without one of its first pair of equal neighbours; its Soundex code stays."""
     return F.regexp_replace(name, r"^(.*?)(.)\2", "$1$2")

@@ -326,10 +326,10 @@ def parsed_dates(spark, sf_dir):
     return _records(spark, sf_dir).select("id", N.parsed_date(F.date_format("date_of_birth", "yyyy-M-d")).alias("parsed"))
 
 
-@_query(_with(query=" SELECT id, CAST(length(first_name) AS INTEGER) AS n, substr(first_name, 1, CAST(greatest(2, length(first_name) - 1) AS INTEGER)) AS prefix_example, substr(last_name, 1, CAST(greatest(1, length(last_name) - 1) AS INTEGER)) AS edit_example, strftime(date_of_birth, '%Y-%m-%d') AS day FROM court_record"))
+@_query(_with(query=" SELECT id, CAST(length(first_name) AS INTEGER) AS n, substr(first_name, 1, CAST(greatest(2, length(first_name) - 1) AS INTEGER)) AS prefix_example, substr(last_name, 1, CAST(greatest(1, length(last_name) - 1) AS INTEGER)) AS edit_example, strftime(date_of_birth, '%Y-%m-%d') AS day, format('{:,}', id) AS shown FROM court_record"))
 def text_functions(spark, sf_dir):
     shorter = lambda c, k: F.substr(F.col(c), F.lit(1), F.greatest(F.lit(k), F.length(c) - 1))
-    return _records(spark, sf_dir).select("id", F.length("first_name").alias("n"), shorter("first_name", 2).alias("prefix_example"), shorter("last_name", 1).alias("edit_example"), F.date_format("date_of_birth", "yyyy-MM-dd").alias("day"))
+    return _records(spark, sf_dir).select("id", F.length("first_name").alias("n"), shorter("first_name", 2).alias("prefix_example"), shorter("last_name", 1).alias("edit_example"), F.date_format("date_of_birth", "yyyy-MM-dd").alias("day"), N.with_thousands(F.col("id")).alias("shown"))
 
 
 @_query()
