@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, text_or_empty
+from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, spread, text_or_empty
 
 _NEVER = 1 << 60
 #: A space that starts a pretoken whatever stands around: neither neighbour is white space.
@@ -178,7 +178,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     left out, whatever their names.
     """
     arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     kind = source.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,8 +81,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        base = spark.sparkContext.getConf().get("spark.kinname.tests.dir", "") or tempfile.gettempdir()
-        base = os.path.join(base, "kinname-shared")
+        base = os.path.join(tempfile.gettempdir(), "kinname-shared")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -99,6 +98,12 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if it has fewer partitions than there are cores: a small table in one file. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
 

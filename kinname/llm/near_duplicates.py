@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, claim, components, cut, forest, of_doc, text_or_empty, unboxed
+from kinname.llm.common import arrow_batches, boxed, claim, components, cut, forest, of_doc, spread, text_or_empty, unboxed
 from kinname.llm.shingles import WORDS, mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -74,7 +74,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, digest, keys): the band keys of each row's whole text; a text without words has none."""
     arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")

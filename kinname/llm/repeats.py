@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, claim, cut, of_doc, text_or_empty, unboxed
+from kinname.llm.common import arrow_batches, boxed, claim, cut, of_doc, spread, text_or_empty, unboxed
 from kinname.llm.shingles import run_hashes, word_hashes
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
@@ -42,7 +42,7 @@ def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, of_doc, text_or_empty, unboxed
+from kinname.llm.common import arrow_batches, boxed, of_doc, spread, text_or_empty, unboxed
 
 #: Labelled findings that the forest is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -203,7 +203,7 @@ def find_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE,
 
     arrow_batches(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), path.alias("path"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), path.alias("path")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

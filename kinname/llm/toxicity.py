@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, boxed, claim, of_doc, text_or_empty, unboxed
+from kinname.llm.common import Memo, arrow_batches, boxed, claim, of_doc, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Labelled rows that the models are fitted on, at most; every document is scored.
@@ -248,7 +248,8 @@ def score_documents(docs: DataFrame, chain: Chain, *, reject: float = REJECT, ca
     narrow pass with no shuffle.
     """
     arrow_batches(docs.sparkSession)
-    got = docs.select(F.col(id_col).alias("_id"), scores(chain, text_or_empty(text_col)).alias("_p"))
+    source = spread(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")))
+    got = source.select("_id", scores(chain, F.col("_text")).alias("_p"))
     return got.select(F.col("_id").alias(id_col), *[F.col("_p")[c].alias(f"p_{c}") for c in chain.categories], (F.col("_p")[category] >= reject).alias("rejected"))
 
 
