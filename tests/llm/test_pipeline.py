@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, namedtuple
 
 import numpy as np
 import pytest
@@ -18,6 +18,7 @@ from tests.llm.test_packing import packs
 from tests.llm.test_small_operators import check_prints, plain_links
 
 DATA = "/root/testdata/sf0.001"
+Span = namedtuple("Span", "id start stop")
 
 
 def labelled(seed, n=1_500):
@@ -89,12 +90,10 @@ def test_queries_against_brute_force(spark, corpus):
     for r in packed:
         total[r.doc_id] += r.length
     assert total == {i: c + 1 for i, c in counts.items()}
-    found = [r for r in run("op3")]
-    spans = [type("S", (), {"id": r.doc_id, "start": r.start_word, "stop": r.stop_word}) for r in found if not (r.start_word == 0 and r.stop_word == len(texts[r.doc_id].split()))]
-    want = repeated_words(texts.values())
-    got = covered([*spans, *[type("S", (), {"id": r.doc_id, "start": r.start_word, "stop": r.stop_word}) for r in found if want[texts[r.doc_id]].any()]], list(texts.items()))
     firsts = {t: i for i, t in reversed(list(texts.items()))}
-    assert all((covered_ == want[t]).all() for t, covered_ in covered([s for s in [type("S", (), {"id": r.doc_id, "start": r.start_word, "stop": r.stop_word}) for r in found] if firsts[texts[s.id]] == s.id and want[texts[s.id]].any()], [(i, t) for t, i in firsts.items()]).items()) and got
+    want = repeated_words(texts.values())
+    spans = [Span(r.doc_id, r.start_word, r.stop_word) for r in run("op3") if firsts[texts[r.doc_id]] == r.doc_id and want[texts[r.doc_id]].any()]
+    assert all((got == want[t]).all() for t, got in covered(spans, [(i, t) for t, i in firsts.items()]).items())
     check_prints(run("op8"), [(i, t) for i, t in texts.items()])
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in run("op10")) == brute_classes(list(texts.items()))
     vectors = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
