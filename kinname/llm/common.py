@@ -132,23 +132,23 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     its links; only links travel, never texts, and nothing comes to the driver but one count.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    # u > v always: u points at v; a node alone keeps itself
-    point = both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
-    point = cut(point.where("u > v"))
+    # u > v always: u points at v; a node alone keeps itself
+    point = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    was = None
     for _ in range(max_rounds):
         # large star: every neighbour above a node points at the least of its neighbours and itself
-        near = point.select(F.col("u").alias("n"), F.col("v").alias("o")).union(point.select("v", "u"))
+        near = point.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")).select("e.n", "e.o")
         least = near.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = near.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v")).distinct()
+        large = near.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v"))
         # small star: every neighbour below a node, and the node, point at the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        new = cut(small)
-        moved = new.join(point, ["u", "v"], "left_anti").limit(1).count() + point.join(new, ["u", "v"], "left_anti").limit(1).count()
-        point = new
-        if not moved:
+        point = cut(small)
+        now = point.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()  # equal sets of links give equal sums
+        if now == was or not now[0]:
             break
+        was = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(point, nodes.node == point.u, "left").select("node", F.coalesce("v", "node").alias("component"))
