@@ -1,11 +1,11 @@
-"""Passages that repeat across documents, by sparse suffix arrays over words.
-
-Of all suffixes of all documents only those stay that start at a minimiser: the word run of RUN words
-with the least hash of WINDOW runs in a row. The content alone selects them, so a passage of RUN +
-WINDOW - 1 words has one at the same place in each of its copies. Suffixes whose runs no other document
-has are dropped at once; the others are sorted, neighbours are compared, and their match is extended to
-the right and to the left. As each stretch of a passage has minimisers of its own, matches are extended
-no further than one passage length, and the matches of one document are merged.
+"""Passages that repeat across documents, by minimisers and the words around them.
+
+A passage is a run of PASSAGE words. Each has one minimiser: of the WINDOW runs of RUN words in it, the
+one with the least hash. The content alone selects it, so equal passages have it at the same place.
+The passages of one minimiser follow each other and make its place; places with equal passages are one
+kind. Places whose run of RUN words no other document has are dropped at once. Of a run that has one
+kind only, the kind tells all; where a run has several, the passages of each kind are looked up one by
+one. So it is known of each passage of each document which document is the first that holds it.
 """
 
 from __future__ import annotations
@@ -20,210 +20,161 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinname.llm.common import arrow_batches, boxed, claim, cut, of_doc, spread, text_or_empty, unboxed
-from kinname.llm.shingles import run_hashes, word_hashes
+from kinname.llm.shingles import mix, run_hashes, word_hashes
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
 PASSAGE, RUN = 50, 20
 WINDOW = PASSAGE - RUN + 1
-#: Words kept before and after a suffix's start, enough to see any PASSAGE words around their minimiser.
-BEFORE, AFTER = WINDOW - 1, PASSAGE
-#: Suffixes of one run that are sorted together; larger groups are dealt out and meet again by their first copies.
-GROUP = 1_000
+#: Rows of one key from which on its partners are sent to them by broadcast, and keys that are broadcast at most.
+GROUP, MOST_HOT = 1_000, 20_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _windows(runs: np.ndarray) -> np.ndarray:
+    """The position of each passage's minimiser, from the hashes of a text's runs."""
+    least = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
+    return least + np.arange(len(least))
 
 
 def minimisers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the suffixes that stay, and the hashes of their runs; none in fewer than PASSAGE words."""
+    """Positions of the minimisers, and the hashes of their runs; none in fewer than PASSAGE words."""
     if len(hashes) < PASSAGE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     runs = run_hashes(hashes, RUN)
-    least = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    at = np.unique(_windows(runs))
     return at, runs[at]
 
 
+def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each minimiser the hash of its run, its kind, its first passage and how many passages it has; and the hashes of all passages."""
+    if len(hashes) < PASSAGE:
+        return *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64)
+    runs = run_hashes(hashes, RUN)
+    at, start, count = np.unique(_windows(runs), return_index=True, return_counts=True)
+    n = len(hashes) - PASSAGE + 1
+    # three runs cover a passage
+    passages = mix(mix(mix(runs[:n]) * _STEP + runs[RUN : RUN + n]) * _STEP + runs[PASSAGE - RUN :])
+    # a place has fewer passages than a passage has words, so the first and the last one cover it
+    kinds = mix(mix(passages[start] * _STEP + passages[start + count - 1]) * _STEP + count.astype(np.uint64))
+    return runs[at], kinds, start, count, passages
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in parts], pa.list_(kind))
+
+
 def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         for batch in batches:
-            runs, times, words = [], [], []
+            words, found = [], []
             for text in batch.column("text").to_pylist():
                 hashes = word_hashes(text.split())
-                kinds, count = np.unique(minimisers(hashes)[1], return_counts=True)
-                runs.append(kinds.view(np.int64))
-                times.append(count)
                 words.append(len(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(words, pa.int32()), pa.array(runs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], ["id", "digest", "words", "runs", "times"])
-
-    return source.mapInArrow(run, "id long, digest string, words int, runs array<long>, times array<int>").withColumn("row", F.monotonically_increasing_id())
+                found.append(places(hashes)[:4])
+            lists = [_lists([f[i] for f in found], pa.int64() if i < 2 else pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(words, pa.int32()), *lists], ["id", "digest", "words", "run", "kind", "start", "count"])
 
+    return source.mapInArrow(run, "id long, digest string, words int, run array<long>, kind array<long>, start array<int>, count array<int>").withColumn("row", F.monotonically_increasing_id())
 
-_SUFFIX = "run long, salt int, salts int, id long, node long, at int, left binary, right binary"
 
-
-def _suffixes(texts: DataFrame) -> DataFrame:
-    """From (node, id, text, runs, salts): the document's suffixes at shared runs, with the words around."""
+def _passages(texts: DataFrame) -> DataFrame:
+    """From (text, kinds): the hashes of the passages of these kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for batch in batches:
-            out: dict[str, list] = {k.split()[0]: [] for k in _SUFFIX.split(", ")}
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                shared = dict(zip(batch.column("runs")[i].as_py(), batch.column("salts")[i].as_py(), strict=True))
-                node, ident = batch.column("node")[i].as_py(), batch.column("id")[i].as_py()
-                hashes = word_hashes(text.split())
-                at, runs = minimisers(hashes)
-                # words beyond the ends never equal a word: 0 on either side, told apart by the place
-                words = np.zeros(BEFORE + len(hashes) + AFTER, dtype=np.uint32)
-                words[BEFORE : BEFORE + len(hashes)] = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                for p, r in zip(at.tolist(), runs.view(np.int64).tolist(), strict=True):
-                    if r in shared:
-                        n = shared[r]
-                        for k, v in zip(out, (r, (node * 1_000_003 + p) * 2654435761 % 2**32 % n, n, ident, node, p, words[p : p + BEFORE][::-1].tobytes(), words[p + BEFORE : p + BEFORE + AFTER].tobytes()), strict=True):
-                            out[k].append(v)
-            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[k.split()[0]], kinds[k.split()[1]]) for k in _SUFFIX.split(", ")], list(out))
-
-    return texts.mapInArrow(run, _SUFFIX)
-
-
-def _grid(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, width)
+            out: tuple[list, list, list] = [], [], []
+            for text, kinds in zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
+                runs, kind, start, count, passages = places(word_hashes(text.split()))
+                each, first = np.unique(kind.view(np.int64), return_index=True)
+                for i in first[np.isin(each, np.array(kinds, np.int64))]:
+                    for column, value in zip(out, (runs.view(np.int64)[i], kind.view(np.int64)[i], passages[start[i] : start[i] + count[i]]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), _lists(out[2], pa.int64())], ["run", "kind", "passages"])
 
+    return texts.mapInArrow(run, "run long, kind long, passages array<long>")
 
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows a and b share; a document's end is never shared."""
-    differ = (words[a] != words[b]) | (words[a] == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), words.shape[1])
 
+def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined to ``table``, which has each key once and in n how many rows it has about.
 
-def _rank(words: np.ndarray) -> np.ndarray:
-    return np.unique(np.ascontiguousarray(words.astype(">u4")).view(f"V{words.shape[1] * 4}").ravel(), return_inverse=True)[1]
+    Keys of more than GROUP rows, the MOST_HOT largest of them, are broadcast, so their rows stay where they are.
+    """
+    hot = cut(table.where(F.col("n") > GROUP).orderBy(F.desc("n"), *keys).limit(MOST_HOT))
+    if hot.isEmpty():
+        return rows.join(table.drop("n"), keys)
+    names = F.broadcast(hot.select(keys))
+    cold = rows.join(names, keys, "left_anti").join(table.join(names, keys, "left_anti").drop("n"), keys)
+    return rows.join(F.broadcast(hot.drop("n")), keys).unionByName(cold)
 
 
-def match(group: np.ndarray, node: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each suffix: words matched before and after its start, the first of its copies, and whether two documents hold them.
+def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
+    """The stretches of one document, apart and in order, from its places and the first documents of their passages.
 
-    Neighbours are those in the order of the words after the start, and those in the order of the words
-    before it, so copies meet whichever side tells them from other suffixes of the same run.
-    order: ranks occurrences; the least of the linked ones is the first copy.
+    Words of passages that the document is the first to have stay, so that every passage is whole in its
+    first document; of the other words of found passages each goes with a document that has it.
     """
-    n = len(group)
-    before, after, sides = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-    ranks = _rank(right), _rank(left)
-    for near, far in (ranks, ranks[::-1]):
-        by = np.lexsort((order, far, near, group))
-        a, b = by[:-1], by[1:]
-        l, r = _common(left, a, b), _common(right, a, b)
-        linked = (group[a] == group[b]) & (l + r >= PASSAGE)
-        for x in (a, b):
-            np.maximum.at(before, x[linked], l[linked])
-            np.maximum.at(after, x[linked], r[linked])
-        part = np.empty(n, np.int64)
-        part[by] = np.concatenate([[0], np.cumsum(~linked)])
-        sides.append(part)
-    first = order.copy()
-    while True:  # the least of a stretch in one order, then in the other, until nothing changes
-        was = first.copy()
-        for part in sides:
-            least = np.full(part.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, part, first)
-            first = least[part]
-        if (first == was).all():
-            break
-    lo = np.full(n, np.iinfo(np.int64).max)
-    hi = np.full(n, -1, dtype=np.int64)
-    kind = np.unique(first, return_inverse=True)[1]
-    np.minimum.at(lo, kind, node)
-    np.maximum.at(hi, kind, node)
-    return before, after, first, lo[kind] < hi[kind]
-
-
-_SPAN = "node long, start int, stop int, kept boolean, other long"
-
-
-def _matched(suffixes: DataFrame, keys: list[str], forward: bool) -> DataFrame:
-    """Sorted suffixes to spans (kind 0) and, of groups that were dealt out, the first copies to meet again (kind 1)."""
-    schema = f"kind int, {_SPAN}, run long, id long, at int, left binary, right binary"
-    sorted_ = suffixes.repartition(*keys).sortWithinPartitions(*keys)
-
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        group = np.unique(np.stack([table[k].to_numpy() for k in keys], axis=1), axis=0, return_inverse=True)[1].ravel()
-        node, at = table["node"].to_numpy(), table["at"].to_numpy().astype(np.int64)
-        ident = table["id"].fill_null(2**62).to_numpy()
-        order = np.empty(len(node), np.int64)
-        order[np.lexsort((at, node, ident))] = np.arange(len(node))
-        back = np.argsort(order)
-        left, right = _grid(table["left"], BEFORE), _grid(table["right"], AFTER)
-        before, after, first, across = match(group, node, order, left, right)
-        kept = first == order
-        found = np.flatnonzero(across)
-        onward = np.flatnonzero(kept & (table["salts"].to_numpy() > 1)) if forward else np.zeros(0, np.int64)
-        pick = np.concatenate([found, onward])
-        sent = table.take(pa.array(pick))
-        kind = np.repeat([0, 1], [len(found), len(onward)]).astype(np.int32)
-        other = ident[back[first]]
-        return pa.RecordBatch.from_arrays([
-            pa.array(kind), sent["node"].combine_chunks(), pa.array((at - before)[pick].astype(np.int32)), pa.array((at + after)[pick].astype(np.int32)), pa.array(kept[pick]),
-            pa.array(other[pick], mask=other[pick] >= 2**62), *[sent[k].combine_chunks() for k in ("run", "id", "at", "left", "right")],
-        ], [x.split()[0] for x in schema.split(", ")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            waiting.append(batch)
-            if sum(x.num_rows for x in waiting) < 20_000:
-                continue
-            table = pa.Table.from_batches(waiting)
-            ends = [table[k].to_numpy() for k in keys]
-            last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in ends]))
-            whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
-            if whole:
-                yield settle(table.slice(0, whole))
-                waiting = table.slice(whole).to_batches()
-        table = pa.Table.from_batches(waiting) if waiting else None
-        if table is not None and table.num_rows:
-            yield settle(table)
-
-    return sorted_.mapInArrow(run, schema)
-
-
-def _merged(spans: pd.Series) -> pd.Series:
-    """Overlapping spans of one document as one, those to go before those that stay."""
-
-    def join(parts: list) -> list[list]:
-        out: list[list] = []
-        for p in sorted(parts, key=lambda p: (p["start"], p["stop"])):
-            if out and p["start"] <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], p["stop"])
-            else:
-                out.append([p["start"], p["stop"], p["other"]])
-        return out
-
-    def one(parts) -> list[dict]:
-        gone = join([p for p in parts if not p["kept"]])
-        rows = [{"start": a, "stop": b, "kept": False, "other": o} for a, b, o in gone]
-        for a, b, o in join([p for p in parts if p["kept"]]):
-            for x, y, _ in [*gone, [b, b, None]]:
-                if y > a and x < b or x == y == b:
-                    if x > a:
-                        rows.append({"start": a, "stop": min(x, b), "kept": True, "other": o})
-                    a = max(a, y)
-        return sorted(rows, key=lambda r: r["start"])
-
-    return spans.map(one)
+    own, gone = [], []
+    later = np.zeros(max(words - PASSAGE + 1, 0), bool)
+    for place in found if found is not None else ():
+        for part in place["parts"]:
+            bits = [part["mask"] >> j & 1 for j in range(place["count"])]
+            edges = np.flatnonzero(np.diff([0, *bits, 0])) + place["start"]
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if part["first"] == node:
+                    own.append((a, b + PASSAGE - 1))
+                else:
+                    gone.append((a, b + PASSAGE - 1, part["first"], part["id"]))
+                    later[a:b] = True
+    if copied:  # a document with exact copies is the first to have all that no earlier one has
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~later, [False]])))
+        own = [(a, b + PASSAGE - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    stay: list[list] = []
+    for a, b in sorted(own):
+        if stay and a <= stay[-1][1]:
+            stay[-1][1] = max(stay[-1][1], b)
+        else:
+            stay.append([a, b])
+    go: list[list] = []
+    for a, b, first, other in sorted(gone, key=lambda g: g[:3]):
+        if go and a <= go[-1][1] and first == go[-1][2]:
+            go[-1][1] = max(go[-1][1], b)
+        elif not go or b > go[-1][1]:
+            go.append([max(a, go[-1][1]) if go else a, b, first, other])
+    rows = [{"start": a, "stop": b, "kept": True, "first": node, "other": None} for a, b in stay]
+    at = 0
+    for a, b, first, other in go:
+        while at < len(stay) and stay[at][1] <= a:
+            at += 1
+        k = at
+        while a < b:
+            x, y = stay[k] if k < len(stay) else (b, b)
+            if x > a:
+                rows.append({"start": a, "stop": min(x, b), "kept": False, "first": first, "other": other})
+            a, k = max(a, y), k + 1
+    return sorted(rows, key=lambda r: r["start"])
+
+
+def _merged(node: pd.Series, words: pd.Series, copied: pd.Series, found: pd.Series) -> pd.Series:
+    return pd.Series([_stretches(*x) for x in zip(node, words, copied, found, strict=True)])
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, start, stop, kept, other): every stretch of PASSAGE words or more that another document has too.
+    """(id, digest, start, stop, kept, other): every word of a run of PASSAGE words that another document has too, in stretches.
+
+    start and stop count words, stop is beyond the last; kept marks words of a run of which this
+    document is the first, that of the least id: they stay, so each repeated run stays whole in its
+    first document. Each other stretch is one whose words the document with the id other has; it can
+    be shorter than PASSAGE words, where the words beside it stay or are found in yet another document.
+    digest is the text's MD5.
 
-    start and stop count words, stop is beyond the last; kept marks the first copy, that of the least
-    id; other is the id of the first copy that a stretch was found equal to. digest is the text's MD5.
     Rows of equal texts are one document from the start, and its copies' whole texts are stretches if
-    they have PASSAGE words. Groups of suffixes of one run beyond GROUP are dealt to several tasks; the
-    first copies that each task finds then meet, so a passage that a third of all documents hold is
-    dealt out, too, with nothing dropped. What such a group can miss is a chance match of a few words
-    beyond the end of a passage with a document in another task's part.
+    they have PASSAGE words. Documents, kinds and passages are grouped by aggregation alone, combined
+    before each shuffle, so no task holds a group, however many documents share a run; nothing is
+    dropped or thinned.
 
     A null text is the empty text; texts of fewer than PASSAGE words have no stretches; a passage that
     repeats within one document only is left alone; rows that share an id but not a text are different
@@ -231,30 +182,39 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     arrow_batches(docs.sparkSession)
     scanned = cut(_anchors(docs, id_col, text_col))
-    keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "runs", "times")
-    nodes = cut(scanned.groupBy("digest").agg(F.min(keyed).alias("of")).select("digest", F.col("of.row").alias("node"), F.col("of.id").alias("id"), F.arrays_zip("of.runs", "of.times").alias("runs")))
-    each = nodes.select("node", F.explode("runs").alias("r")).select("node", F.col("r.runs").alias("run"), F.col("r.times").alias("times"))
-    shared = each.groupBy("run").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.sum("times").alias("n")).where("low < high").select("run", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
-    wanted = each.join(shared, "run").groupBy("node").agg(F.collect_list(F.struct("run", "salts")).alias("shared"))
-    wanted = cut(wanted.join(nodes.select("node", "digest", F.col("id").alias("_id")), "node").select("node", "_id", F.col("digest").alias("_digest"), F.col("shared.run").alias("runs"), F.col("shared.salts").alias("salts")))
+    keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "words", "run", "kind", "start", "count")
+    nodes = scanned.groupBy("digest").agg(F.min(keyed).alias("of"), F.count(F.lit(1)).alias("copies")).select("digest", "of.*", (F.col("copies") > 1).alias("copied"))
+    # nodes are numbered by id, so the least node of a group is its first document and has its least id
+    nodes = cut(nodes.orderBy("none", "id", "row").withColumn("node", F.monotonically_increasing_id()))
+    each = nodes.select("node", "id", F.explode(F.arrays_zip("run", "kind", "start", "count")).alias("p")).select("node", "id", "p.*")
+    shared = cut(each.groupBy("run").agg(F.min("node").alias("low"), F.max("node").alias("high"), (F.min("kind") < F.max("kind")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("low < high").select("run", "mixed", "n"))
+    members = cut(_met(each, shared, ["run"]))
+    kinds = cut(members.groupBy("run", "kind").agg(F.min("node").alias("first"), F.min("id").alias("id"), F.max("node").alias("last"), F.first("mixed").alias("mixed"), F.count(F.lit(1)).alias("n")))
+
+    # runs of several kinds: their passages, from the first document of each kind
+    wanted = kinds.where("mixed").groupBy(F.col("first").alias("node")).agg(F.collect_list("kind").alias("kinds"))
+    wanted = wanted.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id")), "node")
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
-    texts = text.join(wanted, (text.digest == wanted["_digest"]) & text.id.eqNullSafe(wanted["_id"])).select("node", "id", "text", "runs", "salts")
-
-    first = cut(_matched(_suffixes(texts), ["run", "salt"], forward=True))
-    onward = first.where("kind = 1").select("run", F.lit(0).alias("salt"), F.lit(1).alias("salts"), "id", "node", "at", "left", "right")
-    span = [x.split()[0] for x in _SPAN.split(", ")]
-    spans = first.where("kind = 0").select(span).unionByName(_matched(onward, ["run"], forward=False).where("kind = 0").select(span))
-    merge = F.pandas_udf(_merged, "array<struct<start:int,stop:int,kept:boolean,other:long>>")
-    merged = spans.groupBy("node").agg(F.collect_list(F.struct("start", "stop", "kept", "other")).alias("s")).select("node", F.explode(merge("s")).alias("s"))
-    of_first = merged.join(nodes.select("node", "id", "digest"), "node").select("id", "digest", "s.start", "s.stop", "s.kept", "s.other", F.col("node").alias("row"))
-
-    copies = scanned.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("of"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    whole = scanned.where(F.col("words") >= PASSAGE).select("id", "digest", "row", "words").join(copies, "digest")
-    whole = whole.select("id", "digest", F.lit(0).alias("start"), F.col("words").alias("stop"), (F.col("row") == F.col("of.row")).alias("kept"), F.col("of.id").alias("other"), "row")
-    # the first of equal texts may hold other documents' passages; those stretches stay as they were found
-    later = whole.where("NOT kept")
-    alone = whole.where("kept").join(of_first.select("row").distinct(), "row", "left_anti")
-    return of_first.unionByName(later).unionByName(alone)
+    found = _passages(text.join(wanted, (text.digest == wanted["_digest"]) & text.id.eqNullSafe(wanted["_id"])).select("text", "kinds"))
+    found = cut(found.join(kinds.select("run", "kind", "first", "id", "last"), ["run", "kind"]))
+    passages = found.select("run", "kind", "first", "id", "last", F.posexplode("passages").alias("at", "passage"))
+    firsts = cut(passages.groupBy("run", "passage").agg(F.min("first").alias("first"), F.min("id").alias("id"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"))
+    parts = _met(passages.select("run", "kind", "at", "passage"), firsts, ["run", "passage"])
+    parts = parts.groupBy("run", "kind", "first", "id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    part = F.struct("first", "id", "mask")
+    parts = parts.groupBy("run", "kind").agg(F.collect_list(part).alias("parts")).join(kinds.select("run", "kind", "n"), ["run", "kind"])
+    single = kinds.where("NOT mixed AND first < last").withColumn("mask", F.lit(-1).cast("long")).select("run", "kind", F.array(part).alias("parts"), "n")
+    spans = _met(members.drop("id", "mixed"), cut(parts.unionByName(single)), ["run", "kind"])
+
+    merge = F.pandas_udf(_merged, "array<struct<start:int,stop:int,kept:boolean,first:long,other:long>>")
+    spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "count", "parts")).alias("found"))
+    spans = nodes.select("node", "id", "digest", "row", "words", "copied").join(spans, "node", "left").where(f"found IS NOT NULL OR copied AND words >= {PASSAGE}")
+    of_first = spans.select("id", "digest", "row", F.explode(merge("node", "words", "copied", "found")).alias("s"))
+    of_first = of_first.select("id", "digest", "s.start", "s.stop", "s.kept", F.when(F.col("s.kept"), F.col("id")).otherwise(F.col("s.other")).alias("other"), "row")
+
+    copies = nodes.where(f"copied AND words >= {PASSAGE}").select("digest", F.col("id").alias("other"), F.col("row").alias("first"))
+    later = scanned.join(copies, "digest").where("row != first").select("id", "digest", F.lit(0).alias("start"), F.col("words").alias("stop"), F.lit(False).alias("kept"), "other", "row")
+    return of_first.unionByName(later)
 
 
 def _without(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -216,3 +216,58 @@ def test_repeat_edges(spark, odd, nothing):
     left = repeats.without_repeats(odd)
     assert left.columns == odd.columns and left.count() == odd.count() - 1  # the copy of the long text
     assert repeats.repeated_passages(nothing).count() == repeats.without_repeats(nothing).count() == 0
+
+
+def first_documents(rows):
+    """By brute force: of each run of PASSAGE words that several texts have, the first document; and each document's words that stay and go."""
+    n, first, texts, out = repeats.PASSAGE, {}, defaultdict(set), {}
+    split = [(i, t.split()) for i, t in sorted(rows)]
+    for i, w in split:
+        for k in range(len(w) - n + 1):
+            first.setdefault(tuple(w[k : k + n]), i)
+            texts[tuple(w[k : k + n])].add(i)
+    for i, w in split:
+        stay, go = np.zeros(len(w), bool), np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            if len(texts[run]) > 1:
+                (stay if first[run] == i else go)[k : k + n] = True
+        out[i] = stay, go & ~stay
+    return {r: i for r, i in first.items() if len(texts[r]) > 1}, out
+
+
+def check_firsts(found, rows):
+    """Each repeated run stays whole in its first document, and each stretch that goes is held by the document it names."""
+    first, want = first_documents(rows)
+    words = {i: t.split() for i, t in rows}
+    for i, (stay, go) in want.items():
+        for mask, kept in ((stay, True), (go, False)):
+            got = np.zeros(len(mask), int)
+            for r in found:
+                if r.id == i and r.kept == kept:
+                    got[r.start : r.stop] += 1
+            assert (got == mask).all(), (i, kept)
+    texts = {i: f" {' '.join(w)} " for i, w in words.items()}
+    for r in found:
+        assert r.kept and r.other == r.id or not r.kept and f" {' '.join(words[r.id][r.start : r.stop])} " in texts[r.other]
+    left = {i: [" ".join(words[i])] for i in words}
+    for i in words:
+        gone, parts, at = sorted((r.start, r.stop) for r in found if r.id == i and not r.kept), [], 0
+        for a, b in gone:
+            parts.append(words[i][at:a])
+            at = b
+        left[i] = [" ".join(p) for p in [*parts, words[i][at:]]]
+    assert all(any(" ".join(run) in p for p in left[i]) for run, i in first.items())
+
+
+@pytest.mark.parametrize("group", [1_000, 3])
+def test_nested_and_overlapping_passages(spark, monkeypatch, group):
+    """Words that only later documents share are not cut with those that the first one has."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    rng = random.Random(11)
+    p, q, o = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    a, b, c = (x.split() for x in (p, q, o))
+    fresh = lambda: prose(rng, rng.randint(20, 60))
+    rows = [(1, f"{fresh()} {p} {fresh()}")] + [(i, f"{fresh()} {p} {q} {fresh()}") for i in (2, 3)] + [(i, f"{fresh()} {o} {p} {q} {fresh()}") for i in (4, 5, 6)]
+    rows += [(i, " ".join([fresh(), *c[30:], *a[:40], fresh()])) for i in (7, 8)] + [(9, f"{q} {p}"), (10, f"{q} {p} {fresh()}"), (11, " ".join([*a[10:], *b[:30]]))]
+    check_firsts(repeats.repeated_passages(make(spark, rows)).collect(), rows)
