@@ -271,3 +271,19 @@ def test_nested_and_overlapping_passages(spark, monkeypatch, group):
     rows = [(1, f"{fresh()} {p} {fresh()}")] + [(i, f"{fresh()} {p} {q} {fresh()}") for i in (2, 3)] + [(i, f"{fresh()} {o} {p} {q} {fresh()}") for i in (4, 5, 6)]
     rows += [(i, " ".join([fresh(), *c[30:], *a[:40], fresh()])) for i in (7, 8)] + [(9, f"{q} {p}"), (10, f"{q} {p} {fresh()}"), (11, " ".join([*a[10:], *b[:30]]))]
     check_firsts(repeats.repeated_passages(make(spark, rows)).collect(), rows)
+
+
+def test_rare_pairs_in_a_hot_run(spark, monkeypatch):
+    """A document that is chained to a common variant still meets the one document that shares more with it."""
+    monkeypatch.setattr(repeats, "GROUP", 20)
+    rng = random.Random(12)
+    before, core = prose(rng, 8), prose(rng, 44)
+    texts = [f"{prose(rng, 40)} {before} {core} {prose(rng, 40)}" for _ in range(200)]
+    for _ in range(30):
+        after = prose(rng, 12)
+        texts += [f"{prose(rng, 40)} {before} {core} {after} {prose(rng, 40)}", f"{prose(rng, 48)} {core} {after} {prose(rng, 40)}"]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    found = repeats.repeated_passages(make(spark, rows)).collect()
+    want, got = repeated_words([t for _, t in rows]), covered(found, rows)
+    assert all((got[t] == want[t]).all() for t in want)
+    check_firsts(found, rows)
