@@ -287,3 +287,18 @@ def test_rare_pairs_in_a_hot_run(spark, monkeypatch):
     want, got = repeated_words([t for _, t in rows]), covered(found, rows)
     assert all((got[t] == want[t]).all() for t in want)
     check_firsts(found, rows)
+
+
+def test_no_python_task_gathers_a_run(spark, monkeypatch):
+    """A line of 35 words in many documents with different words around: nothing repeats, and Python sees documents, not runs."""
+    monkeypatch.setattr(repeats, "GROUP", 20)
+    rng = random.Random(13)
+    line, passage = prose(rng, 35), prose(rng, 55)
+    rows = [(i, f"{prose(rng, 40)} {line} {prose(rng, 40)}") for i in range(150)] + [(i, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for i in (150, 151)]
+    inputs, docs = [], make(spark, rows)
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *a, **k: inputs.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a, **k))
+    found = repeats.repeated_passages(docs).collect()
+    assert {r.id for r in found} == {150, 151}
+    check_firsts(found, rows)
+    assert inputs and not any("hashpartitioning(run" in plan for plan in inputs)
