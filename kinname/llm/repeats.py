@@ -118,7 +118,6 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
     first document; of the other words of found passages each goes with a document that has it.
     """
     own, gone = [], []
-    later = np.zeros(max(words - PASSAGE + 1, 0), bool)
     for place in found if found is not None else ():
         for part in place["parts"]:
             bits = [part["mask"] >> j & 1 for j in range(place["count"])]
@@ -128,10 +127,6 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
                     own.append((a, b + PASSAGE - 1))
                 else:
                     gone.append((a, b + PASSAGE - 1, part["first"], part["id"]))
-                    later[a:b] = True
-    if copied:  # a document with exact copies is the first to have all that no earlier one has
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~later, [False]])))
-        own = [(a, b + PASSAGE - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
     stay: list[list] = []
     for a, b in sorted(own):
         if stay and a <= stay[-1][1]:
@@ -144,8 +139,7 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
             go[-1][1] = max(go[-1][1], b)
         elif not go or b > go[-1][1]:
             go.append([max(a, go[-1][1]) if go else a, b, first, other])
-    rows = [{"start": a, "stop": b, "kept": True, "first": node, "other": None} for a, b in stay]
-    at = 0
+    rows, at = [], 0
     for a, b, first, other in go:
         while at < len(stay) and stay[at][1] <= a:
             at += 1
@@ -155,6 +149,10 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
             if x > a:
                 rows.append({"start": a, "stop": min(x, b), "kept": False, "first": first, "other": other})
             a, k = max(a, y), k + 1
+    if copied:  # its copies have all of its words, so those that do not go stay
+        ends = [0, *(x for r in rows for x in (r["start"], r["stop"])), words]
+        stay = [[a, b] for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+    rows += [{"start": a, "stop": b, "kept": True, "first": node, "other": None} for a, b in stay]
     return sorted(rows, key=lambda r: r["start"])
 
 
