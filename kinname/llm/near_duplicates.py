@@ -5,6 +5,9 @@ Poisson process with its weight as the rate; each arrival falls on one of the si
 and a component keeps the element that arrived first. Two documents agree in a component with the
 probability Jaccard similarity of their weights. A document is done once no further arrival can come
 before the latest of its components' first arrivals, so most elements need one arrival only.
+
+Documents are near copies by the similarity of their sets of shingles. So a document whose shingles
+repeat has a second signature, of equal weights, and is found by the bands of either.
 """
 
 from __future__ import annotations
@@ -72,7 +75,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, digest, keys): the band keys of each row's whole text; a text without words has none."""
+    """(row, id, digest, keys): the band keys of each row's whole text, those of equal weights too where shingles repeat; a text without words has none."""
     arrow_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
 
@@ -84,6 +87,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys: list = [[]] * len(found)
             for i, key in zip(some, band_keys(signatures([found[i] for i in some])), strict=True):
                 keys[i] = key
+            # links are between sets; where no shingle repeats the weights are equal anyway
+            sets = {i: np.unique(found[i]) for i in some}
+            uneven = [i for i in some if len(sets[i]) < len(found[i])]
+            for i, key in zip(uneven, band_keys(signatures([sets[i] for i in uneven])), strict=True):
+                keys[i] = np.union1d(keys[i], key)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
     return source.mapInArrow(run, "id long, digest string, keys array<long>").withColumn("row", F.monotonically_increasing_id())

@@ -312,3 +312,17 @@ def test_exact_copies_that_share_a_passage(spark):
     rows = [(1, f"{prose(rng, 20)} {early}"), (2, whole), (3, whole), (4, f"{late} {prose(rng, 30)}")]
     found = sorted((r.id, r.start, r.stop, r.kept, r.other) for r in repeats.repeated_passages(make(spark, rows)).collect())
     assert found == [(1, 20, 90, True, 1), (2, 0, 100, True, 2), (2, 100, 170, False, 1), (2, 170, 320, True, 2), (3, 0, 320, False, 2), (4, 0, 60, False, 2)]
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """Links are by sets of shingles, however often lines repeat on one side or on both."""
+    rng = random.Random(15)
+    texts = []
+    for k in range(40):
+        shared, lines = prose(rng, 164), [prose(rng, 13) for _ in range(2)]
+        times = [(50, 50), (50, 1), (10, 10), (1, 300)][k % 4]
+        texts += [f"{shared} " + f"{line} " * n + " ".join(line.split()[:4]) for line, n in zip(lines, times, strict=True)]
+    rows = list(enumerate(texts))
+    want = brute_classes(rows)
+    assert sum(size == 2 for _, _, size in want) == 80
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in nd.near_duplicates(make(spark, rows)).collect()) == want
