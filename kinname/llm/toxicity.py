@@ -194,7 +194,8 @@ def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, catego
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Chain:
     """A chain from labelled documents. categories: names and 0/1 columns over ``labels``, in the chain's order.
 
-    Fitted on the ``rows`` labelled ids with the least hashes, whose words alone come to the driver.
+    Fitted on the ``rows`` labelled ids with the least hashes, whose words alone come to the driver; of
+    rows that share an id, on the text of the least digest, chosen on the executors.
     Rows with a null label are left out. Without rows, or with rows of one kind, the chain predicts
     the share it saw (of no rows, next to none).
     """
@@ -203,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     marked = marked.dropna().where(F.greatest(*[F.col(f"_y{i}") for i in range(len(names))], F.lit(0)) <= 1)
     chosen = marked.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    source = source.groupBy(*chosen.columns).agg(F.min_by("_text", F.md5("_text")).alias("_text")).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     arrow_batches(docs.sparkSession)
 
     names_y = [f"_y{i}" for i in range(len(names))]
@@ -221,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
 
     schema = "_id long, " + ", ".join(f"{y} int" for y in names_y) + ", _group long, _found array<string>"
     table = source.mapInArrow(run, schema).toArrow()
-    table = table.sort_by([("_id", "ascending"), ("_group", "ascending")]).slice(0, 2 * rows).combine_chunks()
+    table = table.sort_by("_id").combine_chunks()
     y = np.column_stack([table[k].to_numpy() for k in names_y])
     found = table["_found"].chunk(0) if table.num_rows else pa.array([], pa.list_(pa.string()))
     return fit_chain(found, y, table["_group"].to_numpy().astype(np.int64), names)

@@ -136,3 +136,13 @@ def test_every_operator_has_a_query():
     names = list(queries.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(names) <= set(entry.queries()) and "pipeline" in entry.queries()
+
+
+def test_training_sample_is_bounded_in_rows(spark, monkeypatch):
+    """An id of very many rows sends one of them to the driver, and ids above it are in the sample, too."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, y, groups, names: seen.append((len(rows), y.ravel().tolist())))
+    docs = make(spark, [(1, f"text number {k}") for k in range(300)] + [(i, f"document {i}") for i in range(2, 10)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, {"toxic": F.col("toxic")}, rows=9)
+    assert seen == [(9, [1, 0, 1, 0, 1, 0, 1, 0, 1])]
