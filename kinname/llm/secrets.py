@@ -28,7 +28,10 @@ LEAST_SCORE = 0.5
 AROUND = 48
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_GIVEN = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)["']?\s*[:=]\s*["']?([^\s"'<>,;]{6,})""")
+_GIVEN = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|(?:secret|private|client)(?:[_-]?(?:key|token))?|token|(?:api|access)[_-]?key|(?<![a-z])key|auth|bearer|credentials?)["']?\s*[:=]\s*["']?([^\s"'<>,;]{6,})""")
+#: A bearer's token in a header, and the password in an address.
+_BEARER = re.compile(r"""(?i)authorization["']?\s*[:=]\s*["']?bearer\s+([^\s"'<>,;]{6,})""")
+_ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
 _SECRET_WORDS = frozenset("token secret password passwd pwd pass key apikey api_key access_key auth bearer credential credentials private".split())
 _OTHER_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build order invoice card iban isbn phone example sample placeholder dummy etag integrity".split())
 _DULL_PATH = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|fixtures?|docs?|samples?|mock|lock)([/_.\-]|$)")
@@ -80,7 +83,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of each candidate, in order and apart: long runs that hold a digit, and what is given to a name of secrets."""
     found = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m[0])]
     if ":" in text or "=" in text:
-        found += [m.span(1) for m in _GIVEN.finditer(text)]
+        found += [m.span(1) for given in (_GIVEN, _BEARER, _ADDRESS) for m in given.finditer(text)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:

@@ -183,3 +183,14 @@ def test_secret_scans(spark, odd, nothing):
     assert clean[7].text == 'token = "[secret]" token = "[secret]"' and clean[2].text == rows[1][1] and clean[5].text is None
     assert secrets.without_secrets(docs, forest).columns == docs.columns and secrets.without_secrets(odd, forest).count() == odd.count()
     assert secrets.find_secrets(nothing, forest).count() == secrets.without_secrets(nothing, forest).count() == 0
+
+
+def test_candidates_of_all_names_of_secrets():
+    """Short values without digits are candidates after every name that the forest knows, and in addresses."""
+    value = "tRvb!qLwZ"
+    for name in ("key", "secret_key", "private_key", "private-token", "client_secret", "secret-token", "bearer", "credential", "credentials", "password", "api_key"):
+        for text in (f"here {name} = {value} end", f'"{name.upper()}": "{value}"'):
+            assert [text[a:b] for a, b in secrets.candidates(text)] == [value], text
+    for text in (f"Authorization: Bearer {value}", f"see postgres://admin:{value}@host/db", f"redis://:{value}@host:6379"):
+        assert [text[a:b] for a, b in secrets.candidates(text)] == [value], text
+    assert not secrets.candidates("http://host:8080/a see monkey: banana and 10:30 mail me@host.org")
