@@ -40,7 +40,11 @@ def with_sketch(df: DataFrame, text_col: str, to: str, scale: int = SCALE) -> Da
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimate of how much of the smaller document's shingles the other one has, 0 to 1."""
+    """Estimate of how much of the smaller document's shingles the other one has, 0 to 1.
+
+    For texts under some 30 words it is no estimate: one without a hash below the threshold has only its
+    least hash, which a longer text's sketch does not hold, so the result is 0 even where the text is part of it.
+    """
     return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
 
