@@ -149,9 +149,8 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
             if x > a:
                 rows.append({"start": a, "stop": min(x, b), "kept": False, "first": first, "other": other})
             a, k = max(a, y), k + 1
-    if copied:  # its copies have all of its words, so those that do not go stay
-        ends = [0, *(x for r in rows for x in (r["start"], r["stop"])), words]
-        stay = [[a, b] for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+    if copied and found is None:  # only its copies share words with it
+        stay = [[0, words]]
     rows += [{"start": a, "stop": b, "kept": True, "first": node, "other": None} for a, b in stay]
     return sorted(rows, key=lambda r: r["start"])
 
@@ -170,7 +169,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     digest is the text's MD5.
 
     Rows of equal texts are one document from the start, and its copies' whole texts are stretches if
-    they have PASSAGE words. Documents, kinds and passages are grouped by aggregation alone, combined
+    they have PASSAGE words; of the first of them, those that it shares with other texts, if there are any. Documents, kinds and passages are grouped by aggregation alone, combined
     before each shuffle, so no task holds a group, however many documents share a run; nothing is
     dropped or thinned.
 

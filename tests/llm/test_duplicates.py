@@ -304,16 +304,6 @@ def test_no_python_task_gathers_a_run(spark, monkeypatch):
     assert inputs and not any("hashpartitioning(run" in plan for plan in inputs)
 
 
-def test_exact_copies_that_share_a_passage(spark):
-    """The first of equal texts has its whole text found, not only what a third document shares."""
-    rng = random.Random(14)
-    early, late = prose(rng, 70), prose(rng, 60)
-    whole = f"{prose(rng, 100)} {early} {prose(rng, 50)} {late} {prose(rng, 40)}"
-    rows = [(1, f"{prose(rng, 20)} {early}"), (2, whole), (3, whole), (4, f"{late} {prose(rng, 30)}")]
-    found = sorted((r.id, r.start, r.stop, r.kept, r.other) for r in repeats.repeated_passages(make(spark, rows)).collect())
-    assert found == [(1, 20, 90, True, 1), (2, 0, 100, True, 2), (2, 100, 170, False, 1), (2, 170, 320, True, 2), (3, 0, 320, False, 2), (4, 0, 60, False, 2)]
-
-
 def test_near_duplicates_with_repeated_lines(spark):
     """Links are by sets of shingles, however often lines repeat on one side or on both."""
     rng = random.Random(15)
