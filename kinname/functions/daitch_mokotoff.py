@@ -1,40 +1,56 @@
-"""Daitch-Mokotoff codes: longest letter clusters from left to right, with branches, six digits each.
-
-The cluster table is the one that Spark's own class path carries (commons-codec), read from its jar.
-"""
+"""Daitch-Mokotoff codes: longest letter clusters from left to right, with branches, six digits each."""
 
 from __future__ import annotations
 
-import re
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LINE = re.compile(r'^\s*"([^"]*)"\s+"([^"]*)"\s+"([^"]*)"\s+"([^"]*)"')
-_FOLD = re.compile(r"^\s*(\S)=(\S)\s*$")
+#: Fixed values of the published method: codes at the start, before a vowel and elsewhere, then the clusters
+#: that have them; - is not coded, | parts branches.
+RULES = """
+0 - -              a e i o u
+7 7 7              b f p v w fb pf ph
+3 3 3              d t dt th
+5 5 5              g k q kh
+5 5 -              h
+8 8 8              l
+6 6 6              m n
+9 9 9              r
+4 4 4              s z
+5 54 54            x chs ks
+1 - -              y ia ie io iu
+1 1 -              eu
+0 1 -              ai aj ay ei ej ey oi oj oy ui uj uy ue
+0 7 -              au
+66 66 66           mn nm
+2 4 4              schtsch schtsh schtch shtch shtsh stsch zhdzh shch stch strz strs stsh szcz szcs zdzh zdz sc
+4 4 4              ttsch ttch tsch ttsz zsch csz czs drz drs dsh dsz dzh dzs sch tch trz trs tsh tts ttz tzs tsz zsh
+4 4 4              cz cs ds dz sh sz ts tc tz zh zs
+2 43 43            scht schd sht szt shd szd zhd st sd zd
+4|5 4|5 4|5        c ch
+5|45 5|45 5|45     ck
+4|94 4|94 4|94     rs rz
+1|4 -|4 -|4        j
+3|4 3|4 3|4        ţ ț
+- - -|6            ę ą
+"""
+#: Fixed values of the published method: letters that count as others.
+FOLDS = dict(zip("ßàáâãäåæçèéêëìíîïðñòóôõöøùúûýþÿćłśżź", "saaaaaaaceeeeiiiidnoooooouuuybyclszz", strict=True))
 _VOWELS = frozenset("aeiou")
 
 
 @lru_cache(1)
 def rules() -> tuple[dict[str, tuple[list[str], list[str], list[str]]], dict[str, str], int]:
     """Clusters with their codes at the start, before a vowel and elsewhere; letter foldings; longest cluster."""
-    import pyspark
-
-    jar = sorted((Path(pyspark.__file__).parent / "jars").glob("commons-codec-*.jar"))[-1]
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/commons/codec/language/dmrules.txt").decode()
-    table, fold = {}, {}
-    for line in re.sub(r"/\*.*?\*/", "", text, flags=re.S).splitlines():
-        line = line.split("//")[0]
-        if m := _LINE.match(line):
-            table[m[1]] = tuple(x.split("|") for x in m.groups()[1:])
-        elif m := _FOLD.match(line):
-            fold[m[1]] = m[2]
-    return table, fold, max(map(len, table))
+    table = {}
+    for line in RULES.strip().splitlines():
+        *codes, _ = fields = line.split()[:4]
+        for cluster in line.split()[len(fields) - 1 :]:
+            table[cluster] = tuple([x.replace("-", "") for x in c.split("|")] for c in codes)
+    return table, FOLDS, max(map(len, table))
 
 
 class Coder:

@@ -16,12 +16,14 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def soundex(name: Column) -> Column:
-    """The 4-character Soundex code; H and W part equal digits, as vowels do. '' where there is no letter."""
-    word = F.regexp_replace(F.upper(name), "^[^A-Z]+", "")
-    digits = F.regexp_replace(F.translate(word, _LETTERS, SOUNDEX_DIGITS), "([0-9])\\1+", "$1")
-    tail = F.regexp_replace(F.substring(digits, 2, 1_000), "[^1-6]", "")
-    code = F.rpad(F.substring(F.concat(F.substring(word, 1, 1), tail), 1, 4), 4, "0")
-    return F.when(word == "", F.lit("")).otherwise(code)
+    """The 4-character Soundex code; H and W part equal digits, as vowels do. '' where there is no letter.
+
+    Spark's own function does it once H and W are vowels to it; names that start with a letter meet no pattern.
+    """
+    upper = F.upper(name)
+    first = F.substring(upper, 1, 1)
+    word = F.when((first >= "A") & (first <= "Z"), upper).otherwise(F.regexp_replace(upper, "^[^A-Z]+", ""))
+    return F.soundex(F.concat(F.substring(word, 1, 1), F.translate(F.substring(word, 2, 1_000), "HW", "AA")))
 
 
 def soundex_of(name: str) -> str:
