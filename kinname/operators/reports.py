@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Sequence
 from datetime import date
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 
 from kinname.functions import names as N
 from kinname.schema import NICKNAMES
+from kinname.sources.generate import uniform
 
 
 def large_clusters(records: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
@@ -91,15 +93,25 @@ def date_hierarchy(records: DataFrame, level: str = "year", within: Column | Non
     return rows.groupBy(F.trunc("date_of_birth", level).alias("period") if level != "day" else F.col("date_of_birth").alias("period")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def page_sample(records: DataFrame, fraction: float, seed: int = 0, salt: str = "page") -> DataFrame:
+    """About ``fraction`` of the records, each by a draw of its id: the same ones whatever the partitions."""
+    return records.where(uniform(seed, salt, F.col("id")) < fraction)
+
+
+def in_random_order(records: DataFrame, most: int, seed: int = 0, salt: str = "order") -> DataFrame:
+    """The first ``most`` records by a draw of their ids."""
+    return records.orderBy(uniform(seed, salt, F.col("id")), "id").limit(most)
+
+
 def sample_dobs(records: DataFrame, seed: int = 0, fraction: float = 1e-4, most: int = 100) -> list[date]:
     """Up to ``most`` distinct dates from a row sample, topped up by a random sort where the table is small."""
     seen: dict[date, None] = {}
     for attempt in range(3):
-        for r in records.select("date_of_birth").sample(fraction=fraction, seed=seed + attempt).limit(1_000).collect():
+        for r in page_sample(records, fraction, seed + attempt).select("date_of_birth").limit(1_000).collect():
             if len(seen) < most:
                 seen.setdefault(r[0])
     if len(seen) < most:
-        for r in records.select("date_of_birth").orderBy(F.rand(seed)).limit(most).collect():
+        for r in in_random_order(records, most, seed).select("date_of_birth").collect():
             seen.setdefault(r[0])
     return list(seen)
 
@@ -108,6 +120,7 @@ def example_groups(first: str, last: str) -> list[dict]:
     """Seven example searches around one name; each finds its bearer."""
     double = next((i for i in range(len(last) - 1) if last[i] == last[i + 1]), None)
     sounds = last if double is None else last[:double] + last[double + 1 :]
+    # fixed values: the seven groups, their labels and modes
     rows = [
         ("Exact", "prefix", first[: max(2, len(first) - 1)], last[: max(2, len(last) - 1)]), ("Phonetic", "soundex", first, sounds), ("Phonetic", "dm", first, last),
         ("Fuzzy", "legacy,levenshtein", first[: max(1, len(first) - 1)], last), ("Fuzzy", "trigram", first, last), ("Combo", "soundex,levenshtein", first, sounds), ("Combo", "dm,levenshtein", first, last),
@@ -120,30 +133,45 @@ def generate_examples(records: DataFrame, seed: int = 0) -> dict:
     dates = sample_dobs(records, seed)
     counts = {r["date_of_birth"]: r["cnt"] for r in dob_counts(records, dates).collect()} if dates else {}
     day = next((d for d in dates if 5 <= counts.get(d, 0) <= 20), date(1990, 1, 1))
-    names = records.where(F.col("date_of_birth") == F.lit(day)).select("first_name", "last_name").orderBy(F.rand(seed)).limit(5).collect()
+    names = records.where(F.col("date_of_birth") == F.lit(day))
+    names = in_random_order(names, 5, seed).select("first_name", "last_name").collect()
     return {"dob": day.isoformat(), "groups": example_groups(*names[0]) if names else []}
 
 
 class TimedCache:
-    """Values that are kept for some seconds on the driver; ``refresh`` computes anew."""
+    """Values that are kept for some seconds on the driver; ``refresh`` computes anew.
+
+    Of several threads that ask for one missing key, one computes and the others wait for its value.
+    """
 
     def __init__(self, seconds: float):
-        self.seconds, self.kept = seconds, {}
+        self.seconds, self.kept, self.guard, self.guards = seconds, {}, threading.Lock(), {}
 
     def get(self, key, make, refresh: bool = False):
-        now = time.monotonic()
-        if refresh or key not in self.kept or self.kept[key][0] <= now:
-            self.kept[key] = (now + self.seconds, make())
-        return self.kept[key][1]
+        asked = time.monotonic()
+        with self.guard:
+            lock = self.guards.setdefault(key, threading.Lock())
+        with lock:
+            until, made, value = self.kept.get(key, (-1.0, -1.0, None))
+            if until <= time.monotonic() or refresh and made < asked:
+                value = make()
+                now = time.monotonic()
+                self.kept[key] = (now + self.seconds, now, value)
+            return value
 
 
 _counts, _examples = TimedCache(300), TimedCache(3_600)
 
 
-def record_count(records: DataFrame, key: str = "records") -> int:
-    return _counts.get(key, records.count)
+def _table_key(records: DataFrame) -> int:
+    """Equal for equal plans over the same tables."""
+    return records.semanticHash()
+
+
+def record_count(records: DataFrame, cache: TimedCache = _counts) -> int:
+    return cache.get(_table_key(records), records.count)
 
 
-def help_examples(records: DataFrame, key: str = "examples", refresh: str = "", seed: int = 0) -> dict:
+def help_examples(records: DataFrame, refresh: str = "", seed: int = 0, cache: TimedCache = _examples) -> dict:
     """The cached examples; any text in ``refresh`` renews them."""
-    return _examples.get(key, lambda: generate_examples(records, seed), bool(refresh))
+    return cache.get((_table_key(records), seed), lambda: generate_examples(records, seed), bool(refresh))

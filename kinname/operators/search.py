@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.operators import modes as M
+from kinname.operators import vocabulary as V
 from kinname.operators.request import SearchRequest
-from kinname.schema import BITS, LEAST_SIMILARITY, RESULT_LIMIT, TRIGRAM_SLOTS
+from kinname.schema import BITS, EDITS_BIT, LEAST_SIMILARITY, RESULT_LIMIT, TRIGRAM_SLOTS
 
 
 def _sort(field: str) -> list[Column]:
@@ -32,11 +33,12 @@ class Plan:
     limit: int
 
 
-def plan(records: DataFrame, request: SearchRequest) -> Plan:
+def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | None = None) -> Plan:
     """Builds both parts lazily; search and explanation share it, so they cannot differ.
 
     A request of names never falls back to all rows of a date. A sort is dropped beside the substring
-    mode. Edit distance refines the main part, or is its filter if no other mode gives one.
+    mode. Edit distance refines the main part, or is its filter if no other mode gives one. With a
+    vocabulary, requests with a fuzzy mode judge each distinct name once and join the records to them.
     """
     names, dob, modes = request.names, request.date_of_birth, request.modes
     order = "" if "legacy" in modes else request.sort_field
@@ -45,6 +47,8 @@ def plan(records: DataFrame, request: SearchRequest) -> Plan:
     trigram = "trigram" in modes and bool(names)
     limit = RESULT_LIMIT - TRIGRAM_SLOTS if trigram else RESULT_LIMIT
     main = None
+    if vocabulary is not None and names and V.FUZZY & set(modes):
+        return _through(records.columns, V.joined(records, vocabulary, request), request, order, limit, base, trigram)
     if base:
         flags = {m: M.mode_filter(m, names) for m in base}
         main = rows
@@ -62,12 +66,29 @@ def plan(records: DataFrame, request: SearchRequest) -> Plan:
             near = near.withColumn(f"_{column}", N.similarity_to(N.trigrams(F.col(column)), value))
         for column in names:
             near = near.where(F.col(f"_{column}") >= LEAST_SIMILARITY)
-        far = [F.lit(1.0) - F.col(f"_{c}") for c in ("last_name", "first_name") if c in names]
-        near = near.withColumn("_far", F.struct(*[f.alias(f"d{i}") for i, f in enumerate(far)])).withColumn("match_source", F.lit(BITS["trigram"]))
+        near = _by_distance(near, names)
     return Plan(main, near, order, limit)
 
 
-def search(records: DataFrame, request: SearchRequest, *, ordered: bool = True) -> DataFrame:
+def _by_distance(near: DataFrame, names: dict[str, str]) -> DataFrame:
+    far = [F.lit(1.0) - F.col(f"_{c}") for c in ("last_name", "first_name") if c in names]
+    return near.withColumn("_far", F.struct(*[f.alias(f"d{i}") for i, f in enumerate(far)])).withColumn("match_source", F.lit(BITS["trigram"]))
+
+
+def _through(columns: list[str], joined: DataFrame, request: SearchRequest, order: str, limit: int, base: list[str], trigram: bool) -> Plan:
+    """The same two parts from records that are joined to their names' bits."""
+    has = lambda bit: F.col("_bits").bitwiseAND(F.lit(bit)) != 0
+    edits = "levenshtein" in request.modes
+    main = None
+    if base or edits:
+        main = joined.where(has(EDITS_BIT)) if edits else joined
+        main = main.withColumn("match_source", F.col("_bits").bitwiseAND(F.lit(sum(BITS[m] for m in base))))
+        main = (main.where("match_source != 0") if base else main).select(*columns, "match_source")
+    near = _by_distance(joined.where(has(BITS["trigram"])), request.names) if trigram else None
+    return Plan(main, near, order, limit)
+
+
+def search(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | None = None, ordered: bool = True) -> DataFrame:
     """The result page: the record's columns, match_source, and position from 1.
 
     At most 200 rows. With trigrams the main part has 120 at most, and the nearest 200 neighbours that
@@ -76,7 +97,7 @@ def search(records: DataFrame, request: SearchRequest, *, ordered: bool = True)
     so what meets in the anti join and the window is 400 rows at most.
     """
     columns = records.columns
-    built = plan(records, request)
+    built = plan(records, request, vocabulary)
     parts = []
     if built.main is not None:
         top = built.main.orderBy(*_sort(built.order), "id").limit(built.limit)
@@ -121,23 +142,36 @@ def query_codes(first_name: str, last_name: str) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class SearchResult:
+    """A page with its figures; queries: what each mode asks for, for display; ran: the plans that ran."""
+
     df: DataFrame
     rows: list
     count: int
     elapsed_ms: float
     full_page: bool
+    label: str
     codes: dict[str, str]
     queries: dict[str, str]
+    ran: list[str]
+
+
+def page_label(count: int) -> str:
+    """What is said of a page's size: a full one may leave rows out."""
+    return f"top {RESULT_LIMIT}" if count >= RESULT_LIMIT else str(count)
 
 
-def run(records: DataFrame, request: SearchRequest) -> SearchResult:
-    """Runs a search and reports its time; the page, of 200 rows at most, is all that reaches the driver."""
+def run(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | None = None) -> SearchResult:
+    """Runs a search and reports its time and what ran; the page, of 200 rows at most, is all that reaches the driver."""
     from kinname.plans.explain import mode_sql
 
     began = time.perf_counter()
-    df = decorated(search(records, request), codes="soundex" in request.modes or "dm" in request.modes)
+    df = decorated(search(records, request, vocabulary=vocabulary), codes="soundex" in request.modes or "dm" in request.modes)
     rows = df.collect()
-    return SearchResult(df, rows, len(rows), (time.perf_counter() - began) * 1e3, len(rows) >= RESULT_LIMIT, query_codes(request.first_name, request.last_name), {m: mode_sql(m, request.first_name, request.last_name) for m in request.modes})
+    took, n = (time.perf_counter() - began) * 1e3, len(rows)
+    return SearchResult(
+        df, rows, n, took, n >= RESULT_LIMIT, page_label(n), query_codes(request.first_name, request.last_name),
+        {m: mode_sql(m, request.first_name, request.last_name) for m in request.modes}, [df._jdf.queryExecution().executedPlan().toString()],
+    )
 
 
 def admin_search(records: DataFrame, text: str) -> DataFrame:
@@ -147,4 +181,5 @@ def admin_search(records: DataFrame, text: str) -> DataFrame:
 
 
 def by_ids(records: DataFrame, ids: list[int]) -> DataFrame:
+    """The records of some ids, a page of them at most."""
     return records.where(F.col("id").isin(ids))

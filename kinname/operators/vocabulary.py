@@ -13,10 +13,13 @@ from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.operators import modes as M
 from kinname.operators.request import SearchRequest
-from kinname.schema import BITS, EDITS_BIT
+from kinname.schema import BITS, EDITS_BIT, LEAST_SIMILARITY
 
-#: Matching names of one column up to which their table is broadcast; beyond, the join shuffles.
+#: Matching names of one column up to which they are a local table that is broadcast; beyond, the join shuffles.
 BROADCAST_NAMES = 500_000
+_ALL = sum(BITS.values()) | EDITS_BIT
+#: Modes that are dear on every record, so that a search goes through the vocabulary if it has one.
+FUZZY = frozenset({"soundex", "dm", "levenshtein", "trigram"})
 
 
 def build(records: DataFrame, with_dm: bool = True) -> DataFrame:
@@ -27,33 +30,46 @@ def build(records: DataFrame, with_dm: bool = True) -> DataFrame:
 
 
 def name_bits(vocabulary: DataFrame, request: SearchRequest, value: str) -> DataFrame:
-    """(name, bits) of the names that match ``value`` in any enabled base mode; edit distance has a bit of its own."""
-    own = dm.codes_of(value) or []
+    """(name, bits, similarity) of the names that match ``value`` in any enabled mode; edit distance has a bit of its own."""
     tests = {
         "prefix": F.startswith("name_upper", F.upper(F.lit(value))),
         "legacy": F.contains("name_upper", F.upper(F.lit(value))),
         "soundex": F.col("soundex") == N.soundex_of(value),
     }
     if "dm" in request.modes:
+        own = dm.codes_of(value) or []
         tests["dm"] = F.coalesce(F.arrays_overlap("dm", F.array(*map(F.lit, own)).cast("array<string>")), F.lit(False))
-    bits = M.match_source({m: tests[m] for m in M.base_modes(request.modes)})
+    near = N.similarity_to(F.col("trigrams"), value) if "trigram" in request.modes else F.lit(0.0)
+    tested = vocabulary.withColumn("similarity", near)
+    tests["trigram"] = F.col("similarity") >= LEAST_SIMILARITY
+    bits = M.match_source({m: tests[m] for m in [*M.base_modes(request.modes), *["trigram"] * ("trigram" in request.modes)]})
     if "levenshtein" in request.modes:
         bits = bits.bitwiseOR(F.when(N.within_edits(F.col("name"), value), EDITS_BIT).otherwise(0))
-    return vocabulary.select("name", bits.alias("bits")).where(F.col("bits") != 0)
+    return tested.select("name", bits.alias("bits"), "similarity").where(F.col("bits") != 0)
 
 
-def matches(records: DataFrame, vocabulary: DataFrame, request: SearchRequest) -> DataFrame:
-    """The main part of a search with base modes: the records that match, with match_source."""
-    everything = sum(b for m, b in BITS.items() if m != "trigram") | EDITS_BIT
+def joined(records: DataFrame, vocabulary: DataFrame, request: SearchRequest) -> DataFrame:
+    """The records all of whose given names match in one mode at least: with _bits, the bits that they share, and each name's similarity.
+
+    The matching names of a value are judged once and kept, as a table of BROADCAST_NAMES rows at most.
+    """
+    spark = records.sparkSession
     out = records if request.date_of_birth is None else records.where(F.col("date_of_birth") == F.lit(request.date_of_birth))
-    bits = F.lit(everything)
+    bits = F.lit(_ALL)
     for column, value in request.names.items():
-        table = name_bits(vocabulary, request, value).select(F.col("name").alias(column), F.col("bits").alias(f"_{column}"))
-        small = table.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-        out = out.join(F.broadcast(table) if small else table, column)
-        bits = bits.bitwiseAND(F.col(f"_{column}"))
-    out = out.withColumn("_bits", bits)
+        table = name_bits(vocabulary, request, value)
+        few = table.limit(BROADCAST_NAMES + 1).toArrow()
+        if few.num_rows <= BROADCAST_NAMES:
+            table = F.broadcast(spark.createDataFrame(few, table.schema) if few.num_rows else table.where(F.lit(False)))
+        out = out.join(table.select(F.col("name").alias(column), F.col("bits").alias(f"_bits_{column}"), F.col("similarity").alias(f"_{column}")), column)
+        bits = bits.bitwiseAND(F.col(f"_bits_{column}"))
+    return out.withColumn("_bits", bits).where(F.col("_bits") != 0)
+
+
+def matches(records: DataFrame, vocabulary: DataFrame, request: SearchRequest) -> DataFrame:
+    """The main part of a search with base modes: the records that match, with match_source."""
+    out = joined(records, vocabulary, request)
     if "levenshtein" in request.modes:
         out = out.where(F.col("_bits").bitwiseAND(F.lit(EDITS_BIT)) != 0)
-    source = F.col("_bits").bitwiseAND(F.lit(everything & ~EDITS_BIT))
+    source = F.col("_bits").bitwiseAND(F.lit(_ALL & ~EDITS_BIT & ~BITS["trigram"]))
     return out.withColumn("match_source", source).where(F.col("match_source") != 0).select(*records.columns, "match_source")

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from datetime import date
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,55 +27,82 @@ def batch_identities(remaining: int, mean: float = MEAN_CLUSTER) -> int:
 
 
 def uniform(seed: int, salt: str, *of: Column) -> Column:
-    """A uniform number in [0, 1) that depends on its arguments alone."""
-    return F.xxhash64(F.lit(seed), F.lit(salt), *of).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    """A uniform number in [0, 1) that depends on its arguments alone: 52 bits of an MD5 digest, so any engine can draw it again."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), *[c.cast("string") for c in of]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def weights_cdf(names: DataFrame, column: str) -> DataFrame:
-    """(name, count, cdf): names in upper case and summed, most frequent first; the last cdf is 1.
+def _stretches(names: DataFrame, column: str) -> DataFrame:
+    """(name, count, low, cdf): names in upper case and summed; a name's stretch of [0, 1] is (low, cdf], most frequent names first.
 
-    The running sum is over a vocabulary of names, which is small beside the records it serves.
+    Running sums are over groups of names of one count and first two letters, and within each group by
+    itself: no task sorts the whole vocabulary, and names that occur once are dealt out, too.
     """
     kept = names.dropna(subset=[column]).groupBy(F.upper(column).alias("name")).agg(F.sum("count").alias("count")).where(F.length("name") <= MAX_NAME_LENGTH)
-    total = F.sum("count").over(W.partitionBy())
-    running = F.sum("count").over(W.orderBy(F.desc("count"), "name").rowsBetween(W.unboundedPreceding, 0))
-    return kept.select("name", "count", (running / total).alias("cdf")).orderBy(F.desc("count"), "name")
+    kept = kept.withColumn("_part", F.substring("name", 1, 2))
+    parts = kept.groupBy("count", "_part").agg(F.sum("count").alias("_sum"))
+    until = F.sum("_sum").over(W.orderBy(F.desc("count"), "_part").rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.select("count", "_part", (until - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_total"))
+    within = F.row_number().over(W.partitionBy("count", "_part").orderBy("name"))
+    running = kept.join(parts, ["count", "_part"]).withColumn("_running", F.col("_before") + within * F.col("count"))
+    return running.select("name", "count", ((F.col("_running") - F.col("count")) / F.col("_total")).alias("low"), (F.col("_running") / F.col("_total")).alias("cdf"))
+
+
+def weights_cdf(names: DataFrame, column: str) -> DataFrame:
+    """(name, count, cdf): names in upper case and summed, most frequent first; the last cdf is 1."""
+    return _stretches(names, column).select("name", "count", "cdf").orderBy(F.desc("count"), "name")
 
 
-def sampled(cdf: pd.DataFrame, draw: Column) -> Column:
-    """A name by its weight: a binary search of the draw in the cumulative weights, vectorised."""
-    names, edges = cdf["name"].to_numpy(), cdf["cdf"].to_numpy(dtype=float)
+#: Parts of [0, 1] in which draws meet names.
+_PARTS = 4_096
 
-    def run(u: pd.Series) -> pd.Series:
-        return pd.Series(names[np.minimum(np.searchsorted(edges, u.to_numpy(), side="left"), len(names) - 1)])
 
-    return F.pandas_udf(run, "string")(draw)
+def sampled(rows: DataFrame, stretches: DataFrame, draw: Column, to: str) -> DataFrame:
+    """``rows`` with the name whose stretch the draw falls into, as column ``to``.
+
+    A name stands in each part of [0, 1] that its stretch meets, so a draw looks among the names of its
+    part only. Spark broadcasts a small vocabulary and shuffles a large one.
+    """
+    low = F.when(F.col("low") == 0, F.lit(-1.0)).otherwise(F.col("low"))  # a draw of 0 falls into the first
+    part = lambda x: F.floor(x * _PARTS)
+    table = stretches.where("count > 0").select(F.col("name").alias(to), low.alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(part(F.col("low")), part(F.col("cdf")))).alias("_part"))
+    drawn = rows.withColumn("_draw", draw)
+    hit = (part(F.col("_draw")) == F.col("_part")) & (F.col("_low") < F.col("_draw")) & (F.col("_draw") <= F.col("_high"))
+    return drawn.join(table, hit).drop("_draw", "_low", "_high", "_part")
 
 
 def choice(options: list[str], draw: Column) -> Column:
     return F.get(F.array(*map(F.lit, options)), F.floor(draw * len(options)).cast("int"))
 
 
-def identities(spark: SparkSession, n: int, first: pd.DataFrame, last: pd.DataFrame, seed: int, as_of: date) -> DataFrame:
+def cluster_size(seed: int, identity: Column) -> Column:
+    """1 for most persons, 2 to LARGEST_CLUSTER with a heavy tail for the others."""
+    tail = F.floor(F.pow(1 - uniform(seed, "tail", identity), F.lit(-1 / TAIL)) - 1) + 2
+    tail = F.greatest(F.lit(2), F.least(F.lit(LARGEST_CLUSTER), tail))
+    return F.when(uniform(seed, "cluster", identity) < CLUSTER_RATE, tail).otherwise(F.lit(1)).cast("int")
+
+
+def identities(spark: SparkSession, n: int, first: DataFrame, last: DataFrame, seed: int, as_of: date) -> DataFrame:
     """``n`` persons: names, date 18 to 85 years before as_of, person id, cluster size, middle name, nicknames."""
     i = F.col("identity")
     u = lambda salt: uniform(seed, salt, i)
     rows = spark.range(n).select(F.col("id").alias("identity"))
-    table = F.create_map(*[x for c, nicks in NICKNAMES.items() for x in (F.lit(c), F.array(*map(F.lit, nicks)))])
+    rows = sampled(rows, first, u("first"), "_first")
+    rows = sampled(rows, last, u("last"), "last_name")
+    rows = sampled(rows, first, u("middle name"), "_full")
+    table = F.array(*[F.array(*map(F.lit, nicks)) for nicks in NICKNAMES.values()])
     hexes = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit("person"), i.cast("string")))
-    tail = F.greatest(F.lit(2), F.least(F.lit(LARGEST_CLUSTER), F.floor(F.pow(1 - u("tail"), F.lit(-1 / TAIL)) - 1) + 2)).cast("int")
-    full = sampled(first, u("middle name"))
     initial = choice([chr(c) for c in range(65, 91)], u("initial"))
     rows = rows.select(
-        "identity", sampled(first, u("first")).alias("first_name"), sampled(last, u("last")).alias("last_name"),
+        "identity", "_first", "last_name",
         F.date_sub(F.lit(as_of), (F.floor(u("dob") * (67 * 365)) + 18 * 365).cast("int")).alias("date_of_birth"),
         F.concat_ws("-", *[F.substring(hexes, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("person_id"),
-        F.when(u("cluster") < CLUSTER_RATE, tail).otherwise(F.lit(1)).alias("cluster_size"),
-        F.when(u("middle") < MIDDLE_NAME_RATE, F.when(u("full") < 0.5, full).otherwise(initial)).alias("middle_name"),
-        F.when(u("nickname") < NICKNAME_RATE, F.get(F.map_values(table), F.floor(u("canonical") * len(NICKNAMES)).cast("int"))).alias("_nicks"),
+        cluster_size(seed, i).alias("cluster_size"),
+        F.when(u("middle") < MIDDLE_NAME_RATE, F.when(u("full") < 0.5, F.col("_full")).otherwise(initial)).alias("middle_name"),
+        F.when(u("nickname") < NICKNAME_RATE, F.get(table, F.floor(u("canonical") * len(NICKNAMES)).cast("int"))).alias("_nicks"),
     )
     nick = F.get("_nicks", F.floor(u("which") * F.size("_nicks")).cast("int"))
-    return rows.withColumn("first_name", F.coalesce(nick, "first_name")).withColumn("nicknames", F.coalesce("_nicks", F.array().cast("array<string>"))).drop("_nicks")
+    return rows.withColumn("first_name", F.coalesce(nick, "_first")).withColumn("nicknames", F.coalesce("_nicks", F.array().cast("array<string>"))).drop("_nicks", "_first")
 
 
 def expanded(people: DataFrame) -> DataFrame:
@@ -119,10 +144,10 @@ def generate(spark: SparkSession, count: int, forenames: DataFrame, surnames: Da
 
     Ids come from running sums of cluster sizes over blocks of identities, not from one sort of all rows.
     """
-    first, last = (weights_cdf(t, c).toPandas() for t, c in ((forenames, "forename"), (surnames, "surname")))
+    first, last = _stretches(forenames, "forename"), _stretches(surnames, "surname")
     block = 4_096
     people = identities(spark, max(count, 1), first, last, seed, as_of).withColumn("_block", F.floor(F.col("identity") / block))
-    sizes = people.select("_block", "cluster_size").groupBy("_block").agg(F.sum("cluster_size").alias("n"))
+    sizes = spark.range(max(count, 1)).groupBy(F.floor(F.col("id") / block).alias("_block")).agg(F.sum(cluster_size(seed, F.col("id"))).alias("n"))
     starts = sizes.select("_block", (F.sum("n").over(W.orderBy("_block")) - F.col("n")).alias("_before")).where(F.col("_before") < count)
     within = F.sum("cluster_size").over(W.partitionBy("_block").orderBy("identity")) - F.col("cluster_size")
     placed = people.join(starts, "_block").withColumn("_start", F.col("_before") + within).where(F.col("_start") < count)

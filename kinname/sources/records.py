@@ -16,7 +16,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).parquet(path)
+    """All records of a table: the files that were written in bulk and the folders of the streams."""
+    return spark.read.schema(RECORD).option("recursiveFileLookup", "true").parquet(path)
 
 
 def write_records(records: DataFrame, path: str, *, append: bool = False, rows_a_file: int = 5_000_000) -> None:
@@ -39,9 +40,12 @@ def write_country_names(names: DataFrame, path: str, country: str = "US") -> Non
     names.where(F.col("country") == country).drop("country").write.mode("overwrite").csv(path, header=True)
 
 
-def export(records: DataFrame):
-    """An Arrow table for data-frame libraries, person ids as text."""
-    return records.withColumn("person_id", F.col("person_id").cast("string")).toArrow()
+def export(records: DataFrame, most: int = 5_000_000):
+    """An Arrow table for data-frame libraries, person ids as text; ValueError beyond ``most`` rows, which belong into files."""
+    table = records.withColumn("person_id", F.col("person_id").cast("string")).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"more than {most} records: write them as files instead")
+    return table
 
 
 def from_documents(documents: DataFrame) -> DataFrame:
@@ -90,3 +94,31 @@ NICKNAMED_SQL = f"""
 nicknamed AS (
   SELECT id, ([{", ".join(repr(x) for x in _CALLED)}])[CAST(id % {len(_CALLED)} AS INTEGER) + 1] AS first_name, upper(first_name || last_name) AS last_name, date_of_birth
   FROM court_record)"""
+
+
+def complete(records: DataFrame) -> DataFrame:
+    """Derived records with all columns: missing and empty middle names, nicknames of some, persons by first name."""
+    nicks = F.array(*[F.array(*map(F.lit, n)) for n in NICKNAMES.values()])
+    hexes = F.md5(F.lower("first_name"))
+    return records.select(
+        "id", "first_name", "last_name", F.when(F.col("id") % 3 == 1, F.lit("")).when(F.col("id") % 3 == 2, F.substring("last_name", 1, 1)).alias("middle_name"), "date_of_birth",
+        F.when(F.col("id") % 4 == 0, F.get(nicks, (F.col("id") % len(NICKNAMES)).cast("int"))).otherwise(F.array().cast("array<string>")).alias("nicknames"),
+        F.concat_ws("-", *[F.substring(hexes, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]).alias("person_id"),
+    )
+
+
+COMPLETE_SQL = f"""
+complete AS (
+  SELECT id, first_name, last_name, CASE id % 3 WHEN 1 THEN '' WHEN 2 THEN substr(last_name, 1, 1) END AS middle_name, date_of_birth,
+         CASE WHEN id % 4 = 0 THEN ({[list(n) for n in NICKNAMES.values()]})[CAST(id % {len(NICKNAMES)} AS INTEGER) + 1] ELSE [] END AS nicknames,
+         substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS person_id
+  FROM (SELECT *, md5(lower(first_name)) AS h FROM court_record))"""
+
+
+def with_nicknames(records: DataFrame) -> DataFrame:
+    return records.where(F.size("nicknames") > 0)
+
+
+def without_middle_name(records: DataFrame, *, empty: bool = False) -> DataFrame:
+    """Records whose middle name is missing; with ``empty``, or empty."""
+    return records.where(F.col("middle_name").isNull() | (F.lit(empty) & (F.col("middle_name") == "")))

@@ -10,10 +10,14 @@ from kinname.schema import RECORD
 from kinname.sources.records import exists
 
 
-def append(batch: DataFrame, table: str, names: str, batch_id: int = 0) -> None:
-    """One micro-batch; a batch that runs again replaces its own files, so it is appended once."""
+def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream: str = "once") -> None:
+    """One micro-batch of a stream; a batch that runs again replaces its own files, so it is appended once.
+
+    Batches are numbered anew by each stream, so a batch's folder has the stream's name in it, too.
+    ``read_records`` reads such folders and plain files of one table together.
+    """
     spark = batch.sparkSession
-    batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(f"{table}/stream={stream}/batch={batch_id}")
     fresh = vocabulary.build(batch)
     if exists(spark, names):
         fresh = fresh.join(spark.read.parquet(names).select("name"), "name", "left_anti")
@@ -21,5 +25,13 @@ def append(batch: DataFrame, table: str, names: str, batch_id: int = 0) -> None:
 
 
 def start(stream: DataFrame, table: str, names: str, checkpoint: str) -> StreamingQuery:
-    """Appends all that is there now, in micro-batches, and ends."""
-    return stream.writeStream.foreachBatch(lambda df, i: append(df, table, names, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends all that is there now, in micro-batches, and ends.
+
+    The stream's name is the id that its checkpoint holds: the same after a restart, another one for a new checkpoint.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        name = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        append(batch, table, names, batch_id, name)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
