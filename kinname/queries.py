@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
-from kinname.operators import reports, search, vocabulary
+from kinname.functions import sql
+from kinname.operators import reports, request, search, vocabulary
 from kinname.operators.request import SearchRequest
+from kinname.plans import explain
+from kinname.schema import MODES, NICKNAMES, RECORD
 from kinname.sources import generate, records
+from kinname.sources.shared import shared_dir
+from kinname.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -277,7 +281,7 @@ def name_weights_cdf(spark, sf_dir):
     return generate.weights_cdf(names, "surname").select("name", "count", F.round("cdf", 9).alias("cdf"))
 
 
-_PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, nicks in reports.NICKNAMES.items() for n in nicks) + ") t(canonical, nickname))"
+_PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" for c, nicks in NICKNAMES.items() for n in nicks) + ") t(canonical, nickname))"
 
 
 @_query(_with(records.NICKNAMED_SQL, _PAIRS_SQL, query=" SELECT canonical, nickname, count(*) AS pairs, min(c.id) AS first_canonical, min(n.id) AS first_nickname FROM pairs JOIN nicknamed c ON upper(c.first_name) = canonical JOIN nicknamed n ON upper(n.first_name) = nickname AND n.last_name = c.last_name GROUP BY ALL"))
@@ -332,47 +336,466 @@ def text_functions(spark, sf_dir):
     return _records(spark, sf_dir).select("id", F.length("first_name").alias("n"), shorter("first_name", 2).alias("prefix_example"), shorter("last_name", 1).alias("edit_example"), F.date_format("date_of_birth", "yyyy-MM-dd").alias("day"), N.with_thousands(F.col("id")).alias("shown"))
 
 
-@_query()
+_DM_RULES, _, _ = dm.rules()
+
+
+def _codes_sql(names: str) -> str:
+    """Relations dm_hits, dm_walk and codes(name, codes) for the names of a relation: letters from A to Z only.
+
+    Each step takes the longest cluster at a place; branches keep the path that led to them, so that the
+    least path of equal codes tells the order.
+    """
+    rules = ", ".join(f"('{c}', '{'|'.join(a)}', '{'|'.join(b)}', '{'|'.join(e)}')" for c, (a, b, e) in _DM_RULES.items() if c.isascii())
+    return f"""
+dm_rules AS (SELECT * FROM (VALUES {rules}) t(cluster, first, vowel, other)),
+dm_names AS (SELECT DISTINCT name, lower(name) AS w FROM {names}),
+dm_spots AS (SELECT DISTINCT w, unnest(range(1, length(w) + 1)) AS spot FROM dm_names),
+dm_hits AS (
+  SELECT w, spot, length(cluster) AS size, substr(w, spot, 1) AS letter,
+         string_split(CASE WHEN spot = 1 THEN first WHEN substr(w, spot + length(cluster), 1) IN ('a', 'e', 'i', 'o', 'u') THEN vowel ELSE other END, '|') AS codes
+  FROM (SELECT w, spot, unnest(range(1, 8)) AS k FROM dm_spots) JOIN dm_rules ON cluster = substr(w, spot, k) AND length(cluster) = k
+  QUALIFY row_number() OVER (PARTITION BY w, spot ORDER BY length(cluster) DESC) = 1),
+dm_walk AS (
+  SELECT w, CAST(1 AS BIGINT) AS spot, '' AS digits, '' AS last, '' AS before, '' AS path FROM dm_names
+  UNION
+  SELECT w, spot + size, CASE WHEN last <> '' AND ends_with(last, code) AND (before || letter) NOT IN ('mn', 'nm') THEN digits ELSE substr(digits || code, 1, 6) END, code, letter, path || CAST(n AS VARCHAR)
+  FROM (SELECT dm_walk.*, size, letter, unnest(codes) AS code, unnest(range(1, len(codes) + 1)) AS n FROM dm_walk JOIN dm_hits USING (w, spot))),
+dm_ends AS (SELECT w, rpad(digits, 6, '0') AS code, min(path) AS path FROM dm_walk WHERE spot > length(w) GROUP BY ALL),
+codes AS (SELECT name, list(code ORDER BY path) AS codes FROM dm_names JOIN dm_ends USING (w) GROUP BY name)"""
+
+
+def _dm_with(*parts: str, query: str) -> str:
+    return _with(*parts, query=query).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _same_dm(value: str) -> str:
+    """Relations with the codes of all last names and of a value, and the last names that share one with it: alike(name)."""
+    names = f"asked AS (SELECT last_name AS name FROM court_record UNION SELECT '{value}')"
+    return f"{names},{_codes_sql('asked')},\nalike AS (SELECT name FROM codes WHERE list_has_any(codes, (SELECT codes FROM codes WHERE name = '{value}')))"
+
+
+def _dm_page(value: str, more: str = "true") -> str:
+    return _dm_with(_same_dm(value), query=f" SELECT {_COLUMNS}, CAST(16 AS INTEGER) AS match_source, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS position FROM court_record WHERE last_name IN (SELECT name FROM alike) AND {more} ORDER BY id LIMIT 200")
+
+
+@_query(_dm_page("schander"))
 def dm_search(spark, sf_dir):
     return _search(spark, sf_dir, ["dm"], last="schander")
 
 
-@_query()
+@_query(_dm_page("thander", _near("last_name", "thander")))
 def dm_plus_levenshtein(spark, sf_dir):
     return _search(spark, sf_dir, ["dm", "levenshtein"], last="thander")
 
 
-@_query()
+@_query(_dm_with(_NAMES_SQL, _codes_sql("names"), query=" SELECT name, array_to_string(codes, ',') AS codes FROM codes"))
 def dm_codes(spark, sf_dir):
-    return _names(spark, sf_dir).select("name", dm.codes(F.col("name")).alias("codes"))
+    return _names(spark, sf_dir).select("name", F.array_join(dm.codes(F.col("name")), ",").alias("codes"))
 
 
-@_query()
+@_query(_dm_with(f"page AS (SELECT {_COLUMNS} FROM court_record WHERE {_sounds('last_name', 'thander')} ORDER BY id LIMIT 200)",
+    "asked AS (SELECT first_name AS name FROM page UNION SELECT last_name FROM page)", _codes_sql("asked"),
+    query=f" SELECT id, 4 AS match_source, true AS has_soundex, {soundex_sql('first_name')} AS soundex_fn, {soundex_sql('last_name')} AS soundex_ln, array_to_string(a.codes, ', ') AS dm_fn, array_to_string(b.codes, ', ') AS dm_ln FROM page JOIN codes a ON a.name = first_name JOIN codes b ON b.name = last_name"))
 def phonetic_codes(spark, sf_dir):
-    return search.decorated(_search(spark, sf_dir, ["soundex"], last="thander"))
+    page = search.run(_records(spark, sf_dir), SearchRequest(["soundex"], "", "thander")).df
+    return page.select("id", "match_source", "has_soundex", "phonetic_codes.*")
 
 
-@_query()
-def sampled_dobs(spark, sf_dir):
-    return _records(spark, sf_dir).select("date_of_birth").sample(fraction=0.01, seed=7).distinct()
+@_query(_dm_with("asked AS (SELECT * FROM (VALUES ('Thander'), ('Schmidt'), ('Robert'), ('Peters'), ('Bob'), ('Czajka'), ('Jackson')) t(name))", _codes_sql("asked"),
+    query=f" SELECT name, {soundex_sql('name')} AS soundex_fn, array_to_string(codes, ', ') AS dm_fn FROM codes"))
+def query_codes(spark, sf_dir):
+    asked = ["Thander", "Schmidt", "Robert", "Peters", "Bob", "Czajka", "Jackson"]
+    return spark.createDataFrame([(n, c["soundex_fn"], c["dm_fn"]) for n in asked for c in [search.query_codes(n, "")]], "name string, soundex_fn string, dm_fn string")
 
 
-@_query()
-def generated_records(spark, sf_dir):
+@_query(_dm_with(_same_dm("thender"), query=f" SELECT {_COLUMNS}, CAST(m AS INTEGER) AS match_source FROM (SELECT *, (CASE WHEN {_sounds('last_name', 'thender')} THEN 4 ELSE 0 END) | (CASE WHEN last_name IN (SELECT name FROM alike) THEN 16 ELSE 0 END) AS m FROM court_record) WHERE m <> 0 AND {_near('last_name', 'thender')}"))
+def vocabulary_fuzzy(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    return vocabulary.matches(rows, vocabulary.build(rows), SearchRequest(["soundex", "dm", "levenshtein"], "", "thender"))
+
+
+@_query(SQL["trigram_topup_merge"])
+def vocabulary_topup_merge(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    return search.search(rows, SearchRequest(["prefix", "trigram"], "", "thing"), vocabulary=vocabulary.build(rows, with_dm=False))
+
+
+@_query(SQL["levenshtein_standalone"])
+def vocabulary_levenshtein(spark, sf_dir):
     rows = _records(spark, sf_dir)
-    weights = lambda c, n: rows.groupBy(F.col(c).alias(n)).agg(F.count(F.lit(1)).alias("count"))
-    return generate.generate(spark, 20_000, weights("first_name", "forename"), weights("last_name", "surname"), seed=42)
+    return search.search(rows, SearchRequest(["levenshtein"], "thender", "the"), vocabulary=vocabulary.build(rows, with_dm=False))
+
+
+# sources and sinks
+
+_RECORD_SQL = ", ".join("array_to_string(nicknames, ',') AS nicknames" if f.name == "nicknames" else f.name for f in RECORD)
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """Records with their nicknames as one text."""
+    return rows.withColumn("nicknames", F.array_join("nicknames", ","))
+
+
+def _complete(spark, sf_dir) -> DataFrame:
+    return records.complete(_records(spark, sf_dir))
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete"))
+def stored_records(spark, sf_dir):
+    """Bulk writes, one that replaces and one that appends, and the scan of the table."""
+    path, rows = f"{shared_dir(spark)}/records", _complete(spark, sf_dir)
+    records.write_records(rows.where("id < 0"), path)
+    records.write_records(rows.where("id % 2 = 0"), path)
+    records.write_records(rows.where("id % 2 = 1"), path, append=True)
+    return _flat(records.read_records(spark, path))
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete"))
+def streamed_records(spark, sf_dir):
+    """Two streams with checkpoints of their own and a bulk write into one table."""
+    folder, rows = shared_dir(spark), _complete(spark, sf_dir)
+    table, names = f"{folder}/records", f"{folder}/names"
+    records.write_records(rows.where("id % 3 = 0"), table)
+    for k in (1, 2):
+        rows.where(f"id % 3 = {k}").write.parquet(f"{folder}/in{k}")
+        stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in{k}")
+        ingest.start(stream, table, names, f"{folder}/checkpoint{k}").awaitTermination()
+    return _flat(records.read_records(spark, table))
+
+
+@_query(_with(records.COMPLETE_SQL, query=" SELECT DISTINCT unnest([first_name, last_name]) AS name FROM complete WHERE id % 3 <> 0"))
+def streamed_vocabulary(spark, sf_dir):
+    """The vocabulary that streams grow, each name once."""
+    folder, rows = shared_dir(spark), _complete(spark, sf_dir)
+    for k in (1, 2):
+        ingest.append(rows.where(f"id % 3 = {k}"), f"{folder}/records", f"{folder}/names", 0, f"s{k}")
+    return spark.read.parquet(f"{folder}/names").select("name")
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete WHERE id % 50 = 0"))
+def exported_records(spark, sf_dir):
+    return _flat(spark.createDataFrame(records.export(_complete(spark, sf_dir).where("id % 50 = 0")), RECORD))
+
+
+@_query(_with("""
+weights AS (
+  SELECT first_name AS forename, CASE WHEN length(first_name) % 2 = 0 THEN 'M' ELSE 'F' END AS gender, count(*) AS count FROM court_record WHERE id // 1000000 % 3 = 0 GROUP BY ALL)""",
+    query=" SELECT forename, gender, CAST(count AS BIGINT) AS count FROM weights WHERE forename <> 'the'"))
+def country_names_csv(spark, sf_dir):
+    """Weights by country, one of them written as CSV and read again; rows without a name are left out."""
+    path = f"{shared_dir(spark)}/forenames"
+    country = F.when(F.floor(F.col("id") / 1_000_000) % 3 == 0, "US").otherwise("FR")
+    rows = _records(spark, sf_dir).select(F.when(F.col("first_name") != "the", F.col("first_name")).alias("forename"), F.when(F.length("first_name") % 2 == 0, "M").otherwise("F").alias("gender"), country.alias("country"))
+    records.write_country_names(rows.groupBy("forename", "gender", "country").agg(F.count(F.lit(1)).alias("count")), path)
+    return records.read_name_weights(spark, path, "forename")
+
+
+@_query("SELECT 'FileNotFoundError' AS error, true AS names_the_remedy")
+def missing_weights(spark, sf_dir):
+    try:
+        records.read_name_weights(spark, f"{shared_dir(spark)}/none", "forename")
+        found = ("", False)
+    except FileNotFoundError as e:
+        found = (type(e).__name__, "write_country_names" in str(e))
+    return spark.createDataFrame([found], "error string, names_the_remedy boolean")
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete WHERE len(nicknames) > 0"))
+def nicknames_not_empty(spark, sf_dir):
+    return _flat(records.with_nicknames(_complete(spark, sf_dir)))
+
+
+@_query(_with(records.COMPLETE_SQL, query=" SELECT id, middle_name IS NULL AS missing FROM complete WHERE middle_name IS NULL OR middle_name = ''"))
+def middle_name_missing(spark, sf_dir):
+    return records.without_middle_name(_complete(spark, sf_dir), empty=True).select("id", F.col("middle_name").isNull().alias("missing"))
+
+
+@_query(_with(records.COMPLETE_SQL, query=" SELECT id, first_name || ' ' || CASE WHEN coalesce(middle_name, '') = '' THEN '' ELSE middle_name || ' ' END || last_name AS full_name FROM complete"))
+def complete_names(spark, sf_dir):
+    return _complete(spark, sf_dir).select("id", N.full_name(F.col("first_name"), F.col("middle_name"), F.col("last_name")).alias("full_name"))
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete WHERE contains(upper(first_name), 'TH') OR contains(upper(last_name), 'TH') OR contains(upper(coalesce(middle_name, '')), 'TH')"))
+def admin_search_all_names(spark, sf_dir):
+    return _flat(search.admin_search(_complete(spark, sf_dir), "th"))
+
+
+_IDS = [0, 1, 3_000_001, 5_000_000, 7_000_002, 999_999_999_999]
+
+
+@_query(_with(query=f" SELECT {_COLUMNS} FROM court_record WHERE id IN ({', '.join(map(str, _IDS))})"))
+def records_by_ids(spark, sf_dir):
+    return search.by_ids(_records(spark, sf_dir), _IDS)
+
+
+# reports
+
+_FIRST = list(NICKNAMES)[:20]
+_SHORT_SQL = ", ".join(f"({i}, {j}, '{c}', '{n}')" for i, c in enumerate(_FIRST) for j, n in enumerate(NICKNAMES[c]))
+
+
+def _bynamed(rows: DataFrame) -> DataFrame:
+    """Records of canonical names and nicknames with ten last names, so that pairs are among the first records."""
+    return records.nicknamed(rows).withColumn("last_name", F.concat(F.lit("N"), (F.col("id") % 2).cast("string")))
+
+
+@_query(_with(records.NICKNAMED_SQL, f"""
+wanted AS (SELECT * FROM (VALUES {_SHORT_SQL}) t(i, j, canonical, nickname)),
+people AS (
+  SELECT * FROM (SELECT id, upper(first_name) AS name, 'N' || (id % 2) AS last_name, date_of_birth, row_number() OVER (PARTITION BY upper(first_name) ORDER BY id) AS n FROM nicknamed) WHERE n <= 2),
+met AS (
+  SELECT w.i, w.j, c.name AS canonical_first, k.name AS nickname_first, c.last_name, c.date_of_birth AS canonical_dob, k.date_of_birth AS nickname_dob,
+         row_number() OVER (PARTITION BY w.i, w.j ORDER BY c.last_name, c.id, k.id) AS n
+  FROM wanted w JOIN people c ON c.name = w.canonical JOIN people k ON k.name = w.nickname AND k.last_name = c.last_name)""",
+    query=" SELECT canonical_first, nickname_first, last_name, canonical_dob, nickname_dob FROM met WHERE n = 1 ORDER BY i, j LIMIT 3"))
+def nickname_pairs_short(spark, sf_dir):
+    return reports.first_nickname_pairs(_bynamed(_records(spark, sf_dir)))
+
 
+@_query(_with(query=" SELECT CAST(date_trunc('month', date_of_birth) AS DATE) AS period, count(*) AS cnt FROM court_record WHERE year(date_of_birth) BETWEEN 1950 AND 1969 GROUP BY ALL"))
+def date_hierarchy_months(spark, sf_dir):
+    return reports.date_hierarchy(_records(spark, sf_dir), "month", F.year("date_of_birth").between(1950, 1969))
 
-@_query()
+
+@_query(_with(query=" SELECT date_of_birth AS period, count(*) AS cnt FROM court_record WHERE date_trunc('month', date_of_birth) = DATE '1950-03-01' GROUP BY ALL"))
+def date_hierarchy_days(spark, sf_dir):
+    return reports.date_hierarchy(_records(spark, sf_dir), "day", F.trunc("date_of_birth", "month") == F.lit(date(1950, 3, 1)))
+
+
+def _u(seed: int, salt: str, *of: str) -> str:
+    """The generator's draw in DuckDB."""
+    parts = ", ".join([f"'{seed}'", f"'{salt}'", *[f"CAST({x} AS VARCHAR)" for x in of]])
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@_query(_with(query=f" SELECT DISTINCT date_of_birth FROM court_record WHERE {_u(7, 'page', 'id')} < 0.01"))
+def sampled_dobs(spark, sf_dir):
+    return reports.page_sample(_records(spark, sf_dir), 0.01, 7).select("date_of_birth").distinct()
+
+
+@_query(_with(query=f" SELECT {_COLUMNS} FROM court_record ORDER BY {_u(7, 'order', 'id')}, id LIMIT 100"))
+def random_order(spark, sf_dir):
+    return reports.in_random_order(_records(spark, sf_dir), 100, 7)
+
+
+@_query(_with(f"""
+picked AS (SELECT first_name AS f, last_name AS l FROM court_record ORDER BY {_u(5, 'order', 'id')}, id LIMIT 40),
+forms AS (
+  SELECT *, substr(f, 1, greatest(2, length(f) - 1)) AS f2, substr(l, 1, greatest(2, length(l) - 1)) AS l2, substr(f, 1, greatest(1, length(f) - 1)) AS f1, coalesce((
+    SELECT substr(l, 1, i) || substr(l, i + 2) FROM (SELECT min(i) AS i FROM (SELECT unnest(range(1, length(l))) AS i) WHERE substr(l, i, 1) = substr(l, i + 1, 1)) WHERE i IS NOT NULL), l) AS s
+  FROM picked)""", query="""
+SELECT f AS first_name, l AS last_name, unnest(['Exact', 'Phonetic', 'Phonetic', 'Fuzzy', 'Fuzzy', 'Combo', 'Combo']) AS label,
+       unnest(['prefix', 'soundex', 'dm', 'legacy,levenshtein', 'trigram', 'soundex,levenshtein', 'dm,levenshtein']) AS mode, unnest([f2, f, f, f1, f, f, f]) AS fn, unnest([l2, s, l, l, l, s, l]) AS ln FROM forms"""))
 def example_searches(spark, sf_dir):
-    found = reports.generate_examples(_records(spark, sf_dir), seed=3)
-    return spark.createDataFrame(pd.DataFrame([g | {"dob": found["dob"]} for g in found["groups"]], columns=["label", "mode", "fn", "ln", "dob"]), "label string, mode string, fn string, ln string, dob string")
+    people = reports.in_random_order(_records(spark, sf_dir), 40, 5).select("first_name", "last_name").collect()
+    return spark.createDataFrame([(f, l, g["label"], g["mode"], g["fn"], g["ln"]) for f, l in people for g in reports.example_groups(f, l)], "first_name string, last_name string, label string, mode string, fn string, ln string")
+
+
+@_query("SELECT true AS in_window, true AS one_date, 7 AS groups")
+def help_examples(spark, sf_dir):
+    """The examples' date has 5 to 20 records, and its groups are seven; asked twice, they are the same object."""
+    cache = reports.TimedCache(60)
+    rows = records.clustered(_records(spark, sf_dir)).where("length(first_name) >= 9").drop("person_id")
+    found = reports.help_examples(rows, cache=cache)
+    n = rows.where(F.col("date_of_birth") == F.lit(date.fromisoformat(found["dob"]))).count()
+    return spark.createDataFrame([(5 <= n <= 20 or not found["groups"], reports.help_examples(rows, cache=cache) is found, len(found["groups"]))], "in_window boolean, one_date boolean, groups int")
+
+
+@_query(_with(query=" SELECT count(*) AS n, 1 AS computed, 8 AS asked FROM court_record"))
+def cached_count(spark, sf_dir):
+    """Eight threads ask for one missing value: one computes it."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    cache, rows, made = reports.TimedCache(60), _records(spark, sf_dir), []
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: cache.get("n", lambda: made.append(1) or rows.count()), range(8)))
+    return spark.createDataFrame([(got[0], len(made), len(got) if len(set(got)) == 1 else 0)], "n long, computed int, asked int")
+
+
+# requests, explanations, display SQL
+
+_MODE_TEXTS = [None, "", "bogus", "prefix", "prefix, soundex", "prefix,prefix", "soundex,levenshtein", " legacy , soundex ", "dm,bogus,trigram", "legacy"]
+_DATE_TEXTS = ["1990-05-15", "1990-5-15", " 1990-05-15 ", "invalid", "1990-05-15 10:00:00", "", "1990-02-30", "1990-13-01", None]
+_SORT_TEXTS = ["dob_asc", "dob_desc", "bogus", " dob_asc"]
+_NAME_TEXTS = [" John ", "   ", "O'Neil"]
+_RAW = "modes string, dob string, sort string, name string"
+
+
+def _texts(values: list) -> str:
+    return "(VALUES " + ", ".join("(NULL)" if v is None else "('" + v.replace("'", "''") + "')" for v in values) + ")"
+
+
+_KNOWN = ", ".join(f"'{m}'" for m in MODES)
+
+
+@_query(f"""
+SELECT m AS modes, d AS dob, s AS sort, n AS name,
+  array_to_string(CASE WHEN len(plain) > 0 THEN plain ELSE ['prefix'] END, '+') AS searched, array_to_string(CASE WHEN len(bare) > 0 THEN bare ELSE ['prefix'] END, '+') AS explained,
+  CASE WHEN regexp_full_match(trim(d), '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN coalesce(CAST(TRY_CAST(trim(d) AS DATE) AS VARCHAR), 'none') ELSE 'none' END AS day,
+  CASE s WHEN 'dob_asc' THEN 'date_of_birth' WHEN 'dob_desc' THEN '-date_of_birth' ELSE '' END AS sort_field, trim(n) AS first_name
+FROM (SELECT *, list_filter(string_split(coalesce(m, ''), ','), lambda x: x IN ({_KNOWN})) AS plain, list_filter(list_transform(string_split(coalesce(m, ''), ','), lambda x: trim(x)), lambda x: x IN ({_KNOWN})) AS bare
+  FROM {_texts(_MODE_TEXTS)} a(m), {_texts(_DATE_TEXTS)} b(d), {_texts(_SORT_TEXTS)} c(s), {_texts(_NAME_TEXTS)} e(n))""")
+def parsed_requests(spark, sf_dir):
+    out = []
+    for m in _MODE_TEXTS:
+        for d in _DATE_TEXTS:
+            for s in _SORT_TEXTS:
+                for n in _NAME_TEXTS:
+                    params = {"modes": m, "date_of_birth": d, "sort": s, "first_name": n}
+                    a, b = SearchRequest.parse(params), SearchRequest.parse(params, explain=True)
+                    out.append((m, d, s, n, "+".join(a.modes), "+".join(b.modes), str(a.date_of_birth or "none"), a.sort_field, a.first_name))
+    return spark.createDataFrame(out, f"{_RAW}, searched string, explained string, day string, sort_field string, first_name string")
+
+
+@_query("""SELECT t AS text, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') THEN coalesce(CAST(TRY_CAST(t AS DATE) AS VARCHAR), 'none') ELSE 'none' END AS day, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') THEN TRY_CAST(t AS DATE) END IS NULL AS refused
+FROM (VALUES ('2026-01-01'), ('1990-13-01'), ('soon'), ('2024-02-29'), ('2023-02-29'), ('')) v(t)""")
+def reference_dates(spark, sf_dir):
+    out = []
+    for text in ("2026-01-01", "1990-13-01", "soon", "2024-02-29", "2023-02-29", ""):
+        try:
+            out.append((text, request.parse_reference_date(text).isoformat(), False))
+        except ValueError:
+            out.append((text, "none", True))
+    return spark.createDataFrame(out, "text string, day string, refused boolean")
+
+
+_FORMS = [("%Y-%m-%d", "yyyy-MM-dd", True), ("%Y-%-m-%-d", "yyyy-M-d", True), (" %Y-%-m-%d ", " yyyy-M-dd ", True), ("%Y-%m-%d 10:00:00", "yyyy-MM-dd '10:00:00'", False), ("%d.%m.%Y", "dd.MM.yyyy", False), ("%Y-13-%d", "yyyy-'13'-dd", False), ("%Y-02-30", "yyyy-'02-30'", False), ("", "''", False)]
+
+
+@_query(_with(query=" SELECT id, CASE id % 8 " + " ".join(f"WHEN {i} THEN " + (f"strftime(date_of_birth, '{f}')" if f else "''") for i, (f, _, _) in enumerate(_FORMS)) + f" END AS text, CASE WHEN id % 8 IN ({', '.join(str(i) for i, f in enumerate(_FORMS) if f[2])}) THEN strftime(date_of_birth, '%Y-%m-%d') ELSE 'none' END AS day FROM court_record"))
+def lenient_dates(spark, sf_dir):
+    text = F.lit(None).cast("string")
+    for i, (_, form, _) in enumerate(_FORMS):
+        text = F.when(F.col("id") % 8 == i, F.date_format("date_of_birth", form) if form != "''" else F.lit("")).otherwise(text)
+    return _records(spark, sf_dir).select("id", text.alias("text")).withColumn("day", F.coalesce(F.date_format(N.parsed_date(F.col("text")), "yyyy-MM-dd"), F.lit("none")))
 
 
-@_query()
+_EXPLAINED = [(["prefix", "soundex"], "", "ander", None), (["prefix", "trigram"], "", "ander", None), (["trigram"], "a", "b", None), (["prefix"], "", "", _DAY), (["trigram"], "", "", _DAY), (["levenshtein"], "", "", None)]
+
+
+def _said(modes: list[str], what: str) -> str:
+    return {"modes": " + ".join(MODES[m].label for m in modes), "descriptions": " ".join(MODES[m].description for m in modes)}[what]
+
+
+@_query(f"""SELECT n, modes, descriptions, kind, failed, trigram_subject, has_plan FROM (VALUES
+  {", ".join(f"({i}, '{_said(m, 'modes')}', '{_said(m, 'descriptions')}', " + ("'trigram', false, true, true" if "trigram" in m and (a or b) else "'main', false, false, true" if (a or b) or d and m == ["prefix"] else "'', true, false, false") + ")" for i, (m, a, b, d) in enumerate(_EXPLAINED))}
+) t(n, modes, descriptions, kind, failed, trigram_subject, has_plan)""")
 def explained_search(spark, sf_dir):
-    from kinname.plans.explain import explain
+    rows, out = _records(spark, sf_dir), []
+    for i, asked in enumerate(_EXPLAINED):
+        e = explain.explain(rows, SearchRequest(*asked), analyze=i == 0)
+        out.append((i, e["modes"], e["descriptions"], e["kind"], e["error"] is not None, "trigram query" in e["subject"], "Physical Plan" in (e["plan"] or "")))
+    return spark.createDataFrame(out, "n int, modes string, descriptions string, kind string, failed boolean, trigram_subject boolean, has_plan boolean")
+
+
+_FIXED_GRAMS = "[" + ", ".join(f"'{g}'" for g in N.trigrams_of("thander")) + "]"
+
+
+@_query(_dm_with(_same_dm("thander"), query=" UNION ALL ".join(f" SELECT '{mode}' AS mode, id FROM court_record WHERE {where}" for mode, where in {
+    "prefix": _prefix("last_name", "thander"), "legacy": _holds("last_name", "thander"), "soundex": _sounds("last_name", "thander"), "levenshtein": _near("last_name", "thander"),
+    "dm": "last_name IN (SELECT name FROM alike)", "trigram": f"{_ratio(grams_sql('last_name'), _FIXED_GRAMS)} >= 0.3"}.items())))
+def display_sql(spark, sf_dir):
+    """What the display SQL of each mode finds when it is run."""
+    sql.register(spark)
+    _records(spark, sf_dir).createOrReplaceTempView("kinname_people")
+    out = None
+    for mode in MODES:
+        where = explain.mode_sql(mode, "", "thander").removeprefix(MODES[mode].description).split(" ORDER BY ")[0]
+        part = spark.sql(f"SELECT '{mode}' AS mode, id FROM kinname_people WHERE {where}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query(_dm_with(_NAMES_SQL, _codes_sql("names"), query=f" SELECT name, {soundex_sql('name')} AS code, array_to_string(list_sort({grams_sql('name')}), ',') AS grams, round({_ratio(grams_sql('name'), _FIXED_GRAMS)}, 6) AS alike, {_near('name', 'thander')} AS near, array_to_string(codes, ',') AS codes FROM codes"))
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    _names(spark, sf_dir).createOrReplaceTempView("kinname_names")
+    return spark.sql("SELECT name, soundex_code(name) AS code, array_join(array_sort(trigrams(name)), ',') AS grams, round(similarity(name, 'thander'), 6) AS alike, within_edits(name, 'thander', 2) AS near, array_join(daitch_mokotoff(name), ',') AS codes FROM kinname_names")
+
+
+@_query(_with(query=" SELECT mode, least(n, 200) AS n, n >= 200 AS full_page, CASE WHEN n >= 200 THEN 'top 200' ELSE CAST(n AS VARCHAR) END AS label, true AS ran FROM ("
+    f"SELECT 'prefix' AS mode, count(*) AS n FROM court_record WHERE {_prefix('last_name', 'th')} UNION ALL SELECT 'legacy', count(*) FROM court_record WHERE {_holds('last_name', 'thander')})"))
+def page_figures(spark, sf_dir):
+    rows, out = _records(spark, sf_dir), []
+    for mode, name in (("prefix", "th"), ("legacy", "thander")):
+        r = search.run(rows, SearchRequest([mode], "", name))
+        out.append((mode, r.count, r.full_page, r.label, r.elapsed_ms > 0 and "TakeOrderedAndProject" in r.ran[0] and set(r.queries) == {mode}))
+    return spark.createDataFrame(out, "mode string, n long, full_page boolean, label string, ran boolean")
+
+
+# the generator
+
+_COUNT, _SEED = 20_000, 42
+
+
+def _weights_sql(column: str, to: str) -> str:
+    return f"""
+{to} AS (
+  SELECT name, CAST(sum(n) OVER (ORDER BY n DESC, name ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS cdf
+  FROM (SELECT upper({column}) AS name, count(*) AS n FROM court_record WHERE length({column}) <= 50 GROUP BY ALL))"""
+
+
+def _typo_sql(name: str, kind: str, where: str, letter: str) -> str:
+    at = f"CAST(floor({where} * CASE WHEN {kind} = 0 THEN length({name}) - 1 ELSE length({name}) END) AS BIGINT)"
+    before = f"substr({name}, 1, {at})"
+    made = f"CASE {kind} WHEN 0 THEN {before} || substr({name}, {at} + 2, 1) || substr({name}, {at} + 1, 1) || substr({name}, {at} + 3) WHEN 1 THEN {before} || substr({name}, {at} + 2) ELSE {before} || {letter} || substr({name}, {at} + 2) END"
+    moved = f"substr({name}, 1, length({name}) - 1) || chr(CAST(65 + (ascii(substr({name}, length({name}), 1)) - 64) % 26 AS INTEGER))"
+    return f"CASE WHEN length({name}) < 2 THEN {name} WHEN ({made}) <> {name} THEN {made} ELSE {moved} END"
+
+
+_EACH = ("i", "member")
+_GENERATED_SQL = _with(_weights_sql("first_name", "fc"), _weights_sql("last_name", "lc"), f"""
+draws AS (
+  SELECT i, {_u(_SEED, 'first', 'i')} AS uf, {_u(_SEED, 'last', 'i')} AS ul, {_u(_SEED, 'middle name', 'i')} AS um, md5(concat_ws('-', '{_SEED}', 'person', CAST(i AS VARCHAR))) AS h,
+    CASE WHEN {_u(_SEED, 'nickname', 'i')} < 0.3 THEN ({[list(n) for n in NICKNAMES.values()]})[CAST(floor({_u(_SEED, 'canonical', 'i')} * {len(NICKNAMES)}) AS BIGINT) + 1] END AS nicks,
+    CASE WHEN {_u(_SEED, 'cluster', 'i')} < 0.2 THEN greatest(2, least(80, CAST(floor(pow(1 - {_u(_SEED, 'tail', 'i')}, {-1 / generate.TAIL!r}::DOUBLE) - 1) AS BIGINT) + 2)) ELSE 1 END AS size
+  FROM range({_COUNT}) t(i)),
+people AS (
+  SELECT d.*, coalesce(nicks[CAST(floor({_u(_SEED, 'which', 'i')} * len(nicks)) AS BIGINT) + 1], f.name) AS fn, l.name AS ln, coalesce(nicks, []) AS nicknames,
+    CASE WHEN {_u(_SEED, 'middle', 'i')} < 0.9 THEN CASE WHEN {_u(_SEED, 'full', 'i')} < 0.5 THEN m.name ELSE chr(CAST(65 + floor({_u(_SEED, 'initial', 'i')} * 26) AS INTEGER)) END END AS middle_name,
+    DATE '2026-01-01' - CAST(floor({_u(_SEED, 'dob', 'i')} * 24455) + 6570 AS INTEGER) AS date_of_birth
+  FROM draws d ASOF JOIN fc f ON d.uf <= f.cdf ASOF JOIN lc l ON d.ul <= l.cdf ASOF JOIN fc m ON d.um <= m.cdf),
+members AS (SELECT *, unnest(range(size)) AS member FROM people),
+hits AS (
+  SELECT *, row_number() OVER (ORDER BY i, member) AS id, member > 0 AND {_u(_SEED, 'typo', *_EACH)} < 0.2 AS hit, CAST(floor({_u(_SEED, 'kind', *_EACH)} * 3) AS INTEGER) AS kind,
+    {_u(_SEED, 'where', *_EACH)} AS place, chr(CAST(65 + floor({_u(_SEED, 'letter', *_EACH)} * 26) AS INTEGER)) AS letter, {_u(_SEED, 'which name', *_EACH)} < 0.5 AS in_first FROM members)""",
+    query=f"""
+SELECT id, CASE WHEN hit AND in_first THEN {_typo_sql('fn', 'kind', 'place', 'letter')} ELSE fn END AS first_name, CASE WHEN hit AND NOT in_first THEN {_typo_sql('ln', 'kind', 'place', 'letter')} ELSE ln END AS last_name, middle_name, date_of_birth, array_to_string(nicknames, ',') AS nicknames,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS person_id FROM hits WHERE id <= {_COUNT}""")
+
+
+def _weights(spark, sf_dir) -> list[DataFrame]:
+    rows = _records(spark, sf_dir)
+    return [rows.groupBy(F.col(c).alias(n)).agg(F.count(F.lit(1)).alias("count")) for c, n in (("first_name", "forename"), ("last_name", "surname"))]
+
+
+@_query(_GENERATED_SQL)
+def generated_records(spark, sf_dir):
+    return _flat(generate.generate(spark, _COUNT, *_weights(spark, sf_dir), seed=_SEED))
+
+
+@_query(_with(query=f" SELECT id, kind, {_typo_sql('name', 'kind', 'place', 'letter')} AS made FROM (SELECT id, upper(last_name) AS name, id % 3 AS kind, (id % 97) / 97.0::DOUBLE AS place, chr(CAST(65 + id % 26 AS INTEGER)) AS letter FROM court_record)"))
+def typos(spark, sf_dir):
+    kind, place, letter = F.col("id") % 3, (F.col("id") % 97) / F.lit(97.0), F.char(65 + F.col("id") % 26)
+    return _records(spark, sf_dir).select("id", kind.alias("kind"), generate.typo(F.upper("last_name"), kind, place, letter).alias("made"))
+
+
+@_query(_with(query=" SELECT id, CAST(member AS INTEGER) AS member FROM (SELECT id, unnest(range(id % 4 + 1)) AS member FROM court_record)"))
+def expanded_clusters(spark, sf_dir):
+    people = _records(spark, sf_dir).select("id", (F.col("id") % 4 + 1).cast("int").alias("cluster_size"))
+    return generate.expanded(people).select("id", "member")
+
+
+@_query("SELECT n AS remaining, CAST(least(greatest(floor(n / 1.5), 1000), 2000000) AS BIGINT) AS identities FROM (VALUES (54000000), (3000000), (15000), (1), (1500), (100000)) t(n)")
+def batch_sizes(spark, sf_dir):
+    return spark.createDataFrame([(n, generate.batch_identities(n)) for n in (54_000_000, 3_000_000, 15_000, 1, 1_500, 100_000)], "remaining int, identities long")
+
 
-    out = explain(_records(spark, sf_dir), SearchRequest(["prefix", "soundex"], "", "ander"))
-    return spark.createDataFrame([(k, str(v)) for k, v in out.items()], "key string, value string")
+@_query("SELECT step, n, low, high, reports FROM (VALUES ('seeded', 3000, 1, 3000, 3), ('more', 3500, 1, 3500, 0), ('flushed', 800, 1, 800, 0)) t(step, n, low, high, reports)")
+def reseeded_table(spark, sf_dir):
+    """Seeds, adds after the highest id, and starts again from an empty table; reports only where they are due."""
+    path, weights, out = f"{shared_dir(spark)}/records", _weights(spark, sf_dir), []
+    for step, n, args in (("seeded", 3_000, {"flush": True}), ("more", 500, {"seed": 5, "cases": False}), ("flushed", 800, {"flush": True, "cases": False})):
+        found = generate.seed_table(spark, path, n, *weights, **args)
+        out.append((step, *records.read_records(spark, path).agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first(), len(found)))
+    return spark.createDataFrame(out, "step string, n long, low long, high long, reports int")

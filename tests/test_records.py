@@ -1,6 +1,7 @@
 """Sources, the generator's properties, reports, the stream, and every query against its SQL."""
 
 import os
+import shutil
 from datetime import date, timedelta
 
 import duckdb
@@ -125,3 +126,34 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_streams_and_bulk_writes_share_a_table(spark, tmp_path, weights):
+    """Batches are numbered anew by each checkpoint, also by a new one in the place of an old one; no row is lost."""
+    table, names, made = str(tmp_path / "table"), str(tmp_path / "names"), generate.generate(spark, 400, *weights)
+    records.write_records(made.where("id <= 100"), table)
+    for k in (1, 2, 3):
+        source, check = str(tmp_path / f"in{k}"), str(tmp_path / f"check{min(k, 2)}")
+        made.where(f"id > {k * 100} AND id <= {k * 100 + 100}").write.parquet(source)
+        if k == 3:
+            shutil.rmtree(check)
+        ingest.start(spark.readStream.schema(made.schema).parquet(source), table, names, check).awaitTermination()
+    assert sorted(r.id for r in records.read_records(spark, table).collect()) == list(range(1, 401))
+    records.write_records(made.where("id <= 7"), table)
+    assert records.read_records(spark, table).count() == 7
+
+
+def test_export_is_bounded(spark, weights):
+    made = generate.generate(spark, 50, *weights)
+    assert records.export(made, 50).num_rows == 50
+    with pytest.raises(ValueError, match="files"):
+        records.export(made, 49)
+
+
+def test_sampled_names_follow_their_weights(spark):
+    names = spark.createDataFrame([("Alpha", 9_000), ("Beta", 1_000), ("None", 0)], "forename string, count long")
+    got = generate.sampled(spark.range(40_000), generate._stretches(names, "forename"), generate.uniform(3, "x", F.col("id")), "n").groupBy("n").count().collect()
+    counts = {r.n: r["count"] for r in got}
+    assert set(counts) == {"ALPHA", "BETA"} and sum(counts.values()) == 40_000 and 3_400 <= counts["BETA"] <= 4_600
+    edges = spark.createDataFrame([(0.0,), (0.9,), (0.9000001,), (0.99999999,)], "u double")
+    assert [r.n for r in generate.sampled(edges, generate._stretches(names, "forename"), F.col("u"), "n").orderBy("u").collect()] == ["ALPHA", "ALPHA", "BETA", "BETA"]

@@ -1,5 +1,7 @@
 """Search semantics on small tables: modes, their algebra, limits, order, explanation, and the vocabulary path."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
@@ -149,3 +151,43 @@ def test_admin_search_and_hierarchy(spark):
     df = table(spark, ("John", "Smith", DAY), ("Amy", "Jones", date(1991, 1, 1)))
     assert reports.date_hierarchy(df).count() == 2
     assert reports.date_hierarchy(df, "day", F.year("date_of_birth") == 1990).collect()[0].cnt == 1
+
+
+@pytest.mark.parametrize("modes", [["soundex"], ["dm"], ["levenshtein"], ["trigram"], ["prefix", "trigram"], ["soundex", "levenshtein"], ["legacy", "dm", "levenshtein", "trigram"], ["prefix"]])
+@pytest.mark.parametrize("names", [("", "Smith"), ("Jon", "Smyth"), ("Zq", "Smith")])
+def test_search_through_the_vocabulary(spark, modes, names):
+    """The same page, in the same order, as the direct search, also with matching names beyond the broadcast bound."""
+    df = table(spark, ("John", "Smith", DAY), ("Jon", "Smyth"), ("Johnny", "Smithson", DAY), ("Jane", "Schmidt"), ("Smith", "John"), ("Jo", "Smi"), ("Jon", "Smith", DAY))
+    for dob, sort in ((None, ""), (DAY, "-date_of_birth")):
+        request = SearchRequest(modes, *names, dob, sort)
+        assert search(df, request, vocabulary=vocabulary.build(df)).collect() == search(df, request).collect()
+
+
+def test_large_vocabularies_join_by_shuffle(spark, monkeypatch):
+    df = table(spark, ("John", "Smith"), ("Jon", "Smyth"), ("Jane", "Schmidt"), ("Ann", "Jones"))
+    request = SearchRequest(["soundex", "trigram"], "", "Smith")
+    want = search(df, request).collect()
+    monkeypatch.setattr(vocabulary, "BROADCAST_NAMES", 1)
+    assert search(df, request, vocabulary=vocabulary.build(df)).collect() == want
+
+
+def test_cache_has_no_stampede():
+    """Of many threads one computes; a value of another key does not wait for it; a refresh renews."""
+    cache, made, busy = reports.TimedCache(60), [], threading.Event()
+
+    def slow():
+        made.append(1)
+        busy.wait(1)
+        return len(made)
+
+    with ThreadPoolExecutor(6) as pool:
+        got = [pool.submit(cache.get, "k", slow) for _ in range(5)]
+        assert pool.submit(cache.get, "other", lambda: "x").result(timeout=1) == "x"
+        busy.set()
+        assert [g.result() for g in got] == [1] * 5 and cache.get("k", slow, refresh=True) == 2
+
+
+def test_caches_tell_tables_apart(spark):
+    a, b = table(spark, ("A", "B")), table(spark, ("A", "B"), ("C", "D"))
+    cache = reports.TimedCache(60)
+    assert (reports.record_count(a, cache), reports.record_count(b, cache), reports.record_count(a, cache)) == (1, 2, 1)
