@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
+#: For each open scratch, the folders made since.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that ``spark.checkpoint.dir`` names; it goes when the application ends.
@@ -24,4 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(folder)
     files.deleteOnExit(folder)
+    for made in _open:
+        made.append(name)
     return name
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that are made within, at its end: for work whose result is written by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for name in made:
+            remove(spark, name)
