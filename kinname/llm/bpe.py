@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, spread, text_or_empty
+from kinname.llm.common import Memo, byte_alphabet, claim, few_rows, spread, text_or_empty
 
 _NEVER = 1 << 60
 #: A space that starts a pretoken whatever stands around: neither neighbour is white space.
@@ -177,14 +177,13 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     null; repeated rows give repeated results; an empty table gives an empty one; other columns are
     left out, whatever their names.
     """
-    arrow_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     kind = source.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe")
         code = codec(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [code.encode(x) for x in batch.column("text").to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
             ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
@@ -204,7 +203,7 @@ def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, digests, counts = [], [], []
             for x in batch.column("ids"):
                 ids = None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4")

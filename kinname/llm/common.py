@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import uuid
 import weakref
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to Python: few, since a text may hold megabytes.
+from kinname.sources.shared import shared_dir
+
+#: Rows that Python works on at once. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 512
+#: Characters of a key that a memo keeps: texts without spaces are long keys that never recur.
+LONGEST_KEY = 64
+#: Keys that are broadcast at most, of 8 bytes each.
+MOST_KEYS = 2_000_000
 
 
 class Memo(dict):
-    """A memo of ``make(key)`` in two generations that holds at most ``2 * limit`` entries.
+    """A memo of ``make(key)`` in two generations that holds at most ``2 * limit`` entries, of LONGEST_KEY characters each.
 
     When the young generation is full it becomes the old one; what is used again moves back. So
     frequent keys stay and memory is bounded, whatever the number of distinct keys. A Python worker
@@ -40,7 +45,8 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
-        self.keep(key, value)
+        if not isinstance(key, str) or len(key) <= LONGEST_KEY:
+            self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:
@@ -74,28 +80,36 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the folder that driver and executors share.
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: short lineage that outlives executors, and sizes that the planner knows."""
+    folder = shared_dir(df.sparkSession)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-    ``spark.checkpoint.dir`` names it; only where that is unset, as in tests, a local one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "kinname-shared")
-    return f"{base}/{uuid.uuid4().hex}"
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again: short lineage that outlives executors."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
 
+def digest_of(text: Column) -> Column:
+    """The SHA-256 of a text, 32 bytes."""
+    return F.unhex(F.sha2(text, 256))
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of Arrow batches for plans that send whole texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def parted(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` that may have their key in ``keys``, which is written already, and the rest, which surely have not.
+
+    Up to MOST_KEYS keys, 64-bit hashes of them are broadcast, so the rest is not shuffled; beyond, all
+    rows are in the first part and there is no rest. Which of the first part have a key is for a join to tell.
+    """
+    if keys.count() > MOST_KEYS:
+        return rows, None
+    wanted = F.broadcast(keys.select(F.xxhash64(*on).alias("_hash")))
+    hashed = rows.withColumn("_hash", F.xxhash64(*on))
+    return hashed.join(wanted, "_hash", "left_semi").drop("_hash"), hashed.join(wanted, "_hash", "left_anti").drop("_hash")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -128,27 +142,28 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``component`` is the smallest node that links reach. Every node of an edge is in the result;
     null ends are ignored. Each round relinks the larger neighbours of a node to the smallest
     node near it and then shortens the pointers, so chains of n nodes end in O(log n) rounds.
-    Minima are aggregated before each shuffle, so a node with very many links costs no more than
-    its links; only links travel, never texts, and nothing comes to the driver but one count.
+    Minima are aggregated before each shuffle and written before they are joined to the links, so
+    both sides of a join are plain tables: the planner broadcasts a small one and splits the links of
+    a node that has very many. Only links travel, never texts, and one count a round comes to the driver.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
     # u > v always: u points at v; a node alone keeps itself
-    point = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"))
+    point = cut(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     was = None
     for _ in range(max_rounds):
-        # large star: every neighbour above a node points at the least of its neighbours and itself
-        near = point.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")).select("e.n", "e.o")
-        least = near.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
-        large = near.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v"))
-        # small star: every neighbour below a node, and the node, point at the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        point = cut(small)
         now = point.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()  # equal sets of links give equal sums
         if now == was or not now[0]:
             break
         was = now
+        # large star: every neighbour above a node points at the least of its neighbours and itself
+        near = point.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("o")), F.struct(F.col("v").alias("n"), F.col("u").alias("o")))).alias("e")).select("e.n", "e.o")
+        least = cut(near.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")))
+        large = cut(near.where("o > n").join(least, "n").select(F.col("o").alias("u"), F.col("m").alias("v")).distinct())
+        # small star: every neighbour below a node, and the node, point at the least of them
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        point = cut(small.where("u > v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(point, nodes.node == point.u, "left").select("node", F.coalesce("v", "node").alias("component"))

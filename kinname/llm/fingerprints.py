@@ -1,9 +1,9 @@
 """Threshold-scaled sketches of documents: every shingle hash below a fixed fraction of the hash range.
 
 Sketches of any two documents compare directly, however unequal their sizes, as both kept the same part
-of the hash range; the sketch of a union is the union of the sketches. A text none of whose hashes is
-below the threshold keeps its least hash, so that no sketch is empty and equal short texts still meet.
-All of it is DataFrame functions.
+of the hash range; the sketch of a union is the union of the sketches. A short text has few hashes below
+the threshold or none, so it keeps all of its hashes: short texts compare exactly, and a short and a long
+one by the hashes below the threshold. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from kinname.llm.common import text_or_empty
 
 WORDS = 5
 #: One of so many hashes is kept.
-SCALE = 8
+SCALE = 4
+#: Runs of words up to which a text keeps all hashes.
+SHORT = 64
 #: Ranges of ids that neighbours are looked up in, at most; the table of their ends is broadcast.
 MOST_RANGES = 65_536
 _COARSE = 4_096
@@ -28,32 +30,42 @@ def _hashes(words: Column) -> Column:
     return F.transform(run, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WORDS)]))
 
 
+def _top(scale: int) -> int:
+    """The threshold: hashes below it are kept."""
+    return -(1 << 63) + (1 << 64) // scale
+
+
 def with_sketch(df: DataFrame, text_col: str, to: str, scale: int = SCALE) -> DataFrame:
-    """``df`` with the sorted sketch of a text column. A null or empty text has the sketch of one empty word."""
-    top = -(1 << 63) + (1 << 64) // scale
-    words, hashes = f"_{to}_words", f"_{to}_hashes"
-    split = df.withColumn(words, F.split(F.trim(text_or_empty(text_col)), r"\s+")).withColumn(hashes, _hashes(F.col(words))).drop(words)
-    low = f"_{to}_low"
-    below = split.withColumn(low, F.filter(hashes, lambda h: h < top))
-    one = F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hashes)))
-    return below.withColumn(to, one).drop(hashes, low)
+    """``df`` with the sorted sketch of a text column. All texts without words have one sketch, that of no words."""
+    words, hashes, low = f"_{to}_words", f"_{to}_hashes", f"_{to}_low"
+    split = df.withColumn(words, F.array_remove(F.split(text_or_empty(text_col), r"\s+"), "")).withColumn(hashes, _hashes(F.col(words))).drop(words)
+    below = split.withColumn(low, F.when(F.size(hashes) > SHORT, F.filter(hashes, lambda h: h < _top(scale))))
+    kept = F.when(F.size(low) > 0, F.col(low)).otherwise(F.col(hashes))
+    return below.withColumn(to, F.array_sort(F.array_distinct(kept))).drop(hashes, low)
+
+
+def _whole(sketch: Column, scale: int) -> Column:
+    """Whether a sketch has all hashes of its text, as one above the threshold tells."""
+    return F.array_max(sketch) >= _top(scale)
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimate of how much of the smaller document's shingles the other one has, 0 to 1.
 
-    For texts under some 30 words it is no estimate: one without a hash below the threshold has only its
-    least hash, which a longer text's sketch does not hold, so the result is 0 even where the text is part of it.
+    Exact of two texts that kept all hashes. Otherwise over the hashes below the threshold that both
+    kept; a text of n shingles beside a long one has none of them with a probability of (1 - 1/scale)^n,
+    which is 18 % for 6 shingles and 1 % for 16 at a scale of 4; then nothing tells of it and the result is 0.
     """
-    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
+    both = _whole(a, scale) & _whole(b, scale)
+    x, y = (F.when(both, s).otherwise(F.filter(s, lambda h: h < _top(scale))) for s in (a, b))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.least(F.size(x), F.size(y)).cast("double")), F.lit(0.0))
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two documents together."""
+    """The sketch of two documents together: all hashes if both kept theirs, else those below the threshold."""
     both = F.array_sort(F.array_union(a, b))
-    top = -(1 << 63) + (1 << 64) // scale
-    low = F.filter(both, lambda h: h < top)
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
+    low = F.filter(both, lambda h: h < _top(scale))
+    return F.when(_whole(a, scale) & _whole(b, scale) | (F.size(low) == 0), both).otherwise(low)
 
 
 def as_string(sketch: Column) -> Column:
@@ -95,7 +107,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last half of code points replaced by as many first ones of the next
     document by descending id, or by all of it where it is shorter. near_*: containment estimates. A
     null text is the empty text; repeated rows give a row each and are neighbours of each other;
-    an empty table gives an empty one; other columns are left out, whatever their names.
+    an empty table gives an empty one; other columns are left out, whatever their names. Texts of any
+    length are sketched whole, in expressions that hold one text at a time.
     """
     text = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     ahead = with_next(with_sketch(text, "_text", "_print", scale), "_id", ["_text", "_print"])
@@ -106,5 +119,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return both.select(
         F.col("_id").alias(id_col), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
         as_string(F.col("_print")).alias("fingerprint"), as_string(F.col("_edited_print")).alias("edited_fingerprint"),
-        containment(F.col("_print"), F.col("_edited_print")).alias("near_edited"), containment(F.col("_print"), F.col("next__print")).alias("near_next"),
+        containment(F.col("_print"), F.col("_edited_print"), scale).alias("near_edited"), containment(F.col("_print"), F.col("next__print"), scale).alias("near_next"),
     )

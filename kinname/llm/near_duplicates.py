@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, claim, components, cut, forest, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import boxed, claim, components, cut, digest_of, few_rows, forest, of_doc, parted, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -76,12 +76,11 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, digest, keys): the band keys of each row's whole text, those of equal weights too where shingles repeat; a text without words has none."""
-    arrow_batches(docs.sparkSession)
-    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", digest_of(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
-        for batch in batches:
+        for batch in few_rows(batches):
             found = [shingles(x) for x in batch.column("text").to_pylist()]
             some = [i for i, x in enumerate(found) if len(x)]
             keys: list = [[]] * len(found)
@@ -94,7 +93,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys[i] = np.union1d(keys[i], key)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "keys"])
 
-    return source.mapInArrow(run, "id long, digest string, keys array<long>").withColumn("row", F.monotonically_increasing_id())
+    return source.mapInArrow(run, "id long, digest binary, keys array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -112,7 +111,7 @@ def similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             recent.move_to_end(node)
             return recent[node]
 
-        for batch in batches:
+        for batch in few_rows(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for i, (x, s, y, t) in enumerate(zip(a, batch.column("text_a"), b, batch.column("text_b"), strict=True)):
@@ -148,20 +147,22 @@ def jaccard_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
 def _across(hits: DataFrame, links: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The links (a, b) between components of ``links`` whose documents share a bucket; enough of them to join what they join.
 
-    Buckets with several components hang together in pools. A pool is cut into blocks of about BLOCK
-    documents, and each pair of blocks is compared as a whole in one task, from texts, without listing
-    its pairs.
+    Buckets with several components hang together in pools. A pool of at most BLOCK documents is compared
+    as a whole; of a larger one each bucket by itself, in blocks of about BLOCK documents, so chains of
+    buckets do not add up. Blocks are compared from texts, without listing their pairs.
     """
     found = hits.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low < high").select("key", "least")
+    mixed = cut(found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low < high").select("key", "least"))
     open_hits = cut(found.join(mixed, "key"))
-    pools = components(open_hits.select(F.col("least").alias("a"), F.col("node").alias("b")))
-    members = open_hits.select("node", "component").distinct().join(pools.withColumnRenamed("component", "pool"), "node")
-    members = cut(members)
-    sizes = members.groupBy("pool").count().select("pool", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "pool").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("pool", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "text")
+    pools = cut(components(open_hits.select(F.col("least").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "pool"))
+    pooled = cut(open_hits.select("key", "node", "component").join(pools, "node"))
+    large = pools.groupBy("pool").count().where(F.col("count") > BLOCK).select("pool", F.lit(True).alias("large"))
+    grouped = pooled.join(cut(large), "pool", "left").select(F.when(F.col("large"), F.col("key")).alias("bucket"), "pool", "node", "component").distinct()
+    members = cut(grouped.withColumn("group", F.struct("bucket", "pool")).drop("bucket", "pool"))
+    sizes = cut(members.groupBy("group").count().select("group", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    dealt = members.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "text")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         sides = [part[part["block"] == b] for b in (part["lo"].iloc[0], part["hi"].iloc[0])]
@@ -178,7 +179,7 @@ def _across(hits: DataFrame, links: DataFrame, texts: DataFrame, least: float) -
         a, b = (s["node"].to_numpy() for s in sides)
         return pd.DataFrame({"a": [a[i] for i, _ in edges], "b": [b[j] for _, j in edges]}).astype("int64")
 
-    return pairs.groupBy("pool", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return pairs.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,19 +200,21 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "d
     nodes = sketched.groupBy("digest").agg(F.min(F.struct("row", "id", "keys")).alias("of")).select("digest", F.col("of.row").alias("node"), F.col("of.id").alias("id"), F.col("of.keys").alias("keys"))
     nodes = cut(nodes)
     banded = nodes.select(F.explode("keys").alias("key"), "node")
-    buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
+    buckets = cut(banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most"))
     hits = cut(banded.join(buckets, "key").select("key", "node", "least"))
-    needed = hits.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
-    texts = cut(text.join(needed.withColumnRenamed("id", "_id"), (text.digest == needed.digest) & text.id.eqNullSafe(F.col("_id"))).groupBy("node").agg(F.first("text").alias("text")))
+    needed = cut(hits.select("node").distinct().join(nodes.select("node", "digest", F.col("id").alias("_id")), "node"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", digest_of(F.col("text")))
+    text, _ = parted(text, needed.select("digest", F.col("_id").alias("id")), ["digest", "id"])
+    texts = cut(text.join(needed.withColumnRenamed("digest", "_digest"), (text.digest == F.col("_digest")) & text.id.eqNullSafe(F.col("_id"))).groupBy("node").agg(F.first("text").alias("text")))
 
     stars = hits.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = cut(similar(stars, texts, similarity))
     links = cut(links.unionByName(_across(hits.select("key", "node"), links, texts, similarity)))
 
-    classed = nodes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("class"))
-    rows = sketched.select("row", "id", "digest").join(classed, "digest")
-    heads = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size"))
+    # what is joined to all rows is written first, so the planner can split a class or a text that very many rows share
+    classed = cut(nodes.select("digest", "node").join(components(links), "node", "left").select("digest", F.coalesce("component", "node").alias("class")))
+    rows = cut(sketched.select("row", "id", "digest").join(classed, "digest"))
+    heads = cut(rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")))
     out = rows.join(heads, "class")
     return out.select("row", "id", "digest", F.col("head.id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))
 
@@ -222,15 +225,20 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col:
 
 
 def without_near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each class."""
+    """The rows of ``docs``, all columns, that stay: one of each class.
+
+    Only rows that share id and text with one that goes are shuffled, as long as those that go are few
+    enough for a broadcast of their hashes. Null and empty texts, null ids and repeated rows as in
+    :func:`classes`; of rows equal in id and text one stays; an empty table gives an empty one.
+    """
     found = cut(classes(docs, similarity=similarity, id_col=id_col, text_col=text_col).select("id", "digest", "kept"))
-    keys = found.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    keys = keys.select(F.col("id").alias("key_id"), F.col("digest").alias("key_digest"), "kept", "n")
-    gone, repeated = keys.where("NOT kept"), keys.where("kept AND n > 1")
-    marked = boxed(docs).select("doc", F.md5(text_or_empty(of_doc(text_col))).alias("digest"), of_doc(id_col).cast("long").alias("id"))
-    same = lambda k: (F.col("digest") == k["key_digest"]) & F.col("id").eqNullSafe(k["key_id"])
-    kept = marked.join(gone, same(gone), "left_anti")
-    if not repeated.isEmpty():  # of rows equal in id and text one stays
-        once = kept.join(repeated, same(repeated), "left_semi").groupBy("id", "digest").agg(F.first("doc").alias("doc")).select("doc")
-        kept = kept.join(repeated, same(repeated), "left_anti").select("doc").unionByName(once)
-    return unboxed(kept, docs.columns)
+    # rows equal in id and text cannot be told apart, so their key is looked at as a whole
+    keys = found.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1")
+    keys = cut(keys.select(F.col("id").alias("key_id"), F.col("digest").alias("key_digest"), "kept"))
+    marked = boxed(docs).select("doc", digest_of(text_or_empty(of_doc(text_col))).alias("digest"), of_doc(id_col).cast("long").alias("id"))
+    met, rest = parted(marked, keys.select(F.col("key_digest").alias("digest"), F.col("key_id").alias("id")), ["digest", "id"])
+    joined = met.join(keys, (F.col("digest") == F.col("key_digest")) & F.col("id").eqNullSafe(F.col("key_id")), "left")
+    stay = joined.where("kept IS NULL").select("doc")
+    once = joined.where("kept").groupBy("id", "digest").agg(F.first("doc").alias("doc")).select("doc")
+    out = stay.unionByName(once)
+    return unboxed(out if rest is None else rest.select("doc").unionByName(out), docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kinname.llm.common import arrow_batches, claim, cut, spread, text_or_empty
+from kinname.llm.common import claim, cut, few_rows, spread, text_or_empty
 from kinname.llm.tokens import encoder
 
 #: A bin's content as (length, how many of it), longest first.
@@ -123,7 +123,6 @@ def slots(packed: list[tuple[Pattern, int]]) -> tuple[np.ndarray, int]:
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids binary]) of every whole text's ids with a separator after them."""
-    arrow_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     kind = source.schema["id"].dataType
     fields = [T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -133,7 +132,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
         encode = encoder(path).encode_batch
-        for batch in batches:
+        for batch in few_rows(batches):
             row, number, start, length, crc, parts = [], [], [], [], [], []
             for i, ids in enumerate(encode(batch.column("text").to_pylist())):
                 ids += end
@@ -182,7 +181,7 @@ def pack(items: DataFrame, *, capacity: int = 2048, bucket_rows: int = 500) -> D
     keys = table[:, 0] * wide + table[:, 1]  # by length, then by rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             row = table[np.searchsorted(keys, length * wide + rank, side="right") - 1]
             n = rank - row[:, 1]

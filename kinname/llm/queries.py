@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
-
 
 def _path(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

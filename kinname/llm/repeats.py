@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, claim, cut, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import boxed, claim, cut, digest_of, few_rows, of_doc, parted, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, run_hashes, word_hashes
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
@@ -64,11 +64,11 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", F.md5("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", digest_of(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
-        for batch in batches:
+        for batch in few_rows(batches):
             words, found = [], []
             for text in batch.column("text").to_pylist():
                 hashes = word_hashes(text.split())
@@ -77,7 +77,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             lists = [_lists([f[i] for f in found], pa.int64() if i < 2 else pa.int32()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(words, pa.int32()), *lists], ["id", "digest", "words", "run", "kind", "start", "count"])
 
-    return source.mapInArrow(run, "id long, digest string, words int, run array<long>, kind array<long>, start array<int>, count array<int>").withColumn("row", F.monotonically_increasing_id())
+    return source.mapInArrow(run, "id long, digest binary, words int, run array<long>, kind array<long>, start array<int>, count array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _passages(texts: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def _passages(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
-        for batch in batches:
+        for batch in few_rows(batches):
             out: tuple[list, list, list] = [], [], []
             for text, kinds in zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
                 runs, kind, start, count, passages = places(word_hashes(text.split()))
@@ -166,7 +166,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     document is the first, that of the least id: they stay, so each repeated run stays whole in its
     first document. Each other stretch is one whose words the document with the id other has; it can
     be shorter than PASSAGE words, where the words beside it stay or are found in yet another document.
-    digest is the text's MD5.
+    digest is the text's SHA-256.
 
     Rows of equal texts are one document from the start, and its copies' whole texts are stretches if
     they have PASSAGE words; of the first of them, those that it shares with other texts, if there are any. Documents, kinds and passages are grouped by aggregation alone, combined
@@ -177,7 +177,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeats within one document only is left alone; rows that share an id but not a text are different
     documents; an empty table gives an empty one.
     """
-    arrow_batches(docs.sparkSession)
     scanned = cut(_anchors(docs, id_col, text_col))
     keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "words", "run", "kind", "start", "count")
     nodes = scanned.groupBy("digest").agg(F.min(keyed).alias("of"), F.count(F.lit(1)).alias("copies")).select("digest", "of.*", (F.col("copies") > 1).alias("copied"))
@@ -190,8 +189,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     # runs of several kinds: their passages, from the first document of each kind
     wanted = kinds.where("mixed").groupBy(F.col("first").alias("node")).agg(F.collect_list("kind").alias("kinds"))
-    wanted = wanted.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id")), "node")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.md5("text"))
+    wanted = cut(wanted.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id")), "node"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", digest_of(F.col("text")))
+    text, _ = parted(text, wanted.select(F.col("_digest").alias("digest"), F.col("_id").alias("id")), ["digest", "id"])
     found = _passages(text.join(wanted, (text.digest == wanted["_digest"]) & text.id.eqNullSafe(wanted["_id"])).select("text", "kinds"))
     found = cut(found.join(kinds.select("run", "kind", "first", "id", "last"), ["run", "kind"]))
     passages = found.select("run", "kind", "first", "id", "last", F.posexplode("passages").alias("at", "passage"))
@@ -234,18 +234,22 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` without the later copies of repeated passages; documents of which nothing is left go.
 
     All columns stay; chars_col, if the table has it, is counted anew for changed texts. Rows that are
-    equal in id and text count as copies of each other like any others.
+    equal in id and text count as copies of each other like any others; null and empty texts stay as
+    they are; an empty table gives an empty one. Only rows that share id and text with one that is cut
+    are shuffled, as long as those are few enough for a broadcast of their hashes.
     """
     found = cut(repeated_passages(docs, id_col=id_col, text_col=text_col).select("id", "digest", "row", "start", "stop", "kept"))
     gone = found.where("NOT kept").groupBy("id", "digest", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # equal rows cannot be told apart: of rows equal in id and text all get what the first of them gets
-    cutting = gone.groupBy(F.col("id").alias("key_id"), F.col("digest").alias("key_digest")).agg(F.min_by("spans", "row").alias("spans"))
-    marked = boxed(docs).select("doc", text_or_empty(of_doc(text_col)).alias("text"), of_doc(id_col).cast("long").alias("id"))
-    joined = marked.join(cutting, (F.md5("text") == F.col("key_digest")) & F.col("id").eqNullSafe(F.col("key_id")), "left")
+    cutting = cut(gone.groupBy(F.col("id").alias("key_id"), F.col("digest").alias("key_digest")).agg(F.min_by("spans", "row").alias("spans")))
+    marked = boxed(docs).select("doc", digest_of(text_or_empty(of_doc(text_col))).alias("digest"), of_doc(id_col).cast("long").alias("id"))
+    met, rest = parted(marked, cutting.select(F.col("key_digest").alias("digest"), F.col("key_id").alias("id")), ["digest", "id"])
+    joined = met.join(cutting, (F.col("digest") == F.col("key_digest")) & F.col("id").eqNullSafe(F.col("key_id")), "left")
     changed = F.col("spans").isNotNull()
-    out = joined.withColumn("new", F.when(changed, F.pandas_udf(_without, "string")("text", "spans")))
+    out = joined.withColumn("new", F.when(changed, F.pandas_udf(_without, "string")(text_or_empty(of_doc(text_col)), F.col("spans"))))
     out = out.where(~changed | F.col("new").rlike(r"\S"))
     new = {text_col: F.when(changed, F.col("new")).otherwise(of_doc(text_col))}
     if chars_col and chars_col in docs.columns:
         new[chars_col] = F.when(changed, F.length("new")).otherwise(of_doc(chars_col)).cast(docs.schema[chars_col].dataType)
-    return unboxed(out, docs.columns, new)
+    out = unboxed(out, docs.columns, new)
+    return out if rest is None else unboxed(rest, docs.columns).unionByName(out)

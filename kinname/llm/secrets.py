@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import arrow_batches, boxed, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import boxed, few_rows, of_doc, spread, text_or_empty, unboxed
 
 #: Labelled findings that the forest is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -32,6 +32,8 @@ _GIVEN = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|(?:secret|private|client)(?:
 #: A bearer's token in a header, and the password in an address.
 _BEARER = re.compile(r"""(?i)authorization["']?\s*[:=]\s*["']?bearer\s+([^\s"'<>,;]{6,})""")
 _ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
+#: Beginnings that issuers give to their tokens, and the two dots of signed ones.
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:glpat-|gh[opsu]_|github_pat_|xox[abprs]-|sk-|sk_live_|rk_live_|AKIA|ASIA|AIza|SG\.|npm_|pypi-|hf_)[A-Za-z0-9_\-.]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 _SECRET_WORDS = frozenset("token secret password passwd pwd pass key apikey api_key access_key auth bearer credential credentials private".split())
 _OTHER_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build order invoice card iban isbn phone example sample placeholder dummy etag integrity".split())
 _DULL_PATH = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|fixtures?|docs?|samples?|mock|lock)([/_.\-]|$)")
@@ -80,8 +82,9 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each candidate, in order and apart: long runs that hold a digit, and what is given to a name of secrets."""
+    """(start, end) of each candidate, in order and apart: long runs that hold a digit, tokens of known beginnings, and what is given to a name of secrets."""
     found = [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m[0])]
+    found += [m.span() for m in _ISSUED.finditer(text)]
     if ":" in text or "=" in text:
         found += [m.span(1) for given in (_GIVEN, _BEARER, _ADDRESS) for m in given.finditer(text)]
     out: list[tuple[int, int]] = []
@@ -151,15 +154,21 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 10
     return Forest([grow(rng.integers(0, len(x), len(x))) for _ in range(trees)])
 
 
-def train(findings: Sequence[tuple[str, str, str, str, int]]) -> Forest:
-    """A forest from labelled findings (candidate, before, after, path, 1 if a secret), TRAIN_ROWS at most."""
-    findings = findings[:TRAIN_ROWS]
+def train(findings: Sequence[tuple[str, str, str, str, int]], seed: int = 3) -> Forest:
+    """A forest from labelled findings (candidate, before, after, path, 1 if a secret); of more than TRAIN_ROWS, on a random sample of so many."""
+    if len(findings) > TRAIN_ROWS:
+        findings = [findings[i] for i in np.sort(np.random.default_rng(seed).choice(len(findings), TRAIN_ROWS, replace=False))]
     return fit_forest(np.array([features(*f[:4]) for f in findings]), np.array([float(f[4]) for f in findings]))
 
 
-def made_findings(n: int = 4_000, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
+#: Kinds of secrets and of other candidates that findings are made of.
+SECRET_KINDS = ("hex 40", "hex 32", "hex 64", "mixed", "access key", "issued", "base64", "sk", "password", "letters", "signed", "address")
+OTHER_KINDS = ("commit", "checksum", "digest", "words", "uuid", "number", "path", "placeholder", "version")
+
+
+def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) -> list[tuple[str, str, str, str, int]]:
     """Labelled findings of common kinds, for want of a table of them: secrets as they are given to names, and
-    commits, checksums, identifiers, numbers, names and placeholders as they stand in texts."""
+    commits, checksums, identifiers, numbers, names and placeholders as they stand in texts. without: kinds to leave out."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -168,22 +177,40 @@ def made_findings(n: int = 4_000, seed: int = 5) -> list[tuple[str, str, str, st
     prose = ["of the", "and then", "is given in", "was here", "de la", "und der", "see also", "it"]
     paths = ["src/app.py", "config/prod.env", "main.go", "src0", "src7", "web/page", ""]
     dull = ["tests/data.py", "docs/guide.md", "examples/run.sh", "fixtures/a.json"]
+    secrets_of = {
+        "hex 40": lambda: chars(hexes, 40), "hex 32": lambda: chars(hexes, 32), "hex 64": lambda: chars(hexes, 64), "mixed": lambda: chars(mixed, int(rng.integers(20, 64))),
+        "access key": lambda: "AKIA" + chars(upper + digits, 16), "issued": lambda: pick(["ghp_", "glpat-", "xoxb-", "npm_", "hf_"]) + chars(mixed, int(rng.integers(20, 37))),
+        "base64": lambda: chars(mixed + "+/", 40), "sk": lambda: "sk-" + chars(mixed, 32), "password": lambda: chars(mixed + "!$%&", int(rng.integers(8, 24))),
+        "letters": lambda: pick(["glpat-", "xoxb-", ""]) + chars(upper + upper.lower(), int(rng.integers(18, 32))), "signed": lambda: "eyJ" + ".".join(chars(mixed + "-_", int(k)) for k in rng.integers(20, 60, 3)),
+        "address": lambda: chars(mixed + "!$%&", int(rng.integers(8, 24))),
+    }
+    names_of = {
+        "commit": ["commit ", "sha1 ", "revision "], "checksum": ["md5 ", "checksum: ", "etag = "], "digest": ["sha256 ", "digest = ", "integrity: "], "words": [""], "uuid": ["uuid ", "id = ", "guid: "],
+        "number": ["order ", "card ", "invoice ", ""], "path": ["", "href="], "placeholder": ["token = ", "password: ", "api_key="], "version": ["version = ", "build ", ""],
+    }
+    others_of = {
+        "commit": lambda: chars(hexes, 40), "checksum": lambda: chars(hexes, 32), "digest": lambda: chars(hexes, 64), "words": lambda: "_".join(pick(DICTIONARY) for _ in range(4)) + chars(digits, 2),
+        "uuid": lambda: "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12)), "number": lambda: chars(digits, int(rng.integers(16, 20))), "path": lambda: "/".join(pick(DICTIONARY) for _ in range(4)) + "/" + chars(digits, 3),
+        "placeholder": lambda: pick(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "changeme123456", "example_password_1", "placeholder-key-0000", "your-password"]), "version": lambda: "v" + ".".join(chars(digits, 1) for _ in range(3)) + "-" + chars(digits, 10),
+    }
+    ours, theirs = [k for k in SECRET_KINDS if k not in without], [k for k in OTHER_KINDS if k not in without]
     out = []
     for i in range(n):
         quote, case = pick(['"', "'", ""]), pick([str, str, str.upper])
-        kind, secret = int(rng.integers(9)), int(i % 2)
-        if secret:
-            value = [chars(hexes, 40), chars(hexes, 32), chars(hexes, 64), chars(mixed, int(rng.integers(20, 64))), "AKIA" + chars(upper + digits, 16), "ghp_" + chars(mixed, 36), chars(mixed + "+/", 40), "sk-" + chars(mixed, 32), chars(mixed + "!$%&", int(rng.integers(8, 24)))][kind]
-            name = pick(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "key"])
-            before = case(f"{pick(prose)} {name} {pick(['=', ':', '= ', ': '])}".replace("  ", " ")) + pick([" ", ""]) + quote
-            if kind in (4, 5, 7) and rng.random() < 0.4:  # forms that tell by themselves
+        if i % 2:
+            kind = pick(ours)
+            value = secrets_of[kind]()
+            name = pick(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "key", "secret_key", "private_key", "pwd"])
+            before = case(f"{pick(prose)} {name}{pick(['', ' '])}{pick(['=', ':', '= ', ': '])}") + quote
+            if kind == "address":
+                before, quote = f"{pick(prose)} {pick(['postgres', 'redis', 'amqp', 'https'])}://{pick(['admin', 'app', 'root', ''])}:", "@"
+            elif kind in ("access key", "issued", "sk", "signed") and rng.random() < 0.4:  # forms that tell by themselves
                 before, quote = pick(prose) + " ", ""
-            value = case(value) if kind < 3 else value
-            out.append((value, before, quote + " " + pick(prose), pick(paths if rng.random() < 0.9 else dull), 1))
+            value = case(value) if kind.startswith("hex") else value
+            out.append((value, before, quote + ("host/db" if kind == "address" else " " + pick(prose)), pick(paths if rng.random() < 0.9 else dull), 1))
         else:
-            names = [pick(["commit ", "sha1 ", "revision "]), pick(["md5 ", "checksum: ", "etag = "]), pick(["sha256 ", "digest = ", "integrity: "]), "", pick(["uuid ", "id = ", "guid: "]), pick(["order ", "card ", "invoice ", ""]), pick(["", "href="]), pick(["token = ", "password: ", "api_key="]), pick(["version = ", "build ", ""])]
-            values = [chars(hexes, 40), chars(hexes, 32), chars(hexes, 64), "_".join(pick(DICTIONARY) for _ in range(4)) + chars(digits, 2), "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12)), chars(digits, int(rng.integers(16, 20))), "/".join(pick(DICTIONARY) for _ in range(4)) + "/" + chars(digits, 3), pick(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "changeme123456", "example_password_1", "placeholder-key-0000"]), "v" + ".".join(chars(digits, 1) for _ in range(3)) + "-" + chars(digits, 10)]
-            out.append((values[kind], pick(prose) + " " + names[kind] + (quote if kind in (4, 7) else ""), " " + pick(prose), pick(paths + dull), 0))
+            kind = pick(theirs)
+            out.append((others_of[kind](), pick(prose) + " " + pick(names_of[kind]) + (quote if kind in ("uuid", "placeholder") else ""), " " + pick(prose), pick(paths + dull), 0))
     return out
 
 
@@ -200,16 +227,16 @@ def find_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE,
 
     start and end count characters; of the value only its digest is returned. A null or empty text has
     no candidates; a null path is an empty one, as is that of a table without path_col; a null id stays
-    null; repeated rows give repeated findings; an empty table gives an empty one. One narrow pass.
+    null; repeated rows give repeated findings; an empty table gives an empty one; other columns are
+    left out. Very long texts are searched whole. One narrow pass.
     """
     import hashlib
 
-    arrow_batches(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), path.alias("path")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column("text").to_pylist()
             found = list(_judge(texts, batch.column("path").to_pylist(), forest, least))
             row, start, end, score, secret = zip(*found, strict=True) if found else ((),) * 5
@@ -233,8 +260,11 @@ def _cleaner(forest: Forest, least: float, mark: str):
 
 
 def without_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE, mark: str = "[secret]", text_col: str = "text", path_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs``, all rows and columns, with each secret's characters replaced by ``mark``; chars_col is counted anew where texts change."""
-    arrow_batches(docs.sparkSession)
+    """``docs``, all rows and columns, with each secret's characters replaced by ``mark``; chars_col is counted anew where texts change.
+
+    Null texts stay null, empty ones empty; null paths count as empty; null ids and repeated rows stay
+    as they are; an empty table gives an empty one. One narrow pass over whole texts.
+    """
     path = text_or_empty(of_doc(path_col)) if path_col in docs.columns else F.lit("")
     marked = boxed(docs).withColumn("text", text_or_empty(of_doc(text_col)))
     out = marked.withColumn("clean", F.pandas_udf(_cleaner(forest, least, mark), "string")("text", path))

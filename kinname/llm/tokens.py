@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, byte_alphabet, claim, text_or_empty
+from kinname.llm.common import MOST_KEYS, Memo, byte_alphabet, claim, cut, few_rows, parted, spread, text_or_empty
 
 
 #: Letters that lower to one letter each, and ASCII marks but the apostrophe.
@@ -151,31 +151,41 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 2048, i
     """(id, n_bytes, n_tokens, over_limit) of every row's whole text, through a cache of counts by digest.
 
     cache: a folder that driver and executors share, with rows (tokenizer, content, n_tokens), where
-    both are SHA-256 digests. Contents whose digest the cache lacks are made distinct before they are
-    shuffled, so that a text which a third of all rows repeat crosses once a task; the distinct misses
-    are encoded, each once, and appended; then every row joins its count. Only digests take part in
-    that join. A lost executor repeats only its own tasks; a run that dies before the append has
-    written nothing that counts, and rows that two runs append twice are equal and count once.
-
-    A null text is the empty text (0 bytes, 0 tokens); a null id stays null; repeated rows give
-    repeated results; an empty table gives an empty one; other columns are left out.
+    both are SHA-256 digests. One pass makes the digests; by them alone the distinct misses are found.
+    Of the misses, those that one row has are encoded where they are read; only texts that several rows
+    have, or whose digest the cache may know, are shuffled, combined before, so each is encoded once.
+    Where too many contents recur to broadcast their hashes, all misses are shuffled. The counts are
+    appended; then every row joins its count by digest. A lost executor repeats only its own tasks; a
+    run that dies before the append has written nothing that counts, and rows that two runs append
+    twice are equal and count once.
+
+    A null text is the empty text (0 bytes, 0 tokens); very long texts are encoded whole, as any; a
+    null id stays null; repeated rows give repeated results; an empty table gives an empty one; other
+    columns are left out.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     version = tokenizer_digest(path)
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(normalised(text, path), 256).alias("content"))
+    rows = cut(docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(normalised(text, path), 256).alias("content")))
     whole = docs.select(normalised(text, path).alias("text")).select("text", F.sha2("text", 256).alias("content"))
-    stored = lambda: open_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
-    known = open_cache(spark, cache).where(F.col("tokenizer") == version).select("content")
-    misses = whole.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
+    stored = lambda: open_cache(spark, cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
+    distinct = cut(rows.groupBy("content").agg(F.count(F.lit(1)).alias("n")))
+    misses = cut(distinct.join(stored(), "content", "left_anti"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens")
         encode = encoder(path).encode_batch
-        for batch in batches:
+        for batch in few_rows(batches):
             n = pa.array([len(x) // 4 for x in encode(batch.column("text").to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n)), batch.column("content"), n], ["tokenizer", "content", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return rows.join(stored(), "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    n_misses = misses.count()
+    if n_misses <= MOST_KEYS < distinct.count():  # most are known: the few misses are picked out
+        met, alone = parted(whole, misses, ["content"])[0], None
+    else:
+        met, alone = parted(whole, cut(distinct.join(misses.where("n = 1"), "content", "left_anti")), ["content"])
+    once = met.groupBy("content").agg(F.first("text").alias("text")).join(misses.select("content"), "content", "left_semi").select("text", "content")
+    if n_misses:
+        (once if alone is None else spread(alone).unionByName(once)).mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    counts = cut(stored().join(distinct.select("content"), "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+    return rows.join(counts, "content").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, arrow_batches, boxed, claim, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import Memo, boxed, claim, few_rows, of_doc, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
-#: Labelled rows that the models are fitted on, at most; every document is scored.
-TRAIN_ROWS = 8_000
+#: Labelled rows that the models are fitted on, and characters of their texts, at most; every document is scored.
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 200_000_000
 FOLDS = 4
-#: Features whose share among a category's rows is above that of the rest by so many standard errors are used.
-LEAST_Z, MOST_WORDS = 5.0, 2_000
+#: Features whose share among a category's rows is above that of the rest by so many standard errors are used; of all
+#: categories together so many at most.
+LEAST_Z, MOST_WORDS = 5.0, 20_000
 REJECT = 0.3
 
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -194,25 +195,33 @@ def fit_chain(rows: pa.ListArray, labels: np.ndarray, groups: np.ndarray, catego
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Chain:
     """A chain from labelled documents. categories: names and 0/1 columns over ``labels``, in the chain's order.
 
-    Fitted on the ``rows`` labelled ids with the least hashes, whose words alone come to the driver; of
-    rows that share an id, on the text of the least digest, chosen on the executors.
-    Rows with a null label are left out. Without rows, or with rows of one kind, the chain predicts
-    the share it saw (of no rows, next to none).
+    Fitted on the ``rows`` labelled ids with the least hashes, whose words alone come to the driver, as
+    far as their texts together have TRAIN_CHARS characters; of rows that share an id, on the text of
+    the least digest, chosen on the executors. An id that is labelled twice is in a category if any of
+    its labels says so. Rows with a null label are left out. Without rows, or with rows of one kind,
+    the chain predicts the share it saw (of no rows, next to none).
     """
     names = list(categories)
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), *[c.cast("int").alias(f"_y{i}") for i, c in enumerate(categories.values())])
     marked = marked.dropna().where(F.greatest(*[F.col(f"_y{i}") for i in range(len(names))], F.lit(0)) <= 1)
-    chosen = marked.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    source = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    source = source.groupBy(*chosen.columns).agg(F.min_by("_text", F.md5("_text")).alias("_text")).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    arrow_batches(docs.sparkSession)
+    chosen = marked.groupBy("_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(names))]).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    # which row of an id, and how long it is, is settled without the texts
+    sized = texts.join(F.broadcast(chosen), "_id").select(*chosen.columns, F.struct(F.md5("_text").alias("digest"), F.length("_text").alias("n")).alias("of")).groupBy(*chosen.columns).agg(F.min("of").alias("of"))
+    sized = sorted(sized.select(F.xxhash64("_id").alias("draw"), *chosen.columns, "of.*").collect())
+    until = np.searchsorted(np.cumsum([r["n"] for r in sized]), TRAIN_CHARS, side="right")
+    kept = [(r["digest"], *[r[c] for c in chosen.columns]) for r in sized[:until]]
+    fields = ", ".join(["_digest string", "_id long", *[f"_y{i} int" for i in range(len(names))]])
+    wanted = docs.sparkSession.createDataFrame(kept, fields)
+    source = texts.join(F.broadcast(wanted), (texts["_id"] == wanted["_id"]) & (F.md5("_text") == F.col("_digest"))).select(*[wanted[c] for c in chosen.columns], "_text").dropDuplicates(["_id"])
+    source = source.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     names_y = [f"_y{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         word = Memo(plain, 50_000, "shingles")
-        for batch in batches:
+        for batch in few_rows(batches):
             found, groups = [], []
             for text in batch.column("_text").to_pylist():
                 count = Counter(map(word.__getitem__, text.split()))
@@ -246,17 +255,20 @@ def score_documents(docs: DataFrame, chain: Chain, *, reject: float = REJECT, ca
     """(id, p_<category>..., rejected) for each row's whole text: rejected if ``category`` has the probability ``reject`` or more.
 
     A null text is the empty text and gets the chain's constants, as any text without known words; a
-    null id stays null; repeated rows get repeated scores; an empty table gives an empty one. One
-    narrow pass with no shuffle.
+    null id stays null; repeated rows get repeated scores; an empty table gives an empty one; other
+    columns are left out. Very long texts are scored whole. One narrow pass with no shuffle.
     """
-    arrow_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")))
     got = source.select("_id", scores(chain, F.col("_text")).alias("_p"))
     return got.select(F.col("_id").alias(id_col), *[F.col("_p")[c].alias(f"p_{c}") for c in chain.categories], (F.col("_p")[category] >= reject).alias("rejected"))
 
 
 def without_toxic(docs: DataFrame, chain: Chain, *, reject: float = REJECT, category: str = "toxic", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the chain does not reject."""
-    arrow_batches(docs.sparkSession)
+    """The rows of ``docs``, all columns, that the chain does not reject.
+
+    Null and empty texts have the chain's constants, as any text without known words; null ids do not
+    matter, repeated rows stay or go together, columns of any names stay as they are, and an empty
+    table gives an empty one. One narrow pass over whole texts with no shuffle.
+    """
     judged = boxed(docs).withColumn("p", scores(chain, text_or_empty(of_doc(text_col))))
     return unboxed(judged.where(F.col("p")[category] < reject), docs.columns)

@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinname.llm import embeddings, fingerprints, secrets, sharding
+import __spark_entry__ as entry
+from kinname.llm import common, embeddings, fingerprints, secrets, sharding
 from kinname.llm.common import components
 from tests.llm.conftest import make, prose
 
@@ -194,3 +197,118 @@ def test_candidates_of_all_names_of_secrets():
     for text in (f"Authorization: Bearer {value}", f"see postgres://admin:{value}@host/db", f"redis://:{value}@host:6379"):
         assert [text[a:b] for a, b in secrets.candidates(text)] == [value], text
     assert not secrets.candidates("http://host:8080/a see monkey: banana and 10:30 mail me@host.org")
+
+
+def test_containment_is_that_of_the_shingles(spark):
+    """Short in short and short in long exactly or nearly, whatever the lengths; leading white space adds no word."""
+    rng = random.Random(21)
+    pieces, rows = [prose(rng, n) for n in (5, 9, 12, 30, 60, 68, 69, 200, 1_500)], []
+    for i, piece in enumerate(pieces):
+        for j, rest in enumerate((0, 3, 25, 400)):
+            rows.append((i * 10 + j, piece, f"\t {prose(rng, rest // 2)} {piece} {prose(rng, rest)}\n", prose(rng, 300)))
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    for name in "abc":
+        df = fingerprints.with_sketch(df, name, f"s{name}")
+    got = df.select("id", "a", "b", *[fingerprints.containment(F.col(x), F.col(y)).alias(x + y) for x, y in (("sa", "sb"), ("sb", "sa"), ("sa", "sc"), ("sa", "sa"))]).collect()
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for r in got:
+        a, b = grams(r.a), grams(r.b)
+        true = len(a & b) / min(len(a), len(b))
+        assert r.sasb == r.sbsa and r.sasa == 1.0 and r.sasc == 0.0
+        short = max(len(a), len(b)) <= fingerprints.SHORT
+        # a short text of which no hash is below the threshold is not estimated beside a long one
+        assert r.sasb == true == 1.0 or not short and len(a) < 16 and r.sasb == 0.0
+    assert sum(r.sasb == 1.0 for r in got) >= len(got) - 4
+
+
+def plain_print(spark, texts):
+    """Sketches by a plain version: Spark hashes each run, Python picks."""
+    out = {}
+    for t in texts:
+        w = t.split()
+        runs = [[*w[i : i + 5], *[None] * 5][:5] for i in range(max(len(w) - 4, 1))]
+        hashes = [r[0] for r in spark.createDataFrame([tuple(r) for r in runs], "a string, b string, c string, d string, e string").select(F.xxhash64("a", "b", "c", "d", "e")).collect()]
+        low = [h for h in hashes if h < -(2**63) + 2**64 // fingerprints.SCALE]
+        out[t] = ",".join(map(str, sorted(set(hashes if len(hashes) <= fingerprints.SHORT or not low else low))))
+    return out
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    rng = random.Random(22)
+    docs = [(i, prose(rng, n)) for i, n in enumerate((0, 1, 4, 5, 20, 68, 69, 300, 900, 2))] + [(20, "again and " * 100)]
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(make(spark, docs)).collect()}
+    edited = {a[0]: a[1][: len(a[1]) - len(a[1]) // 2] + b[1][: len(a[1]) // 2] for a, b in neighbours(docs)}
+    want = plain_print(spark, {*dict(docs).values(), *edited.values()})
+    for i, t in docs:
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (want[t], want[edited[i]])
+
+
+def test_vectors_of_extreme_size(spark):
+    """Squares beyond the range of doubles change nothing; -0.0 is 0.0."""
+    rows = [(1, [1e-170, 2e-170], 0), (2, [1e180, 2e180], 0), (3, [1.0, 2.0], 0), (4, [2.0, -1.0], 0), (5, [0.0, 5.0], 0), (6, [-0.0, 7.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_many_cells_in_little_memory():
+    """A batch of 384 dimensions over 1,024 cells: no array of cells, cells and dimensions is made."""
+    rng = np.random.default_rng(1)
+    centres, near = embeddings._unit(rng.normal(size=(1_024, 384))), embeddings._unit(rng.normal(size=(512, 384)))
+    tracemalloc.start()
+    mine, row, cell = embeddings.visits(near, centres, np.full(1_024, 0.1), 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000 and not len(row)
+    assert (mine == (near @ centres.T).argmax(axis=1)).all()
+    # a neighbour in a cell of a higher number is never missed
+    v = embeddings._unit(centres[mine] + rng.normal(size=near.shape) / np.sqrt(384))
+    w = embeddings._unit(v + 0.3 * rng.normal(size=near.shape) / np.sqrt(384))
+    homes = (w @ centres.T).argmax(axis=1)
+    mine, row, cell = embeddings.visits(v, centres, np.full(1_024, np.pi), 0.93)
+    seen, near = set(zip(row.tolist(), cell.tolist(), strict=True)), [i for i in range(512) if v[i] @ w[i] >= 0.93]
+    assert near and all((i, homes[i]) in seen for i in near if homes[i] > mine[i])
+
+
+def test_secrets_of_whole_tables(spark):
+    """All rows: every value that is given to a token's name is found, and nothing else."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    found = entry.queries()["op5_secret_scan"](spark, path).where("is_secret").collect()
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or ""):
+            want[r.doc_id, m.start(1), m.end(1)] += 1
+    assert want and Counter((r.doc_id, r.start, r.end) for r in found) == want
+
+
+def test_forms_that_issuers_give():
+    for value in ("glpat-AbCdEfGhIjKlMnOpQrSt", "xoxb-AbCdEfGhIjKlMnOp", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2Q", "SG.abcdefghijk.lmnopqrstuvwx"):
+        assert secrets.candidates(f"see {value} here") == [(4, 4 + len(value))], value
+
+
+def test_forest_on_kinds_that_it_has_not_seen():
+    for kind in ("hex 40", "issued", "letters", "password", "address", "signed", "uuid", "number", "commit"):
+        forest = secrets.train(secrets.made_findings(1_500, seed=5, without=[kind]))
+        ours = kind in secrets.SECRET_KINDS
+        held = [f for f in secrets.made_findings(300, seed=99, without=[k for k in (secrets.SECRET_KINDS if ours else secrets.OTHER_KINDS) if k != kind]) if f[4] == ours]
+        score = forest.score(np.array([secrets.features(*f[:4]) for f in held]))
+        assert ((score >= 0.5) == ours).mean() > 0.9, kind
+
+
+def test_large_training_tables_are_sampled_at_random(monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(secrets, "fit_forest", lambda x, y: seen.append(y))
+    findings = [("a" * 20, "", "", "", 0)] * 500 + [("b" * 20, "", "", "", 1)] * 500
+    secrets.train(findings)
+    assert len(seen[0]) == 100 and 30 < seen[0].sum() < 70
+
+
+def test_parted(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("id", "cast(id % 10 as string) AS k")
+    keys = spark.createDataFrame([("3",), ("7",)], "k string")
+    met, rest = common.parted(rows, keys, ["k"])
+    assert {r.k for r in met.collect()} == {"3", "7"} and rest.count() == 80 and rest.columns == rows.columns
+    monkeypatch.setattr(common, "MOST_KEYS", 1)
+    met, rest = common.parted(rows, keys, ["k"])
+    assert rest is None and met.count() == 100

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kinname.llm import bpe, tokens
+from kinname.llm import bpe, common, tokens
 from kinname.llm.common import Memo
 
 BYTES, WORDS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/word_bpe_49k.json"
@@ -107,3 +108,31 @@ def test_a_stored_count_is_used(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some  words")], "doc_id long, text string")
     spark.createDataFrame([(tokens.tokenizer_digest(path), hashlib.sha256(b"some words").hexdigest(), 99), ("other version", "x", 1)], tokens.CACHE_SCHEMA).write.parquet(cache)
     assert tokens.token_counts(docs, path, cache).first().n_tokens == 99
+
+
+def test_memos_keep_no_long_keys():
+    """Texts without spaces are long keys that never recur: they are encoded and forgotten."""
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    words, code = tokens.PieceEncoder(path), bpe.Codec("/opt/tokenizers/byte_bpe_50k.json")
+    library = [Tokenizer.from_file(f"/opt/tokenizers/{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k")]
+    rng = random.Random(3)
+    for text in ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(10_000)), "x" * 5_000, "".join(rng.choices("abcXYZ0123+/=", k=20_000)), "word " * 50):
+        for encoder, lib in zip((words, code), library, strict=True):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    kept = [k for m in (words.ids, words.marks, code.word, code.first, code.later) for k in (*m, *m.old)]
+    assert kept and max(map(len, kept)) <= 64
+
+
+def test_counts_by_every_way(spark, odd, tmp_path, monkeypatch):
+    """The same counts, and one row of the cache for each text, whether keys are broadcast or texts shuffled, with a cold, a partial and a warm cache."""
+    path = "/opt/tokenizers/word_bpe_49k.json"
+    want = None
+    for k, most in enumerate((2_000_000, 6, 0)):
+        monkeypatch.setattr(tokens, "MOST_KEYS", most)
+        monkeypatch.setattr(common, "MOST_KEYS", most)
+        for part in (odd.where("doc_id < 6"), odd, odd):
+            got = Counter(tuple(r) for r in tokens.token_counts(part, path, str(tmp_path / f"cache{k}")).collect())
+        want = want or got
+        assert got == want and sum(got.values()) == odd.count()
+        cache = spark.read.parquet(str(tmp_path / f"cache{k}"))
+        assert cache.count() == cache.select("content").distinct().count()
