@@ -26,8 +26,8 @@ CELL, MOST_CELLS = 2_048, 8_192
 #: Cells are fitted on so many sampled vectors each, SAMPLE a label at least, and on so many numbers of all labels together
 #: at most; all vectors are assigned and compared.
 A_CELL, SAMPLE, SAMPLE_NUMBERS = 4, 4_096, 16_000_000
-#: Vectors of one block of a product.
-BLOCK = 1_024
+#: Vectors of one block of a product: as many as a cell has, so that few vectors go to several blocks.
+BLOCK = 2_048
 
 
 def spherical_k_means(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:

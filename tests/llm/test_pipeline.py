@@ -11,14 +11,15 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from kinname.llm import common, queries, toxicity
+from kinname.llm import common, queries, sharding, toxicity
 from tests.llm.conftest import make, prose
-from tests.llm.test_duplicates import brute_classes, covered, repeated_words
+from tests.llm.test_duplicates import brute_classes, check_firsts, covered, repeated_words
 from tests.llm.test_packing import packs
 from tests.llm.test_small_operators import check_prints, plain_links
 
 DATA = "/root/testdata/sf0.001"
 Span = namedtuple("Span", "id start stop")
+Stretch = namedtuple("Stretch", "id start stop kept other")
 
 
 def labelled(seed, n=1_500):
@@ -146,3 +147,52 @@ def test_training_sample_is_bounded_in_rows(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 10)], "doc_id long, toxic int")
     toxicity.train(docs, labels, {"toxic": F.col("toxic")}, rows=9)
     assert seen == [(9, [1, 0, 1, 0, 1, 0, 1, 0, 1])]
+
+
+def test_passages_of_a_whole_table(spark, corpus):
+    """All rows and all columns of op3's result: what stays, what goes, and a document that has each stretch that goes."""
+    found = [Stretch(r.doc_id, r.start_word, r.stop_word, r.kept, r.first_doc_id) for r in entry.queries()["op3_repeated_passages"](spark, DATA).collect()]
+    texts = {i: t or "" for i, t in corpus}
+    firsts = {}
+    for i in sorted(texts):
+        firsts.setdefault(texts[i], i)
+    own = [(i, t) for t, i in firsts.items()]
+    words = repeated_words(firsts)
+    shared = {i for i, t in own if words[t].any()}
+    # copies of a text go whole, and name the first of them
+    for i, t in texts.items():
+        if firsts[t] != i:
+            n = len(t.split())
+            assert [r for r in found if r.id == i] == ([Stretch(i, 0, n, False, firsts[t])] if n >= 50 else [])
+    check_firsts([r for r in found if r.id in shared], [x for x in own if x[0] in shared])
+    left = [r for r in found if r.id not in shared and firsts[texts[r.id]] == r.id]
+    assert all(r.kept and (r.start, r.stop) == (0, len(texts[r.id].split())) and list(texts.values()).count(texts[r.id]) > 1 for r in left)
+
+
+def test_shards_of_a_whole_table(spark, corpus):
+    """Every row's slot by the hash of its id, and its shard by the table that the shards filled."""
+    rows = entry.queries()["op7_sharding"](spark, DATA)
+    table = sharding.lookup_table([f"shard-{i:04d}" for i in range(256)])
+    want = rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.SLOTS)).alias("at")).collect()
+    assert Counter((r.doc_id, r.slot, r.shard) for r in rows.collect()) == Counter((r.doc_id, r["at"], table[r["at"]]) for r in want)
+    assert Counter(r.doc_id for r in want) == Counter(i for i, _ in corpus)
+
+
+def test_contradicting_labels(spark):
+    """An id that is labelled twice is in a category if any label says so, whatever the order of rows."""
+    docs = make(spark, [(i, f"{'zork ' * 3 if i % 2 else 'calm '} text {i}") for i in range(60)])
+    rows = [(i, i % 2) for i in range(60)] + [(i, 0) for i in range(60)]
+    got = []
+    for order in (rows, rows[::-1]):
+        chain = toxicity.train(docs, spark.createDataFrame(order, "doc_id long, toxic int"), {"toxic": F.col("toxic")})
+        got.append({r.doc_id: r.p_toxic for r in toxicity.score_documents(docs, chain).collect()})
+    assert got[0] == got[1] and all((p > 0.5) == (i % 2 == 1) for i, p in got[0].items())
+
+
+def test_training_texts_are_bounded_in_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 1_000)
+    monkeypatch.setattr(toxicity, "fit_chain", lambda rows, y, groups, names: seen.append(len(rows)))
+    docs = make(spark, [(i, "word " * 60) for i in range(40)])
+    toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), {"toxic": F.col("toxic")})
+    assert seen == [3]
