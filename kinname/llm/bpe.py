@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from kinname.llm.common import Memo, byte_alphabet, claim, few_rows, spread, text_or_empty
+from kinname.llm.common import Memo, bound_batches, byte_alphabet, claim, few_rows, spread, text_or_empty
 
 _NEVER = 1 << 60
 #: A space that starts a pretoken whatever stands around: neither neighbour is white space.
@@ -177,6 +177,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     null; repeated rows give repeated results; an empty table gives an empty one; other columns are
     left out, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     kind = source.schema["id"].dataType
 

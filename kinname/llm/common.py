@@ -9,13 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinname.sources.shared import shared_dir
 
-#: Rows that Python works on at once. Spark bounds the bytes of a batch (spark.sql.execution.arrow.maxBytesPerBatch).
-BATCH_ROWS = 512
+#: Rows that Python works on at once, and bytes of a batch that goes to Python; a longer text goes alone.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 #: Characters of a key that a memo keeps: texts without spaces are long keys that never recur.
 LONGEST_KEY = 64
 #: Keys that are broadcast at most, of 8 bytes each.
@@ -87,6 +87,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of the bytes of Arrow batches to BATCH_BYTES, never raises it.
+
+    Plans read it when they run, after the operator has returned, so it stays. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most ``rows`` rows."""
     for batch in batches:

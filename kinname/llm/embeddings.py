@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinname.llm.common import components, cut, few_rows, forest
+from kinname.llm.common import bound_batches, components, cut, few_rows, forest
 
 LEAST = 0.93
 #: Vectors of a cell, in the mean, and cells of a label at most.
@@ -138,6 +138,7 @@ def near_vectors(table: DataFrame, *, least: float = LEAST, id_col: str = "vec_i
     Rows without an id take part and have their group's least id; repeated rows are linked copies;
     an empty table gives an empty one; other columns are left out, whatever their names.
     """
+    bound_batches(table.sparkSession)
     element = table.schema[vector_col].dataType
     numbers = "float" if isinstance(element, T.ArrayType) and isinstance(element.elementType, T.FloatType) else "double"
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{numbers}>").alias("vector"))

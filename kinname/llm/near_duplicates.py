@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import boxed, claim, components, cut, digest_of, few_rows, forest, of_doc, parted, spread, text_or_empty, unboxed
+from kinname.llm.common import bound_batches, boxed, claim, components, cut, digest_of, few_rows, forest, of_doc, parted, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -76,6 +76,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, digest, keys): the band keys of each row's whole text, those of equal weights too where shingles repeat; a text without words has none."""
+    bound_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))).withColumn("digest", digest_of(F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kinname.llm.common import claim, cut, few_rows, spread, text_or_empty
+from kinname.llm.common import bound_batches, claim, cut, few_rows, spread, text_or_empty
 from kinname.llm.tokens import encoder
 
 #: A bin's content as (length, how many of it), longest first.
@@ -123,6 +123,7 @@ def slots(packed: list[tuple[Pattern, int]]) -> tuple[np.ndarray, int]:
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids binary]) of every whole text's ids with a separator after them."""
+    bound_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")))
     kind = source.schema["id"].dataType
     fields = [T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import boxed, claim, cut, digest_of, few_rows, of_doc, parted, spread, text_or_empty, unboxed
+from kinname.llm.common import bound_batches, boxed, claim, cut, digest_of, few_rows, of_doc, parted, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, run_hashes, word_hashes
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
@@ -177,6 +177,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeats within one document only is left alone; rows that share an id but not a text are different
     documents; an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     scanned = cut(_anchors(docs, id_col, text_col))
     keyed = F.struct(F.col("id").isNull().alias("none"), "id", "row", "words", "run", "kind", "start", "count")
     nodes = scanned.groupBy("digest").agg(F.min(keyed).alias("of"), F.count(F.lit(1)).alias("copies")).select("digest", "of.*", (F.col("copies") > 1).alias("copied"))
@@ -238,6 +239,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     they are; an empty table gives an empty one. Only rows that share id and text with one that is cut
     are shuffled, as long as those are few enough for a broadcast of their hashes.
     """
+    bound_batches(docs.sparkSession)
     found = cut(repeated_passages(docs, id_col=id_col, text_col=text_col).select("id", "digest", "row", "start", "stop", "kept"))
     gone = found.where("NOT kept").groupBy("id", "digest", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # equal rows cannot be told apart: of rows equal in id and text all get what the first of them gets

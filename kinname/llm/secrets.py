@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import boxed, few_rows, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import bound_batches, boxed, few_rows, of_doc, spread, text_or_empty, unboxed
 
 #: Labelled findings that the forest is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -232,6 +232,7 @@ def find_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE,
     """
     import hashlib
 
+    bound_batches(docs.sparkSession)
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), path.alias("path")))
 
@@ -265,6 +266,7 @@ def without_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCO
     Null texts stay null, empty ones empty; null paths count as empty; null ids and repeated rows stay
     as they are; an empty table gives an empty one. One narrow pass over whole texts.
     """
+    bound_batches(docs.sparkSession)
     path = text_or_empty(of_doc(path_col)) if path_col in docs.columns else F.lit("")
     marked = boxed(docs).withColumn("text", text_or_empty(of_doc(text_col)))
     out = marked.withColumn("clean", F.pandas_udf(_cleaner(forest, least, mark), "string")("text", path))

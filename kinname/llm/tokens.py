@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinname.llm.common import MOST_KEYS, Memo, byte_alphabet, claim, cut, few_rows, parted, spread, text_or_empty
+from kinname.llm.common import MOST_KEYS, Memo, bound_batches, byte_alphabet, claim, cut, few_rows, parted, spread, text_or_empty
 
 
 #: Letters that lower to one letter each, and ASCII marks but the apostrophe.
@@ -163,6 +163,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, *, limit: int = 2048, i
     null id stays null; repeated rows give repeated results; an empty table gives an empty one; other
     columns are left out.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     version = tokenizer_digest(path)
     text = text_or_empty(text_col)

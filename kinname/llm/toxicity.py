@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import Memo, boxed, claim, few_rows, of_doc, spread, text_or_empty, unboxed
+from kinname.llm.common import Memo, bound_batches, boxed, claim, few_rows, of_doc, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Labelled rows that the models are fitted on, and characters of their texts, at most; every document is scored.
@@ -214,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     fields = ", ".join(["_digest string", "_id long", *[f"_y{i} int" for i in range(len(names))]])
     wanted = docs.sparkSession.createDataFrame(kept, fields)
     source = texts.join(F.broadcast(wanted), (texts["_id"] == wanted["_id"]) & (F.md5("_text") == F.col("_digest"))).select(*[wanted[c] for c in chosen.columns], "_text").dropDuplicates(["_id"])
+    bound_batches(docs.sparkSession)
     source = source.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     names_y = [f"_y{i}" for i in range(len(names))]
@@ -258,6 +259,7 @@ def score_documents(docs: DataFrame, chain: Chain, *, reject: float = REJECT, ca
     null id stays null; repeated rows get repeated scores; an empty table gives an empty one; other
     columns are left out. Very long texts are scored whole. One narrow pass with no shuffle.
     """
+    bound_batches(docs.sparkSession)
     source = spread(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")))
     got = source.select("_id", scores(chain, F.col("_text")).alias("_p"))
     return got.select(F.col("_id").alias(id_col), *[F.col("_p")[c].alias(f"p_{c}") for c in chain.categories], (F.col("_p")[category] >= reject).alias("rejected"))
@@ -270,5 +272,6 @@ def without_toxic(docs: DataFrame, chain: Chain, *, reject: float = REJECT, cate
     matter, repeated rows stay or go together, columns of any names stay as they are, and an empty
     table gives an empty one. One narrow pass over whole texts with no shuffle.
     """
+    bound_batches(docs.sparkSession)
     judged = boxed(docs).withColumn("p", scores(chain, text_or_empty(of_doc(text_col))))
     return unboxed(judged.where(F.col("p")[category] < reject), docs.columns)
