@@ -66,11 +66,14 @@ def claim(group: str) -> None:
         memo.clear()
         memo.old = {}
     if others:
-        import pyarrow
+        settle()
 
-        pyarrow.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux can
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+def settle() -> None:
+    """Gives free memory of this process back to the system; executors count what their workers hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -98,10 +101,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def few_rows(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows`` rows."""
+    """The batches in slices of at most ``rows`` rows; at their end the worker settles."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    settle()
 
 
 def digest_of(text: Column) -> Column:

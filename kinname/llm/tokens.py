@@ -28,7 +28,7 @@ class PieceEncoder:
     run; runs of plain letters and marks by their words.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

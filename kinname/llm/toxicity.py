@@ -246,7 +246,7 @@ def scores(chain: Chain, text: Column) -> Column:
     def run(texts: pd.Series) -> pd.DataFrame:
         # the memo lives as long as the worker's copy of the function
         claim("toxicity")
-        known = run.__dict__.setdefault("known", Memo(chain.known, 100_000, "toxicity"))
+        known = run.__dict__.setdefault("known", Memo(chain.known, 50_000, "toxicity"))
         return pd.DataFrame(_sigmoid(chain.logits([chain.numbers(t, known.__getitem__) for t in texts])), columns=names)
 
     return F.pandas_udf(run, ", ".join(f"`{n}` double" for n in names))(text)
