@@ -84,9 +84,12 @@ def byte_alphabet() -> dict[int, str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage that outlives executors, and sizes that the planner knows."""
+    """``df`` written to the shared folder and read again: short lineage that outlives executors, and sizes that the planner knows.
+
+    Not compressed: it is mostly hashes, and the codecs' buffers outside the heap stay until a full collection.
+    """
     folder = shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
