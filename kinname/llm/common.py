@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinname.sources.shared import shared_dir
 
 #: Rows that Python works on at once, and bytes of a batch that goes to Python; a longer text goes alone.
-BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 20
 #: Characters of a key that a memo keeps: texts without spaces are long keys that never recur.
 LONGEST_KEY = 64
 #: Keys that are broadcast at most, of 8 bytes each.

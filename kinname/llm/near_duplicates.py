@@ -16,7 +16,6 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,9 +135,9 @@ def jaccard_blocks(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 8_192):
-        a, b = np.searchsorted(column, [at, at + 8_192])
-        part = np.zeros((len(sizes), 8_192), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2_048):
+        a, b = np.searchsorted(column, [at, at + 2_048])
+        part = np.zeros((len(sizes), 2_048), dtype=np.float32)
         part[row[a:b], column[a:b] - at] = 1
         shared += part[: len(left)] @ part[len(left) :].T
     total = np.array(sizes[: len(left)])[:, None] + np.array(sizes[len(left) :])[None, :]
@@ -165,22 +164,23 @@ def _across(hits: DataFrame, links: DataFrame, texts: DataFrame, least: float) -
     dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = dealt.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "text")
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part[part["block"] == b] for b in (part["lo"].iloc[0], part["hi"].iloc[0])]
-        if not all(len(s) for s in sides):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        grams = [[np.unique(shingles(t)) for t in s["text"]] for s in sides]
-        alike = jaccard_blocks(*grams)
-        linked = alike >= least - 1e-6  # the bound itself is settled in integers
-        linked &= sides[0]["component"].to_numpy()[:, None] != sides[1]["component"].to_numpy()[None, :]
-        for i, j in zip(*np.nonzero(linked & (alike < least + 1e-6)), strict=True):
-            shared = len(np.intersect1d(grams[0][i], grams[1][j], assume_unique=True))
-            linked[i, j] = shared >= least * (len(grams[0][i]) + len(grams[1][j]) - shared)
-        edges = forest(linked)
-        a, b = (s["node"].to_numpy() for s in sides)
-        return pd.DataFrame({"a": [a[i] for i, _ in edges], "b": [b[j] for _, j in edges]}).astype("int64")
-
-    return pairs.groupBy("group", "lo", "hi").applyInPandas(compare, "a long, b long")
+    def compare(part: pa.Table) -> pa.Table:
+        block, node, component = (part[x].to_numpy() for x in ("block", "node", "component"))
+        left, right = (np.flatnonzero(block == part[x][0].as_py()) for x in ("lo", "hi"))
+        edges = np.zeros((0, 2), np.int64)
+        if len(left) and len(right):
+            claim("shingles")
+            sides = [[np.unique(shingles(t)) for t in part["text"].take(at).to_pylist()] for at in (left, right)]
+            alike = jaccard_blocks(*sides)
+            linked = alike >= least - 1e-6  # the bound itself is settled in integers
+            linked &= component[left][:, None] != component[right][None, :]
+            for i, j in zip(*np.nonzero(linked & (alike < least + 1e-6)), strict=True):
+                shared = len(np.intersect1d(sides[0][i], sides[1][j], assume_unique=True))
+                linked[i, j] = shared >= least * (len(sides[0][i]) + len(sides[1][j]) - shared)
+            edges = np.array(forest(linked), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[left][edges[:, 0]], "b": node[right][edges[:, 1]]})
+
+    return pairs.groupBy("group", "lo", "hi").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

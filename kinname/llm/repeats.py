@@ -14,7 +14,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,8 +154,11 @@ def _stretches(node: int, words: int, copied: bool, found: list) -> list[dict]:
     return sorted(rows, key=lambda r: r["start"])
 
 
-def _merged(node: pd.Series, words: pd.Series, copied: pd.Series, found: pd.Series) -> pd.Series:
-    return pd.Series([_stretches(*x) for x in zip(node, words, copied, found, strict=True)])
+_STRETCHES = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kept", pa.bool_()), ("first", pa.int64()), ("other", pa.int64())]))
+
+
+def _merged(node: pa.Array, words: pa.Array, copied: pa.Array, found: pa.Array) -> pa.Array:
+    return pa.array([_stretches(*x) for x in zip(*(c.to_pylist() for c in (node, words, copied, found)), strict=True)], _STRETCHES)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +206,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     single = kinds.where("NOT mixed AND first < last").withColumn("mask", F.lit(-1).cast("long")).select("run", "kind", F.array(part).alias("parts"), "n")
     spans = _met(members.drop("id", "mixed"), cut(parts.unionByName(single)), ["run", "kind"])
 
-    merge = F.pandas_udf(_merged, "array<struct<start:int,stop:int,kept:boolean,first:long,other:long>>")
+    merge = F.arrow_udf(_merged, "array<struct<start:int,stop:int,kept:boolean,first:long,other:long>>")
     spans = spans.groupBy("node").agg(F.collect_list(F.struct("start", "count", "parts")).alias("found"))
     spans = nodes.select("node", "id", "digest", "row", "words", "copied").join(spans, "node", "left").where(f"found IS NOT NULL OR copied AND words >= {PASSAGE}")
     of_first = spans.select("id", "digest", "row", F.explode(merge("node", "words", "copied", "found")).alias("s"))
@@ -215,11 +217,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return of_first.unionByName(later)
 
 
-def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without the words of their spans; the white space before a word goes with it."""
 
-    def one(t: str, gone) -> str:
-        if gone is None or not len(gone):
+    def one(t: str, gone: list | None) -> str:
+        if not gone:
             return t
         ends = [0, *(m.end() for m in re.finditer(r"\S+", t))]
         parts, at = [], 0
@@ -228,7 +230,7 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
             at = ends[s["stop"]]
         return "".join([*parts, t[at:]])
 
-    return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
+    return pa.array([one(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
@@ -248,7 +250,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met, rest = parted(marked, cutting.select(F.col("key_digest").alias("digest"), F.col("key_id").alias("id")), ["digest", "id"])
     joined = met.join(cutting, (F.col("digest") == F.col("key_digest")) & F.col("id").eqNullSafe(F.col("key_id")), "left")
     changed = F.col("spans").isNotNull()
-    out = joined.withColumn("new", F.when(changed, F.pandas_udf(_without, "string")(text_or_empty(of_doc(text_col)), F.col("spans"))))
+    out = joined.withColumn("new", F.when(changed, F.arrow_udf(_without, "string")(text_or_empty(of_doc(text_col)), F.col("spans"))))
     out = out.where(~changed | F.col("new").rlike(r"\S"))
     new = {text_col: F.when(changed, F.col("new")).otherwise(of_doc(text_col))}
     if chars_col and chars_col in docs.columns:

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -250,12 +249,12 @@ def find_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCORE,
 
 
 def _cleaner(forest: Forest, least: float, mark: str):
-    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = list(texts)
-        for i, a, b, _, secret in sorted(_judge(out, list(paths), forest, least), key=lambda x: (x[0], -x[1])):
+    def run(texts: pa.Array, paths: pa.Array) -> pa.Array:
+        out, where = texts.to_pylist(), paths.to_pylist()
+        for i, a, b, _, secret in sorted(_judge(out, where, forest, least), key=lambda x: (x[0], -x[1])):
             if secret:  # from the end, so earlier places stay right
                 out[i] = out[i][:a] + mark + out[i][b:]
-        return pd.Series(out)
+        return pa.array(out, pa.string())
 
     return run
 
@@ -269,7 +268,7 @@ def without_secrets(docs: DataFrame, forest: Forest, *, least: float = LEAST_SCO
     bound_batches(docs.sparkSession)
     path = text_or_empty(of_doc(path_col)) if path_col in docs.columns else F.lit("")
     marked = boxed(docs).withColumn("text", text_or_empty(of_doc(text_col)))
-    out = marked.withColumn("clean", F.pandas_udf(_cleaner(forest, least, mark), "string")("text", path))
+    out = marked.withColumn("clean", F.arrow_udf(_cleaner(forest, least, mark), "string")("text", path))
     changed = F.col("clean") != F.col("text")
     new = {text_col: F.when(changed, F.col("clean")).otherwise(of_doc(text_col))}
     if chars_col and chars_col in docs.columns:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +56,7 @@ def place(df: DataFrame, keys: Sequence[str], shards: Sequence[str], *, slots: i
     repeated rows stay repeated; an empty table stays empty. slot_col and shard_col replace columns of
     the same names.
     """
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"at": range(slots), "owner": lookup_table(shards, slots)}), "at int, owner int")
+    table = df.sparkSession.createDataFrame(pa.table({"at": pa.array(range(slots), pa.int32()), "owner": pa.array(lookup_table(shards, slots), pa.int32())}))
     marked = boxed(df).withColumn("slot", F.pmod(F.xxhash64(*[of_doc(k) for k in keys]), F.lit(slots)).cast("int"))
     kept = [c for c in df.columns if c not in (slot_col, shard_col)]
     placed = marked.join(F.broadcast(table), F.col("slot") == F.col("at"))

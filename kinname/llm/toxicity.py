@@ -14,7 +14,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,13 +242,14 @@ def scores(chain: Chain, text: Column) -> Column:
     """A struct of one probability a category, from a whole text."""
     names = chain.categories
 
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pa.Array) -> pa.Array:
         # the memo lives as long as the worker's copy of the function
         claim("toxicity")
         known = run.__dict__.setdefault("known", Memo(chain.known, 50_000, "toxicity"))
-        return pd.DataFrame(_sigmoid(chain.logits([chain.numbers(t, known.__getitem__) for t in texts])), columns=names)
+        found = _sigmoid(chain.logits([chain.numbers(t, known.__getitem__) for t in texts.to_pylist()]))
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(names))], names)
 
-    return F.pandas_udf(run, ", ".join(f"`{n}` double" for n in names))(text)
+    return F.arrow_udf(run, ", ".join(f"`{n}` double" for n in names))(text)
 
 
 def score_documents(docs: DataFrame, chain: Chain, *, reject: float = REJECT, category: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -196,3 +196,12 @@ def test_training_texts_are_bounded_in_characters(spark, monkeypatch):
     docs = make(spark, [(i, "word " * 60) for i in range(40)])
     toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), {"toxic": F.col("toxic")})
     assert seen == [3]
+
+
+def test_workers_do_without_pandas(spark):
+    """Executors count what their workers hold: the operators' modules do not load it."""
+    import subprocess
+    import sys
+
+    code = "import sys, kinname.llm.queries, corpus_pipeline, kinname.llm.bpe, kinname.llm.embeddings, kinname.llm.tokens; assert 'pandas' not in sys.modules"
+    assert subprocess.run([sys.executable, "-c", code], cwd=entry.__file__.rsplit("/", 1)[0]).returncode == 0
