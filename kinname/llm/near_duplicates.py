@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinname.llm.common import bound_batches, boxed, claim, components, cut, digest_of, few_rows, forest, of_doc, parted, spread, text_or_empty, unboxed
+from kinname.llm.common import bound_batches, boxed, claim, components, cut, digest_of, few_rows, forest, of_doc, parted, settle, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, shingles
 
 #: Bands and components a band: at a similarity of 0.8 a pair shares no band once in 20,000 times.
@@ -178,6 +178,8 @@ def _across(hits: DataFrame, links: DataFrame, texts: DataFrame, least: float) -
                 shared = len(np.intersect1d(sides[0][i], sides[1][j], assume_unique=True))
                 linked[i, j] = shared >= least * (len(sides[0][i]) + len(sides[1][j]) - shared)
             edges = np.array(forest(linked), np.int64).reshape(-1, 2)
+            del sides, alike, linked
+            settle()  # a task compares many blocks
         return pa.table({"a": node[left][edges[:, 0]], "b": node[right][edges[:, 1]]})
 
     return pairs.groupBy("group", "lo", "hi").applyInArrow(compare, "a long, b long")
