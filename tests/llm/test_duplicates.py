@@ -316,3 +316,28 @@ def test_near_duplicates_with_repeated_lines(spark):
     want = brute_classes(rows)
     assert sum(size == 2 for _, _, size in want) == 80
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in nd.near_duplicates(make(spark, rows)).collect()) == want
+
+
+def test_passages_that_sort_neighbours_hide(spark):
+    """Two texts share 52 words; in both suffix orders texts that share 48 words with either stand between them."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for _ in range(4):
+        core, left, right = prose(rng, 40), prose(rng, 6), prose(rng, 6)
+        group = []
+        for side in range(2):
+            before, after = prose(rng, 20).split(), prose(rng, 20).split()
+            group.append(" ".join([*before, left, core, right, *after]))
+            for _ in range(12):
+                group.append(" ".join([prose(rng, 18), *before[-2:], left, core, prose(rng, 26)]))
+                group.append(" ".join([prose(rng, 26), core, right, *after[:2], prose(rng, 18)]))
+        a, b = group[0], group[25]
+        for p in range(26, 47):  # wherever in the core a minimiser is
+            sides = [(t.split()[p:], t.split()[:p][::-1]) for t in group]
+            for order in (sorted(range(50), key=lambda i: sides[i]), sorted(range(50), key=lambda i: sides[i][::-1])):
+                assert abs(order.index(0) - order.index(25)) > 1
+        pairs.append((len(rows) + group.index(a), len(rows) + group.index(b)))
+        rows += [(len(rows) + i, t) for i, t in enumerate(group)]
+    got = repeats.repeated_passages(make(spark, rows)).collect()
+    check_firsts(got, rows)
+    assert Counter((r.id, r.start, r.stop, r.kept, r.other) for r in got) == Counter(x for a, b in pairs for x in ((a, 20, 72, True, a), (b, 20, 72, False, a)))
