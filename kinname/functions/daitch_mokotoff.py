@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,14 +99,73 @@ def coder() -> Coder:
 
 
 def codes_of(name: str | None) -> list[str] | None:
+    """The codes of a Python string, for literals that the optimiser folds predicates with."""
     return coder()(name)
 
 
-def codes(name: Column) -> Column:
-    """The codes as an array; null for a null name and where nothing can be coded. Vectorised, and memoised as names recur."""
-    code = coder()
+@lru_cache(1)
+def _clusters() -> tuple[str, str, dict[str, list[str]]]:
+    """The regex of the longest cluster at a place, that of what is no letter with a code, and clusters by their first letter."""
+    table, _, _ = rules()
+    by: dict[str, list[str]] = {}
+    for cluster in sorted(table, key=lambda c: (-len(c), c)):
+        by.setdefault(cluster[0], []).append(cluster)
+    longest = "|".join(f"{first}(?:{'|'.join(c[1:] for c in found)})" if len(found) > 1 else found[0] for first, found in sorted(by.items()))
+    return longest, f"[^a-z{''.join(sorted(first for first in by if not first.isascii()))}]", by
+
+
+@lru_cache(1)
+def _rules_sql() -> str:
+    """For each first letter, in the order of _clusters, a map from clusters to their codes at the three places."""
+    table, _, _ = rules()
+    lists = lambda codes: "array(" + ", ".join(f"'{c}'" for c in codes) + ")"
+    return "array(" + ", ".join("map(" + ", ".join(f"'{c}', array({', '.join(map(lists, table[c]))})" for c in found) + ")" for found in _clusters()[2].values()) + ")"
 
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(code, na_action="ignore")
 
-    return F.pandas_udf(run, "array<string>")(name)
+def codes(name: Column) -> Column:
+    """The codes as an array; null for a null name and where nothing can be coded. An expression, without Python.
+
+    A regex cuts the letters into longest clusters; a fold over them carries the branches, as pairs of
+    the digits so far and the last code, and appends each code that the last one does not end with.
+    """
+    _, fold, _ = rules()
+    longest, others, by = _clusters()
+    known = F.expr(_rules_sql())  # one text, as each literal by itself is a call of the JVM
+    letters = F.regexp_replace(F.translate(F.lower(name), "".join(fold), "".join(fold.values())), others, "")
+    clusters = F.regexp_extract_all(letters, F.lit(f"({longest})"), F.lit(1))
+    first = lambda at: F.substring(at, 1, 1)
+
+    def step(cluster: Column, i: Column, all_: Column) -> Column:
+        after, before = first(F.get(all_, i + 1)), first(F.get(all_, i - 1))
+        place = F.when(i == 0, 0).when(after.isin(*sorted(_VOWELS)), 1).otherwise(2)
+        force = F.coalesce(F.concat(before, first(cluster)).isin("mn", "nm"), F.lit(False))  # both coded though equal
+        of = F.get(known, F.instr(F.lit("".join(by)), first(cluster)) - 1)
+        return F.struct(F.get(F.try_element_at(of, cluster), place).alias("codes"), force.alias("force"))
+
+    def grown(branch: Column, code: Column, force: Column) -> Column:
+        repeats = (branch["last"] != "") & F.endswith(branch["last"], code) & ~force
+        return F.struct(F.when(repeats, branch["digits"]).otherwise(F.substring(F.concat(branch["digits"], code), 1, 6)).alias("digits"), code.alias("last"))
+
+    # the clusters go through one variable, so they are cut once
+    steps = F.flatten(F.transform(F.array(clusters), lambda all_: F.transform(all_, lambda c, i: step(c, i, all_))))
+    start = F.array(F.struct(F.lit("").alias("digits"), F.lit("").alias("last")))
+    ends = F.aggregate(steps, start, lambda branches, s: F.array_distinct(F.flatten(F.transform(branches, lambda b: F.transform(s["codes"], lambda c: grown(b, c, s["force"]))))))
+    found = F.array_distinct(F.transform(ends, lambda b: F.rpad(b["digits"], 6, "0")))
+    return F.when(F.length(letters) > 0, found)
+
+
+def codes_sql(name: str) -> str:
+    """The same expression as SQL text."""
+    _, fold, _ = rules()
+    longest, others, by = _clusters()
+    of = f"get({_rules_sql()}, instr('{''.join(by)}', substr(c, 1, 1)) - 1)"
+    letters = f"regexp_replace(translate(lower({name}), '{''.join(fold)}', '{''.join(fold.values())}'), '{others}', '')"
+    vowels = ", ".join(f"'{v}'" for v in sorted(_VOWELS))
+    step = (
+        f"struct(get(try_element_at({of}, c), CASE WHEN i = 0 THEN 0 WHEN substr(get(a, i + 1), 1, 1) IN ({vowels}) THEN 1 ELSE 2 END) AS codes, "
+        "coalesce(concat(substr(get(a, i - 1), 1, 1), substr(c, 1, 1)) IN ('mn', 'nm'), false) AS force)"
+    )
+    grown = "struct(CASE WHEN b.last <> '' AND endswith(b.last, k) AND NOT s.force THEN b.digits ELSE substr(concat(b.digits, k), 1, 6) END AS digits, k AS last)"
+    steps = f"flatten(transform(array(regexp_extract_all({letters}, '({longest})', 1)), a -> transform(a, (c, i) -> {step})))"
+    ends = f"aggregate({steps}, array(struct('' AS digits, '' AS last)), (z, s) -> array_distinct(flatten(transform(z, b -> transform(s.codes, k -> {grown})))))"
+    return f"CASE WHEN length({letters}) > 0 THEN array_distinct(transform({ends}, b -> rpad(b.digits, 6, '0'))) END"

@@ -16,14 +16,14 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def soundex(name: Column) -> Column:
-    """The 4-character Soundex code; H and W part equal digits, as vowels do. '' where there is no letter.
+    """The 4-character Soundex code; H, W and signs that are not letters part equal digits, as vowels do. '' where there is no letter.
 
     Spark's own function does it once H and W are vowels to it; names that start with a letter meet no pattern.
     """
     upper = F.upper(name)
     first = F.substring(upper, 1, 1)
     word = F.when((first >= "A") & (first <= "Z"), upper).otherwise(F.regexp_replace(upper, "^[^A-Z]+", ""))
-    return F.soundex(F.concat(F.substring(word, 1, 1), F.translate(F.substring(word, 2, 1_000), "HW", "AA")))
+    return F.soundex(F.concat(F.substring(word, 1, 1), F.translate(F.substring(word, F.lit(2), F.length(word)), "HW", "AA")))
 
 
 def soundex_of(name: str) -> str:
@@ -31,7 +31,7 @@ def soundex_of(name: str) -> str:
     word = re.sub("^[^A-Z]+", "", name.upper())
     if not word:
         return ""
-    digits = "".join(SOUNDEX_DIGITS[_LETTERS.index(c)] if c in _LETTERS else c for c in word)
+    digits = "".join(SOUNDEX_DIGITS[_LETTERS.index(c)] if c in _LETTERS else "0" for c in word)
     tail = re.sub("[^1-6]", "", re.sub(r"([0-9])\1+", r"\1", digits)[1:])
     return (word[0] + tail)[:4].ljust(4, "0")
 

@@ -13,6 +13,7 @@ from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.operators import modes as M
 from kinname.operators import vocabulary as V
+from kinname.operators.index import NameIndex
 from kinname.operators.request import SearchRequest
 from kinname.schema import BITS, EDITS_BIT, LEAST_SIMILARITY, RESULT_LIMIT, TRIGRAM_SLOTS
 
@@ -33,12 +34,13 @@ class Plan:
     limit: int
 
 
-def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | None = None) -> Plan:
+def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | NameIndex | None = None) -> Plan:
     """Builds both parts lazily; search and explanation share it, so they cannot differ.
 
     A request of names never falls back to all rows of a date. A sort is dropped beside the substring
     mode. Edit distance refines the main part, or is its filter if no other mode gives one. With a
-    vocabulary, requests with a fuzzy mode judge each distinct name once and join the records to them.
+    vocabulary, requests with a fuzzy mode judge each distinct name once and join the records to them; with
+    an index of ``records``, names are found by its postings and prefixes in its sorted copies.
     """
     names, dob, modes = request.names, request.date_of_birth, request.modes
     order = "" if "legacy" in modes else request.sort_field
@@ -48,7 +50,12 @@ def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | Non
     limit = RESULT_LIMIT - TRIGRAM_SLOTS if trigram else RESULT_LIMIT
     main = None
     if vocabulary is not None and names and V.FUZZY & set(modes):
-        return _through(records.columns, V.joined(records, vocabulary, request), request, order, limit, base, trigram)
+        nearest = trigram and "levenshtein" not in modes and not base
+        return _through(records.columns, V.joined(records, vocabulary, request, nearest=nearest), request, order, limit, base, trigram)
+    if isinstance(vocabulary, NameIndex) and base == ["prefix"]:
+        rows = vocabulary.starting(names).select(records.columns)
+        rows = rows if dob is None else rows.where(F.col("date_of_birth") == F.lit(dob))
+        return Plan(rows.withColumn("match_source", F.lit(BITS["prefix"])), None, order, limit)
     if base:
         flags = {m: M.mode_filter(m, names) for m in base}
         main = rows
@@ -88,7 +95,7 @@ def _through(columns: list[str], joined: DataFrame, request: SearchRequest, orde
     return Plan(main, near, order, limit)
 
 
-def search(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+def search(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | NameIndex | None = None, ordered: bool = True) -> DataFrame:
     """The result page: the record's columns, match_source, and position from 1.
 
     At most 200 rows. With trigrams the main part has 120 at most, and the nearest 200 neighbours that
@@ -142,7 +149,7 @@ def query_codes(first_name: str, last_name: str) -> dict[str, str]:
 
 @dataclass(frozen=True)
 class SearchResult:
-    """A page with its figures; queries: what each mode asks for, for display; ran: the plans that ran."""
+    """A page with its figures; queries: what each mode asks for, for display; ran: the final plans of all that ran, in order; executions: the same with times."""
 
     df: DataFrame
     rows: list
@@ -153,6 +160,7 @@ class SearchResult:
     codes: dict[str, str]
     queries: dict[str, str]
     ran: list[str]
+    executions: list
 
 
 def page_label(count: int) -> str:
@@ -160,17 +168,19 @@ def page_label(count: int) -> str:
     return f"top {RESULT_LIMIT}" if count >= RESULT_LIMIT else str(count)
 
 
-def run(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | None = None) -> SearchResult:
-    """Runs a search and reports its time and what ran; the page, of 200 rows at most, is all that reaches the driver."""
+def run(records: DataFrame, request: SearchRequest, *, vocabulary: DataFrame | NameIndex | None = None) -> SearchResult:
+    """Runs a search and reports its time and all that ran, a vocabulary's and an index's executions too; the page, of 200 rows at most, is all that reaches the driver."""
     from kinname.plans.explain import mode_sql
+    from kinname.plans.figures import recorded
 
-    began = time.perf_counter()
-    df = decorated(search(records, request, vocabulary=vocabulary), codes="soundex" in request.modes or "dm" in request.modes)
-    rows = df.collect()
-    took, n = (time.perf_counter() - began) * 1e3, len(rows)
+    with recorded(records.sparkSession) as did:
+        began = time.perf_counter()
+        df = decorated(search(records, request, vocabulary=vocabulary), codes="soundex" in request.modes or "dm" in request.modes)
+        rows = df.collect()
+        took, n = (time.perf_counter() - began) * 1e3, len(rows)
     return SearchResult(
         df, rows, n, took, n >= RESULT_LIMIT, page_label(n), query_codes(request.first_name, request.last_name),
-        {m: mode_sql(m, request.first_name, request.last_name) for m in request.modes}, [df._jdf.queryExecution().executedPlan().toString()],
+        {m: mode_sql(m, request.first_name, request.last_name) for m in request.modes}, [e.plan for e in did.executions], did.executions,
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.operators import modes as M
+from kinname.operators.index import NameIndex
 from kinname.operators.request import SearchRequest
 from kinname.schema import BITS, EDITS_BIT, LEAST_SIMILARITY
 
@@ -30,7 +31,11 @@ def build(records: DataFrame, with_dm: bool = True) -> DataFrame:
 
 
 def name_bits(vocabulary: DataFrame, request: SearchRequest, value: str) -> DataFrame:
-    """(name, bits, similarity) of the names that match ``value`` in any enabled mode; edit distance has a bit of its own."""
+    """(name, bits, similarity) of the names that match ``value`` in any enabled mode, each once; edit distance has a bit of its own.
+
+    A vocabulary may hold a name several times, as streams that append at once can add one; without stored codes
+    those of its names are made.
+    """
     tests = {
         "prefix": F.startswith("name_upper", F.upper(F.lit(value))),
         "legacy": F.contains("name_upper", F.upper(F.lit(value))),
@@ -38,35 +43,48 @@ def name_bits(vocabulary: DataFrame, request: SearchRequest, value: str) -> Data
     }
     if "dm" in request.modes:
         own = dm.codes_of(value) or []
-        tests["dm"] = F.coalesce(F.arrays_overlap("dm", F.array(*map(F.lit, own)).cast("array<string>")), F.lit(False))
+        known = F.col("dm") if "dm" in vocabulary.columns else dm.codes(F.col("name"))
+        tests["dm"] = F.coalesce(F.arrays_overlap(known, F.array(*map(F.lit, own)).cast("array<string>")), F.lit(False))
     near = N.similarity_to(F.col("trigrams"), value) if "trigram" in request.modes else F.lit(0.0)
     tested = vocabulary.withColumn("similarity", near)
     tests["trigram"] = F.col("similarity") >= LEAST_SIMILARITY
     bits = M.match_source({m: tests[m] for m in [*M.base_modes(request.modes), *["trigram"] * ("trigram" in request.modes)]})
     if "levenshtein" in request.modes:
         bits = bits.bitwiseOR(F.when(N.within_edits(F.col("name"), value), EDITS_BIT).otherwise(0))
-    return tested.select("name", bits.alias("bits"), "similarity").where(F.col("bits") != 0)
+    return tested.select("name", bits.alias("bits"), "similarity").where(F.col("bits") != 0).dropDuplicates(["name"])
 
 
-def joined(records: DataFrame, vocabulary: DataFrame, request: SearchRequest) -> DataFrame:
+def joined(records: DataFrame, vocabulary: DataFrame | NameIndex, request: SearchRequest, *, nearest: bool = False) -> DataFrame:
     """The records all of whose given names match in one mode at least: with _bits, the bits that they share, and each name's similarity.
 
-    The matching names of a value are judged once and kept, as a table of BROADCAST_NAMES rows at most.
+    The matching names of a value are judged once and kept, as a table of BROADCAST_NAMES rows at most. An
+    index finds them by its postings, and their records by the copy that is sorted by the name with fewer matches.
+    nearest: of trigram matches only as many names as the nearest page needs.
     """
-    spark = records.sparkSession
-    out = records if request.date_of_birth is None else records.where(F.col("date_of_birth") == F.lit(request.date_of_birth))
-    bits = F.lit(_ALL)
+    spark, indexed = records.sparkSession, isinstance(vocabulary, NameIndex)
+    tables, few = {}, {}
     for column, value in request.names.items():
-        table = name_bits(vocabulary, request, value)
-        few = table.limit(BROADCAST_NAMES + 1).toArrow()
-        if few.num_rows <= BROADCAST_NAMES:
-            table = F.broadcast(spark.createDataFrame(few, table.schema) if few.num_rows else table.where(F.lit(False)))
+        one = nearest and len(request.names) == 1 and request.date_of_birth is None
+        table = vocabulary.name_bits(request.modes, value, column, one) if indexed else name_bits(vocabulary, request, value)
+        met = table.limit(BROADCAST_NAMES + 1).toArrow()
+        if met.num_rows <= BROADCAST_NAMES:
+            few[column] = met.column("name").to_pylist()
+            table = F.broadcast(spark.createDataFrame(met, table.schema) if met.num_rows else table.where(F.lit(False)))
+        tables[column] = table
+    out = records
+    if indexed:
+        least = min(request.names, key=lambda c: len(few[c]) if c in few else BROADCAST_NAMES + 1)
+        out = vocabulary.records_of(least, few.get(least)).select(records.columns)
+    if request.date_of_birth is not None:
+        out = out.where(F.col("date_of_birth") == F.lit(request.date_of_birth))
+    bits = F.lit(_ALL)
+    for column, table in tables.items():
         out = out.join(table.select(F.col("name").alias(column), F.col("bits").alias(f"_bits_{column}"), F.col("similarity").alias(f"_{column}")), column)
         bits = bits.bitwiseAND(F.col(f"_bits_{column}"))
     return out.withColumn("_bits", bits).where(F.col("_bits") != 0)
 
 
-def matches(records: DataFrame, vocabulary: DataFrame, request: SearchRequest) -> DataFrame:
+def matches(records: DataFrame, vocabulary: DataFrame | NameIndex, request: SearchRequest) -> DataFrame:
     """The main part of a search with base modes: the records that match, with match_source."""
     out = joined(records, vocabulary, request)
     if "levenshtein" in request.modes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import date
 
@@ -12,6 +13,7 @@ from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.functions import sql
 from kinname.operators import reports, request, search, vocabulary
+from kinname.operators.index import NameIndex
 from kinname.operators.request import SearchRequest
 from kinname.plans import explain
 from kinname.schema import MODES, NICKNAMES, RECORD
@@ -44,7 +46,7 @@ def _with(*parts: str, query: str) -> str:
 
 def soundex_sql(c: str) -> str:
     word = f"regexp_replace(upper({c}), '^[^A-Z]+', '')"
-    digits = f"translate({word}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{N.SOUNDEX_DIGITS}')"
+    digits = f"translate(regexp_replace({word}, '[^A-Z]', 'A', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{N.SOUNDEX_DIGITS}')"
     for d in "0123456":
         digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
     return f"CASE WHEN {word} = '' THEN '' ELSE rpad(substr(substr({word}, 1, 1) || regexp_replace(substr({digits}, 2), '[^1-6]', '', 'g'), 1, 4), 4, '0') END"
@@ -196,6 +198,19 @@ def _names(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("first_name").alias("name")).union(rows.select("last_name")).distinct()
 
 
+_DIGITS_SQL = "substr(last_name, 1, CAST(1 + id % 3 AS INTEGER)) || CAST(id % 10 AS VARCHAR) || substr(last_name, CAST(2 + id % 3 AS INTEGER))"
+
+
+@_query(_with(query=f" SELECT id, name, {soundex_sql('name')} AS code FROM (SELECT id, {_DIGITS_SQL} AS name FROM court_record)"))
+def soundex_with_digits(spark, sf_dir):
+    """Names with a digit in them, by the column form; it must agree with the SQL function, else the code is null."""
+    sql.register(spark)
+    at = (F.col("id") % 3 + 1).cast("int")
+    name = F.concat(F.substring(F.col("last_name"), F.lit(1), at), (F.col("id") % 10).cast("string"), F.substring(F.col("last_name"), at + 1, F.length("last_name")))
+    code = N.soundex(F.col("name"))
+    return _records(spark, sf_dir).select("id", name.alias("name")).select("id", "name", F.when(code == F.expr("soundex_code(name)"), code).alias("code"))
+
+
 @_query(_with(_NAMES_SQL, query=f" SELECT name, {soundex_sql('name')} AS code FROM names"))
 def soundex_codes(spark, sf_dir):
     return _names(spark, sf_dir).select("name", N.soundex(F.col("name")).alias("code"))
@@ -426,6 +441,85 @@ def vocabulary_levenshtein(spark, sf_dir):
     return search.search(rows, SearchRequest(["levenshtein"], "thender", "the"), vocabulary=vocabulary.build(rows, with_dm=False))
 
 
+# through a stored index
+
+_indexes: dict[tuple[str, str], NameIndex] = {}
+
+
+def _index(spark, sf_dir) -> NameIndex:
+    """The index of the records, written once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = NameIndex(spark, f"{shared_dir(spark)}/index").build(_records(spark, sf_dir))
+    return _indexes[key]
+
+
+def _indexed(spark, sf_dir, modes, first="", last="", dob=None, sort="") -> DataFrame:
+    return search.search(_records(spark, sf_dir), SearchRequest(modes, first, last, dob, sort), vocabulary=_index(spark, sf_dir))
+
+
+@_query(SQL["trigram_knn_single"])
+def indexed_trigram_single(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["trigram"], last="thering")
+
+
+@_query(SQL["trigram_knn_both"])
+def indexed_trigram_both(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["trigram"], "ander", "thing")
+
+
+@_query(SQL["trigram_topup_merge"])
+def indexed_topup_merge(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["prefix", "trigram"], last="thing")
+
+
+@_query(SQL["levenshtein_standalone"])
+def indexed_levenshtein(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["levenshtein"], "thender", "the")
+
+
+@_query(SQL["soundex_search"])
+def indexed_soundex(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["soundex"], "thond", "reed")
+
+
+@_query(SQL["dm_search"])
+def indexed_dm(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["dm"], last="schander")
+
+
+@_query(SQL["dm_plus_levenshtein"])
+def indexed_dm_levenshtein(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["dm", "levenshtein"], last="thander")
+
+
+@_query(SQL["prefix_search"])
+def indexed_prefix(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["prefix"], "th", "on")
+
+
+@_query(SQL["sort_dob_desc"])
+def indexed_prefix_sorted(spark, sf_dir):
+    return _indexed(spark, sf_dir, ["prefix"], last="onth", sort="-date_of_birth")
+
+
+_LOOKED_UP = ["thering", "ander", "the", "a"]
+
+
+@_query(_with(_NAMES_SQL, query=" UNION ALL ".join(f" SELECT '{v}' AS asked, name, round({_ratio(grams_sql('name'), '[' + ', '.join(repr(g) for g in N.trigrams_of(v)) + ']')}, 6) AS similarity FROM names WHERE {_ratio(grams_sql('name'), '[' + ', '.join(repr(g) for g in N.trigrams_of(v)) + ']')} >= 0.3" for v in _LOOKED_UP)))
+def indexed_similar_names(spark, sf_dir):
+    """All names as similar to a value as a search asks for, by their postings."""
+    found = [_index(spark, sf_dir).near(v).select(F.lit(v).alias("asked"), "name", F.round("similarity", 6).alias("similarity")) for v in _LOOKED_UP]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@_query(_with(_NAMES_SQL, query=" UNION ALL ".join(f" SELECT '{v}' AS asked, name FROM names WHERE {_near('name', v)}" for v in _LOOKED_UP)))
+def indexed_edit_names(spark, sf_dir):
+    """All names within two edits of a value, by common deletions."""
+    found = [_index(spark, sf_dir).within_edits(v).select(F.lit(v).alias("asked"), "name") for v in _LOOKED_UP]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 # sources and sinks
 
 _RECORD_SQL = ", ".join("array_to_string(nicknames, ',') AS nicknames" if f.name == "nicknames" else f.name for f in RECORD)
