@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from kinname.functions import names as N
 from kinname.schema import NICKNAMES
 from kinname.sources.generate import uniform
+from kinname.sources.records import block_sample
 
 
 def large_clusters(records: DataFrame, least: int = 20, top: int = 10) -> DataFrame:
@@ -61,6 +62,39 @@ def nickname_pairs(records: DataFrame) -> DataFrame:
     return canonical.join(other, ["nickname", "last_name"])
 
 
+def nickname_pair_groups(records: DataFrame) -> DataFrame:
+    """The pairs of :func:`nickname_pairs` folded by names: canonical, nickname, last_name, pairs, first_canonical, first_nickname.
+
+    Either side is counted by first and last name before the two meet, so a last name that very many records share
+    is two rows a name, and no pair is listed.
+    """
+    pairs = F.broadcast(nickname_table(records.sparkSession))
+    used = sorted({x for c, nicks in NICKNAMES.items() for x in (c, *nicks)})
+    sides = records.select("id", F.upper("first_name").alias("name"), "last_name").where(F.col("name").isin(used))
+    sides = sides.groupBy("name", "last_name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    left = sides.join(pairs, sides.name == pairs.canonical).select("canonical", "nickname", "last_name", F.col("n").alias("n_canonical"), F.col("least").alias("first_canonical"))
+    right = sides.select(F.col("name").alias("nickname"), "last_name", F.col("n").alias("n_nickname"), F.col("least").alias("first_nickname"))
+    return left.join(right, ["nickname", "last_name"]).select("canonical", "nickname", "last_name", (F.col("n_canonical") * F.col("n_nickname")).alias("pairs"), "first_canonical", "first_nickname")
+
+
+def nickname_page(records: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` pairs by canonical name, nickname, last name and ids: only the groups that a page needs are unfolded.
+
+    A group has one pair at least, so the first ``most`` groups suffice, and of each the first ``most`` records a side.
+    """
+    groups = nickname_pair_groups(records).orderBy("canonical", "nickname", "last_name").limit(most).select("canonical", "nickname", "last_name")
+    rows = records.select("id", F.upper("first_name").alias("name"), "last_name", "date_of_birth")
+
+    def side(of: str) -> DataFrame:
+        keys = F.broadcast(groups.select(F.col(of).alias("name"), "last_name").distinct())  # ``most`` rows
+        first = F.row_number().over(W.partitionBy("name", "last_name").orderBy("id"))
+        met = rows.join(keys, ["name", "last_name"], "left_semi").withColumn("_n", first).where(F.col("_n") <= most)
+        return met.select(F.col("name").alias(of), "last_name", F.col("id").alias(f"{of}_id"), F.col("date_of_birth").alias(f"{of}_dob"))
+
+    pairs = groups.join(side("canonical"), ["canonical", "last_name"]).join(side("nickname"), ["nickname", "last_name"])
+    return pairs.orderBy("canonical", "nickname", "last_name", "canonical_id", "nickname_id").limit(most)
+
+
 def first_nickname_pairs(records: DataFrame, canonicals: int = 20, rows: int = 2, most: int = 3) -> DataFrame:
     """The report's short form: the first canonical names, two records a side, the first three pairs."""
     order = {c: i for i, c in enumerate(list(NICKNAMES)[:canonicals])}
@@ -103,9 +137,22 @@ def in_random_order(records: DataFrame, most: int, seed: int = 0, salt: str = "o
     return records.orderBy(uniform(seed, salt, F.col("id")), "id").limit(most)
 
 
-def sample_dobs(records: DataFrame, seed: int = 0, fraction: float = 1e-4, most: int = 100) -> list[date]:
-    """Up to ``most`` distinct dates from a row sample, topped up by a random sort where the table is small."""
+def sample_dobs(records: DataFrame, seed: int = 0, fraction: float = 1e-4, most: int = 100, path: str | None = None) -> list[date]:
+    """Up to ``most`` distinct dates from a row sample, topped up by a random sort where the table is small.
+
+    path: of a stored table, whose files are sampled instead, more of them as long as dates are too few.
+    """
     seen: dict[date, None] = {}
+    if path:
+        share = fraction
+        while True:
+            rows = block_sample(records.sparkSession, path, share, seed).select("date_of_birth")
+            for r in rows.distinct().orderBy(uniform(seed, "day", F.col("date_of_birth")), "date_of_birth").limit(most).collect():
+                if len(seen) < most:
+                    seen.setdefault(r[0])
+            if len(seen) >= most or share >= 1:
+                return list(seen)
+            share *= 8
     for attempt in range(3):
         for r in page_sample(records, fraction, seed + attempt).select("date_of_birth").limit(1_000).collect():
             if len(seen) < most:
@@ -128,10 +175,15 @@ def example_groups(first: str, last: str) -> list[dict]:
     return [{"label": label, "mode": mode, "fn": fn, "ln": ln} for label, mode, fn, ln in rows]
 
 
-def generate_examples(records: DataFrame, seed: int = 0) -> dict:
-    """A date with 5 to 20 records and example searches for one of its names; a fallback date with none otherwise."""
-    dates = sample_dobs(records, seed)
-    counts = {r["date_of_birth"]: r["cnt"] for r in dob_counts(records, dates).collect()} if dates else {}
+def generate_examples(records: DataFrame, seed: int = 0, path: str | None = None, counted: DataFrame | None = None) -> dict:
+    """A date with 5 to 20 records and example searches for one of its names; a fallback date with none otherwise.
+
+    path: of a stored table, see :func:`sample_dobs`; counted: (date_of_birth, cnt) of all days, as day counts have
+    them. With both, files of the sample and row groups of one date are all that is read of the records.
+    """
+    dates = sample_dobs(records, seed, path=path)
+    found = dob_counts(records, dates) if counted is None else counted.where(F.col("date_of_birth").isin(dates))
+    counts = {r["date_of_birth"]: r["cnt"] for r in found.collect()} if dates else {}
     day = next((d for d in dates if 5 <= counts.get(d, 0) <= 20), date(1990, 1, 1))
     names = records.where(F.col("date_of_birth") == F.lit(day))
     names = in_random_order(names, 5, seed).select("first_name", "last_name").collect()
@@ -172,6 +224,6 @@ def record_count(records: DataFrame, cache: TimedCache = _counts) -> int:
     return cache.get(_table_key(records), records.count)
 
 
-def help_examples(records: DataFrame, refresh: str = "", seed: int = 0, cache: TimedCache = _examples) -> dict:
+def help_examples(records: DataFrame, refresh: str = "", seed: int = 0, cache: TimedCache = _examples, path: str | None = None, counted: DataFrame | None = None) -> dict:
     """The cached examples; any text in ``refresh`` renews them."""
-    return cache.get((_table_key(records), seed), lambda: generate_examples(records, seed), bool(refresh))
+    return cache.get((_table_key(records), seed), lambda: generate_examples(records, seed, path, counted), bool(refresh))

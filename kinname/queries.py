@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 from datetime import date
 
@@ -13,6 +14,7 @@ from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
 from kinname.functions import sql
 from kinname.operators import reports, request, search, vocabulary
+from kinname.operators.day_counts import DayCounts
 from kinname.operators.index import NameIndex
 from kinname.operators.request import SearchRequest
 from kinname.plans import explain
@@ -301,8 +303,30 @@ _PAIRS_SQL = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}')" fo
 
 @_query(_with(records.NICKNAMED_SQL, _PAIRS_SQL, query=" SELECT canonical, nickname, count(*) AS pairs, min(c.id) AS first_canonical, min(n.id) AS first_nickname FROM pairs JOIN nicknamed c ON upper(c.first_name) = canonical JOIN nicknamed n ON upper(n.first_name) = nickname AND n.last_name = c.last_name GROUP BY ALL"))
 def nickname_pairs(spark, sf_dir):
-    found = reports.nickname_pairs(records.nicknamed(_records(spark, sf_dir)))
-    return found.groupBy("canonical", "nickname").agg(F.count(F.lit(1)).alias("pairs"), F.min("canonical_id").alias("first_canonical"), F.min("nickname_id").alias("first_nickname"))
+    found = reports.nickname_pair_groups(records.nicknamed(_records(spark, sf_dir)))
+    return found.groupBy("canonical", "nickname").agg(F.sum("pairs").alias("pairs"), F.min("first_canonical").alias("first_canonical"), F.min("first_nickname").alias("first_nickname"))
+
+
+_HOT_SQL = "hot AS (SELECT id, first_name, CASE WHEN id % 3 = 0 THEN 'COMMON' ELSE last_name END AS last_name, date_of_birth FROM nicknamed)"
+
+
+def _one_last_name(spark, sf_dir) -> DataFrame:
+    """A third of the records has one last name."""
+    return records.nicknamed(_records(spark, sf_dir)).withColumn("last_name", F.when(F.col("id") % 3 == 0, "COMMON").otherwise(F.col("last_name")))
+
+
+@_query(_with(records.NICKNAMED_SQL, _HOT_SQL, _PAIRS_SQL, """
+sides AS (SELECT upper(first_name) AS name, last_name, count(*) AS n, min(id) AS least FROM hot GROUP BY ALL)""",
+    query=" SELECT canonical, nickname, c.last_name AS last_name, c.n * k.n AS pairs, c.least AS first_canonical, k.least AS first_nickname FROM pairs JOIN sides c ON c.name = canonical JOIN sides k ON k.name = nickname AND k.last_name = c.last_name"))
+def nickname_pair_groups(spark, sf_dir):
+    return reports.nickname_pair_groups(_one_last_name(spark, sf_dir))
+
+
+@_query(_with(records.NICKNAMED_SQL, _HOT_SQL, _PAIRS_SQL, """
+firsts AS (SELECT id, upper(first_name) AS name, last_name, date_of_birth FROM hot QUALIFY row_number() OVER (PARTITION BY upper(first_name), last_name ORDER BY id) <= 20)""",
+    query=" SELECT canonical, nickname, c.last_name AS last_name, c.id AS canonical_id, c.date_of_birth AS canonical_dob, k.id AS nickname_id, k.date_of_birth AS nickname_dob FROM pairs JOIN firsts c ON c.name = canonical JOIN firsts k ON k.name = nickname AND k.last_name = c.last_name ORDER BY canonical, nickname, last_name, canonical_id, nickname_id LIMIT 20"))
+def nickname_page(spark, sf_dir):
+    return reports.nickname_page(_one_last_name(spark, sf_dir))
 
 
 @_query(_with(query=" SELECT id, first_name || ' ' || CASE WHEN id % 3 = 0 THEN '' ELSE substr(last_name, 1, 1) || ' ' END || last_name AS full_name FROM court_record"))
@@ -566,9 +590,76 @@ def streamed_vocabulary(spark, sf_dir):
     return spark.read.parquet(f"{folder}/names").select("name")
 
 
-@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete WHERE id % 50 = 0"))
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete"))
 def exported_records(spark, sf_dir):
-    return _flat(spark.createDataFrame(records.export(_complete(spark, sf_dir).where("id % 50 = 0")), RECORD))
+    return _flat(spark.createDataFrame(records.export(_complete(spark, sf_dir)), RECORD))
+
+
+_counted: dict[tuple[str, str], DayCounts] = {}
+
+
+def _counts(spark, sf_dir) -> DayCounts:
+    """Day counts that a bulk write, another one after it and two batches have made, one of which ran twice; once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _counted:
+        folder, rows = shared_dir(spark), _complete(spark, sf_dir)
+        table, names, counts = (f"{folder}/{x}" for x in ("records", "names", "counts"))
+        part = lambda k: rows.where(f"id % 4 = {k}")
+        records.write_records(part(1), table, counts=counts, part="first")
+        records.write_records(part(0), table, counts=counts, part="again")  # replaces the table, and so its counts
+        records.write_records(part(1), table, append=True, counts=counts, part="more")
+        for k in (2, 3, 3):
+            ingest.append(part(k), table, names, k, "s", counts)
+        _counted[key] = DayCounts(spark, counts)
+    return _counted[key]
+
+
+@_query(SQL["record_count"])
+def counted_records(spark, sf_dir):
+    return _counts(spark, sf_dir).total()
+
+
+@_query(SQL["dob_counts_in_list"])
+def counted_dobs(spark, sf_dir):
+    return _counts(spark, sf_dir).of(_DAYS)
+
+
+@_query(SQL["dob_example_window"])
+def counted_window(spark, sf_dir):
+    return _counts(spark, sf_dir).in_window()
+
+
+@_query(SQL["date_hierarchy"])
+def counted_years(spark, sf_dir):
+    return _counts(spark, sf_dir).hierarchy("year")
+
+
+_MONTHS_SQL = _with(query=" SELECT CAST(date_trunc('month', date_of_birth) AS DATE) AS period, count(*) AS cnt FROM court_record WHERE year(date_of_birth) BETWEEN 1950 AND 1969 GROUP BY ALL")
+
+
+@_query(_MONTHS_SQL)
+def counted_months(spark, sf_dir):
+    return _counts(spark, sf_dir).hierarchy("month", F.year("date_of_birth").between(1950, 1969))
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete WHERE lower(first_name) = 'thon'"))
+def stored_person(spark, sf_dir):
+    """The records of one person from a stored table, whose row groups have Bloom filters of their persons."""
+    path, rows = f"{shared_dir(spark)}/records", _complete(spark, sf_dir)
+    records.write_records(rows, path, row_group=1 << 20)
+    person = hashlib.md5(b"thon").hexdigest()
+    return _flat(records.of_person(records.read_records(spark, path), "-".join(person[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))))
+
+
+@_query(_with(records.COMPLETE_SQL, query=f" SELECT {_RECORD_SQL} FROM complete"))
+def sampled_blocks(spark, sf_dir):
+    """Every block of a stored table is in the sample of all of them, and in one of two samples that exclude each other."""
+    path, rows = f"{shared_dir(spark)}/records", _complete(spark, sf_dir)
+    records.write_records(rows, path, rows_a_file=10_000)
+    some, all_ = records.block_sample(spark, path, 0.3, 7), records.block_sample(spark, path, 1.0, 7)
+    others = set(all_.inputFiles()) - set(some.inputFiles())
+    rest = spark.read.schema(RECORD).parquet(*sorted(others)) if others else some.where(F.lit(False))
+    return _flat(some.unionByName(rest))
 
 
 @_query(_with("""
@@ -646,7 +737,7 @@ def nickname_pairs_short(spark, sf_dir):
     return reports.first_nickname_pairs(_bynamed(_records(spark, sf_dir)))
 
 
-@_query(_with(query=" SELECT CAST(date_trunc('month', date_of_birth) AS DATE) AS period, count(*) AS cnt FROM court_record WHERE year(date_of_birth) BETWEEN 1950 AND 1969 GROUP BY ALL"))
+@_query(_MONTHS_SQL)
 def date_hierarchy_months(spark, sf_dir):
     return reports.date_hierarchy(_records(spark, sf_dir), "month", F.year("date_of_birth").between(1950, 1969))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +22,46 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("recursiveFileLookup", "true").parquet(path)
 
 
-def write_records(records: DataFrame, path: str, *, append: bool = False, rows_a_file: int = 5_000_000) -> None:
-    """Appends, or replaces the table and so restarts its ids. Sorted within files by date, so that row groups prune on it."""
+#: Persons that a row group's Bloom filter is made for, and bytes of a row group.
+PERSONS_A_GROUP, ROW_GROUP = 200_000, 16 << 20
+
+
+def write_records(records: DataFrame, path: str, *, append: bool = False, rows_a_file: int = 5_000_000, row_group: int = ROW_GROUP, persons: int = PERSONS_A_GROUP, counts: str | None = None, part: str = "bulk") -> None:
+    """Appends, or replaces the table and so restarts its ids.
+
+    Sorted within files by date, so that row groups prune on it; each row group has a Bloom filter of its person ids, so
+    that a lookup of one skips those that surely lack it. counts: a folder of day counts that the rows are
+    added to as ``part``, the same name when the write runs again.
+    """
+    from kinname.operators.day_counts import DayCounts
+
     names = [f.name for f in RECORD]
     out = records.select(names).sortWithinPartitions("date_of_birth")
-    out.write.mode("append" if append else "overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
+    writer = out.write.mode("append" if append else "overwrite").option("maxRecordsPerFile", rows_a_file).option("parquet.block.size", str(row_group))
+    writer = writer.option("parquet.bloom.filter.enabled#person_id", "true").option("parquet.bloom.filter.expected.ndv#person_id", str(persons))
+    writer.parquet(path)
+    if counts:
+        kept = DayCounts(records.sparkSession, counts)
+        (kept.add if append else kept.restart)(records, part)
+
+
+def of_person(records: DataFrame, person_id: str) -> DataFrame:
+    """The records of a person; of a stored table, from the row groups that may have the id."""
+    return records.where(F.col("person_id") == F.lit(person_id))
+
+
+def block_sample(spark: SparkSession, path: str, fraction: float, seed: int = 0) -> DataFrame:
+    """The records of about ``fraction`` of a table's files, one at least; the others are not opened.
+
+    Each file is in or out by a draw of the seed and its name. Rows of a file come together, as those of
+    a page do, so counts vary more than of a sample of rows. Files hold whatever dates their writes had, sorted within
+    the file only, so dates are as in the table as long as writes mix them; a table whose writes go by date
+    gives whole stretches of dates or none. Blocks are as fine as write_records made files (rows_a_file).
+    """
+    files = sorted(read_records(spark, path).inputFiles())
+    drawn = {f: int(hashlib.md5(f"{seed}|block|{f.rsplit('/', 1)[-1]}".encode()).hexdigest()[:13], 16) / (1 << 52) for f in files}
+    chosen = [f for f in files if drawn[f] < fraction] or sorted(files, key=drawn.get)[:1]
+    return spark.read.schema(RECORD).parquet(*chosen) if chosen else read_records(spark, path)
 
 
 def read_name_weights(spark: SparkSession, path: str, column: str) -> DataFrame:

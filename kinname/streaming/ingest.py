@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from kinname.operators import vocabulary
+from kinname.operators.day_counts import DayCounts
 from kinname.schema import RECORD
 from kinname.sources.records import exists
 
 
-def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream: str = "once") -> None:
+def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream: str = "once", counts: str | None = None) -> None:
     """One micro-batch of a stream; a batch that runs again replaces its own files, so it is appended once.
 
     Batches are numbered anew by each stream, so a batch's folder has the stream's name in it, too.
-    ``read_records`` reads such folders and plain files of one table together.
+    ``read_records`` reads such folders and plain files of one table together. counts: a folder of day counts
+    that the batch is added to, from the files that were written, once under the batch's name.
     """
     spark = batch.sparkSession
-    batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(f"{table}/stream={stream}/batch={batch_id}")
+    part = f"{table}/stream={stream}/batch={batch_id}"
+    batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(part)
+    if counts:
+        DayCounts(spark, counts).add(spark.read.schema(RECORD).parquet(part), f"{stream}-{batch_id}")
     fresh = vocabulary.build(batch)
     if exists(spark, names):
         fresh = fresh.join(spark.read.parquet(names).select("name"), "name", "left_anti")
     fresh.write.mode("append").parquet(names)
 
 
-def start(stream: DataFrame, table: str, names: str, checkpoint: str) -> StreamingQuery:
+def start(stream: DataFrame, table: str, names: str, checkpoint: str, counts: str | None = None) -> StreamingQuery:
     """Appends all that is there now, in micro-batches, and ends.
 
     The stream's name is the id that its checkpoint holds: the same after a restart, another one for a new checkpoint.
@@ -32,6 +37,6 @@ def start(stream: DataFrame, table: str, names: str, checkpoint: str) -> Streami
 
     def add(batch: DataFrame, batch_id: int) -> None:
         name = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
-        append(batch, table, names, batch_id, name)
+        append(batch, table, names, batch_id, name, counts)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
