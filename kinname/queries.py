@@ -7,8 +7,10 @@ import hashlib
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
@@ -440,11 +442,28 @@ def phonetic_codes(spark, sf_dir):
     return page.select("id", "match_source", "has_soundex", "phonetic_codes.*")
 
 
-@_query(_dm_with("asked AS (SELECT * FROM (VALUES ('Thander'), ('Schmidt'), ('Robert'), ('Peters'), ('Bob'), ('Czajka'), ('Jackson')) t(name))", _codes_sql("asked"),
-    query=f" SELECT name, {soundex_sql('name')} AS soundex_fn, array_to_string(codes, ', ') AS dm_fn FROM codes"))
+def _each(rows: DataFrame, make: Callable[[dict], tuple], schema: str) -> DataFrame:
+    """``make`` of every row, in Arrow batches: for what is Python by contract, as requests that arrive are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            made = [make(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, m, strict=True)) for m in made], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+@_query(_dm_with(_NAMES_SQL, _codes_sql("names"), query=f" SELECT name, {soundex_sql('name')} AS soundex_fn, array_to_string(codes, ', ') AS dm_fn FROM codes"))
 def query_codes(spark, sf_dir):
-    asked = ["Thander", "Schmidt", "Robert", "Peters", "Bob", "Czajka", "Jackson"]
-    return spark.createDataFrame([(n, c["soundex_fn"], c["dm_fn"]) for n in asked for c in [search.query_codes(n, "")]], "name string, soundex_fn string, dm_fn string")
+    """The codes that a request shows of the name it asks for, of every name."""
+    def codes(row):
+        c = search.query_codes(row["name"], "")
+        return row["name"], c["soundex_fn"], c["dm_fn"]
+
+    return _each(_names(spark, sf_dir), codes, "name string, soundex_fn string, dm_fn string")
 
 
 @_query(_dm_with(_same_dm("thender"), query=f" SELECT {_COLUMNS}, CAST(m AS INTEGER) AS match_source FROM (SELECT *, (CASE WHEN {_sounds('last_name', 'thender')} THEN 4 ELSE 0 END) | (CASE WHEN last_name IN (SELECT name FROM alike) THEN 16 ELSE 0 END) AS m FROM court_record) WHERE m <> 0 AND {_near('last_name', 'thender')}"))
@@ -800,59 +819,64 @@ def cached_count(spark, sf_dir):
 # requests, explanations, display SQL
 
 _MODE_TEXTS = [None, "", "bogus", "prefix", "prefix, soundex", "prefix,prefix", "soundex,levenshtein", " legacy , soundex ", "dm,bogus,trigram", "legacy"]
-_DATE_TEXTS = ["1990-05-15", "1990-5-15", " 1990-05-15 ", "invalid", "1990-05-15 10:00:00", "", "1990-02-30", "1990-13-01", None]
 _SORT_TEXTS = ["dob_asc", "dob_desc", "bogus", " dob_asc"]
-_NAME_TEXTS = [" John ", "   ", "O'Neil"]
-_RAW = "modes string, dob string, sort string, name string"
+_FORMS = [("%Y-%m-%d", "yyyy-MM-dd", True), ("%Y-%-m-%-d", "yyyy-M-d", True), (" %Y-%-m-%d ", " yyyy-M-dd ", True), ("%Y-%m-%d 10:00:00", "yyyy-MM-dd '10:00:00'", False), ("%d.%m.%Y", "dd.MM.yyyy", False), ("%Y-13-%d", "yyyy-'13'-dd", False), ("%Y-02-30", "yyyy-'02-30'", False), ("", "''", False)]
+_STRICT = [0, 1]  # the forms that are a date without anything around it
+
+
+def _formed_sql() -> str:
+    return "CASE id % 8 " + " ".join(f"WHEN {i} THEN " + (f"strftime(date_of_birth, '{f}')" if f else "''") for i, (f, _, _) in enumerate(_FORMS)) + " END"
+
+
+def _formed() -> Column:
+    """A record's date in one of many forms, most of which are none."""
+    text = F.lit(None).cast("string")
+    for i, (_, form, _) in enumerate(_FORMS):
+        text = F.when(F.col("id") % 8 == i, F.date_format("date_of_birth", form) if form != "''" else F.lit("")).otherwise(text)
+    return text
+
 
+def _chosen_sql(texts: list, by: int) -> str:
+    return f"CASE (id // {by}) % {len(texts)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if t is None else f"'{t}'") for i, t in enumerate(texts)) + " END"
 
-def _texts(values: list) -> str:
-    return "(VALUES " + ", ".join("(NULL)" if v is None else "('" + v.replace("'", "''") + "')" for v in values) + ")"
+
+def _chosen(texts: list, by: int) -> Column:
+    return F.get(F.array(*[F.lit(t).cast("string") for t in texts]), (F.floor(F.col("id") / by) % len(texts)).cast("int"))
 
 
 _KNOWN = ", ".join(f"'{m}'" for m in MODES)
 
 
-@_query(f"""
-SELECT m AS modes, d AS dob, s AS sort, n AS name,
-  array_to_string(CASE WHEN len(plain) > 0 THEN plain ELSE ['prefix'] END, '+') AS searched, array_to_string(CASE WHEN len(bare) > 0 THEN bare ELSE ['prefix'] END, '+') AS explained,
-  CASE WHEN regexp_full_match(trim(d), '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN coalesce(CAST(TRY_CAST(trim(d) AS DATE) AS VARCHAR), 'none') ELSE 'none' END AS day,
-  CASE s WHEN 'dob_asc' THEN 'date_of_birth' WHEN 'dob_desc' THEN '-date_of_birth' ELSE '' END AS sort_field, trim(n) AS first_name
+@_query(_with(query=f"""
+ SELECT id, array_to_string(CASE WHEN len(plain) > 0 THEN plain ELSE ['prefix'] END, '+') AS searched, array_to_string(CASE WHEN len(bare) > 0 THEN bare ELSE ['prefix'] END, '+') AS explained,
+  CASE WHEN id % 8 IN ({', '.join(str(i) for i, f in enumerate(_FORMS) if f[2])}) THEN strftime(date_of_birth, '%Y-%m-%d') ELSE 'none' END AS day,
+  CASE s WHEN 'dob_asc' THEN 'date_of_birth' WHEN 'dob_desc' THEN '-date_of_birth' ELSE '' END AS sort_field, first_name
 FROM (SELECT *, list_filter(string_split(coalesce(m, ''), ','), lambda x: x IN ({_KNOWN})) AS plain, list_filter(list_transform(string_split(coalesce(m, ''), ','), lambda x: trim(x)), lambda x: x IN ({_KNOWN})) AS bare
-  FROM {_texts(_MODE_TEXTS)} a(m), {_texts(_DATE_TEXTS)} b(d), {_texts(_SORT_TEXTS)} c(s), {_texts(_NAME_TEXTS)} e(n))""")
+  FROM (SELECT *, {_chosen_sql(_MODE_TEXTS, 1)} AS m, {_chosen_sql(_SORT_TEXTS, 3)} AS s FROM court_record))"""))
 def parsed_requests(spark, sf_dir):
-    out = []
-    for m in _MODE_TEXTS:
-        for d in _DATE_TEXTS:
-            for s in _SORT_TEXTS:
-                for n in _NAME_TEXTS:
-                    params = {"modes": m, "date_of_birth": d, "sort": s, "first_name": n}
-                    a, b = SearchRequest.parse(params), SearchRequest.parse(params, explain=True)
-                    out.append((m, d, s, n, "+".join(a.modes), "+".join(b.modes), str(a.date_of_birth or "none"), a.sort_field, a.first_name))
-    return spark.createDataFrame(out, f"{_RAW}, searched string, explained string, day string, sort_field string, first_name string")
-
-
-@_query("""SELECT t AS text, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') THEN coalesce(CAST(TRY_CAST(t AS DATE) AS VARCHAR), 'none') ELSE 'none' END AS day, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') THEN TRY_CAST(t AS DATE) END IS NULL AS refused
-FROM (VALUES ('2026-01-01'), ('1990-13-01'), ('soon'), ('2024-02-29'), ('2023-02-29'), ('')) v(t)""")
+    """What requests are parsed to, a request made of each record: its name with blanks, its date in many forms, modes and sorts in turn."""
+    def parsed(row):
+        a, b = SearchRequest.parse(row), SearchRequest.parse(row, explain=True)
+        return row["id"], "+".join(a.modes), "+".join(b.modes), str(a.date_of_birth or "none"), a.sort_field, a.first_name
+
+    asked = _records(spark, sf_dir).select("id", _chosen(_MODE_TEXTS, 1).alias("modes"), _chosen(_SORT_TEXTS, 3).alias("sort"), _formed().alias("date_of_birth"), F.concat(F.lit("  "), "first_name", F.lit(" ")).alias("first_name"))
+    return _each(asked, parsed, "id long, searched string, explained string, day string, sort_field string, first_name string")
+
+
+@_query(_with(query=f" SELECT id, {_formed_sql()} AS text, CASE WHEN id % 8 IN ({', '.join(map(str, _STRICT))}) THEN strftime(date_of_birth, '%Y-%m-%d') ELSE 'none' END AS day, id % 8 NOT IN ({', '.join(map(str, _STRICT))}) AS refused FROM court_record"))
 def reference_dates(spark, sf_dir):
-    out = []
-    for text in ("2026-01-01", "1990-13-01", "soon", "2024-02-29", "2023-02-29", ""):
+    def parsed(row):
         try:
-            out.append((text, request.parse_reference_date(text).isoformat(), False))
+            return row["id"], row["text"], request.parse_reference_date(row["text"]).isoformat(), False
         except ValueError:
-            out.append((text, "none", True))
-    return spark.createDataFrame(out, "text string, day string, refused boolean")
-
+            return row["id"], row["text"], "none", True
 
-_FORMS = [("%Y-%m-%d", "yyyy-MM-dd", True), ("%Y-%-m-%-d", "yyyy-M-d", True), (" %Y-%-m-%d ", " yyyy-M-dd ", True), ("%Y-%m-%d 10:00:00", "yyyy-MM-dd '10:00:00'", False), ("%d.%m.%Y", "dd.MM.yyyy", False), ("%Y-13-%d", "yyyy-'13'-dd", False), ("%Y-02-30", "yyyy-'02-30'", False), ("", "''", False)]
+    return _each(_records(spark, sf_dir).select("id", _formed().alias("text")), parsed, "id long, text string, day string, refused boolean")
 
 
-@_query(_with(query=" SELECT id, CASE id % 8 " + " ".join(f"WHEN {i} THEN " + (f"strftime(date_of_birth, '{f}')" if f else "''") for i, (f, _, _) in enumerate(_FORMS)) + f" END AS text, CASE WHEN id % 8 IN ({', '.join(str(i) for i, f in enumerate(_FORMS) if f[2])}) THEN strftime(date_of_birth, '%Y-%m-%d') ELSE 'none' END AS day FROM court_record"))
+@_query(_with(query=f" SELECT id, {_formed_sql()} AS text, CASE WHEN id % 8 IN ({', '.join(str(i) for i, f in enumerate(_FORMS) if f[2])}) THEN strftime(date_of_birth, '%Y-%m-%d') ELSE 'none' END AS day FROM court_record"))
 def lenient_dates(spark, sf_dir):
-    text = F.lit(None).cast("string")
-    for i, (_, form, _) in enumerate(_FORMS):
-        text = F.when(F.col("id") % 8 == i, F.date_format("date_of_birth", form) if form != "''" else F.lit("")).otherwise(text)
-    return _records(spark, sf_dir).select("id", text.alias("text")).withColumn("day", F.coalesce(F.date_format(N.parsed_date(F.col("text")), "yyyy-MM-dd"), F.lit("none")))
+    return _records(spark, sf_dir).select("id", _formed().alias("text")).withColumn("day", F.coalesce(F.date_format(N.parsed_date(F.col("text")), "yyyy-MM-dd"), F.lit("none")))
 
 
 _EXPLAINED = [(["prefix", "soundex"], "", "ander", None), (["prefix", "trigram"], "", "ander", None), (["trigram"], "a", "b", None), (["prefix"], "", "", _DAY), (["trigram"], "", "", _DAY), (["levenshtein"], "", "", None)]
@@ -971,9 +995,9 @@ def expanded_clusters(spark, sf_dir):
     return generate.expanded(people).select("id", "member")
 
 
-@_query("SELECT n AS remaining, CAST(least(greatest(floor(n / 1.5), 1000), 2000000) AS BIGINT) AS identities FROM (VALUES (54000000), (3000000), (15000), (1), (1500), (100000)) t(n)")
+@_query(_with(query=" SELECT id AS remaining, CAST(least(greatest(floor(id / 1.5), 1000), 2000000) AS BIGINT) AS identities FROM court_record"))
 def batch_sizes(spark, sf_dir):
-    return spark.createDataFrame([(n, generate.batch_identities(n)) for n in (54_000_000, 3_000_000, 15_000, 1, 1_500, 100_000)], "remaining int, identities long")
+    return _each(_records(spark, sf_dir).select("id"), lambda row: (row["id"], generate.batch_identities(row["id"])), "remaining long, identities long")
 
 
 @_query("SELECT step, n, low, high, reports FROM (VALUES ('seeded', 3000, 1, 3000, 3), ('more', 3500, 1, 3500, 0), ('flushed', 800, 1, 800, 0)) t(step, n, low, high, reports)")
