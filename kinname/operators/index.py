@@ -24,6 +24,7 @@ from functools import reduce
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinname.functions import daitch_mokotoff as dm
 from kinname.functions import names as N
@@ -37,14 +38,16 @@ ROW_GROUP, PAGE_ROWS = 1 << 20, 2_000
 EDIT_LETTERS = 7
 #: Values up to which a filter is a chain of equalities, which reach the row groups' statistics one by one.
 MOST_PUSHED = 256
+#: Names that a nearest-names search keeps on the driver, at most.
+MOST_LOCAL = 10_000
 #: Similarities that a nearest-names search tries in turn, until the names found have a page of records.
 FALLING = (0.5, LEAST_SIMILARITY)
 
 
-def one_of(column: str | Column, values: Iterable) -> Column:
-    """Equality with any value, as a chain that is pushed down whatever its length; false of none."""
-    c = F.col(column) if isinstance(column, str) else column
-    return reduce(Column.__or__, [c == F.lit(v) for v in values], F.lit(False))
+def one_of(column: str, values: Iterable[str | int]) -> Column:
+    """Equality with any value, as a chain that is pushed down whatever its length; false of none. One SQL text, as each call of the JVM costs."""
+    literal = lambda v: str(v) + "L" if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(" OR ".join(f"`{column}` = {literal(v)}" for v in values) or "false")
 
 
 def without_one(word: Column) -> Column:
@@ -69,6 +72,9 @@ def deletions_of(name: str) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for w in dict.fromkeys(found) for h in [xxhash.xxh64_intdigest(w.encode(), 42)]]
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 @dataclass(frozen=True)
 class NameIndex:
     """The tables of an index in a folder; see the module."""
@@ -79,7 +85,10 @@ class NameIndex:
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        return self.spark.read.parquet(f"{self.folder}/{table}")
+        path = f"{self.folder}/{table}"
+        if path not in _schemas:  # asking files for it is a job, at each probe
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     def _write(self, rows: DataFrame, table: str, *keys: str, append: bool = False) -> None:
         dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -125,7 +134,7 @@ class NameIndex:
         few = m - max(math.ceil(least * m - 1e-9), 1) + 1
         counts = self.gram_counts(own) if counts is None else counts
         rare = sorted(own, key=lambda g: (counts[g], g))[:few]
-        met = self.grams.where(one_of("gram", rare) & F.col("n_grams").between(math.ceil(least * m - 1e-9), math.floor(m / least + 1e-9)))
+        met = self.grams.where(one_of("gram", rare) & F.col("n_grams").between(*_sizes(value, least)))
         hits = met.distinct().groupBy("name", "n_grams").agg(F.count(F.lit(1)).alias("hits"))
         reach = F.col("hits") + F.least(F.lit(m - few), F.col("n_grams") - F.col("hits"))
         return hits.where(reach >= F.ceil(F.lit(least / (1 + least)) * (F.col("n_grams") + m) - 1e-6))
@@ -143,9 +152,11 @@ class NameIndex:
         count, counts = "n_first" if column == "first_name" else "n_last", self.gram_counts(N.trigrams_of(value))
         for least in FALLING[:-1]:
             found = self.near(value, least, counts)
-            known = found.join(self.names.where(one_of("n_grams", _sizes(value, least))).select("name", count), "name").dropDuplicates(["name"]).agg(F.sum(count)).first()[0]
-            if (known or 0) >= rows:
-                return found
+            held = self.names.where(F.col("n_grams").between(*_sizes(value, least))).select("name", count)
+            met = found.join(held, "name").dropDuplicates(["name"]).limit(MOST_LOCAL + 1).toArrow()
+            # counts of the time when a name was added: records that came later only make more
+            if sum(met.column(count).to_pylist()) >= rows:
+                return found if met.num_rows > MOST_LOCAL else self.spark.createDataFrame(met.select(["name", "similarity"]))
         return self.near(value, FALLING[-1], counts)
 
     def within_edits(self, value: str) -> DataFrame:
@@ -194,7 +205,7 @@ class NameIndex:
         return out.drop("_upper")
 
 
-def _sizes(value: str, least: float) -> range:
-    """The numbers of grams that a name so similar to ``value`` can have."""
+def _sizes(value: str, least: float) -> tuple[int, int]:
+    """The least and the greatest number of grams that a name so similar to ``value`` can have."""
     m = len(N.trigrams_of(value))
-    return range(max(math.ceil(least * m - 1e-9), 0), math.floor(m / least + 1e-9) + 1)
+    return math.ceil(least * m - 1e-9), math.floor(m / least + 1e-9)
