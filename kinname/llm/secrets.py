@@ -26,8 +26,9 @@ LEAST_SCORE = 0.5
 #: Characters before and after a candidate that are looked at.
 AROUND = 48
 
-_RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-_GIVEN = re.compile(r"""(?i)(?:pass(?:word|wd)?|pwd|(?:secret|private|client)(?:[_-]?(?:key|token))?|token|(?:api|access)[_-]?key|(?<![a-z])key|auth|bearer|credentials?)["']?\s*[:=]\s*["']?([^\s"'<>,;]{6,})""")
+#: A run ends at =, so that a name is not part of what it is given; only base64 has them, at its end.
+_RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?")
+_GIVEN = re.compile(r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|(?:secret|private|client)(?:[_-]?(?:key|token))?|token|(?:api|access)[_-]?key|(?<![a-z])key|auth|bearer|credentials?)["']?\s*[:=]\s*["']?([^\s"'<>,;]{6,})""")
 #: A bearer's token in a header, and the password in an address.
 _BEARER = re.compile(r"""(?i)authorization["']?\s*[:=]\s*["']?bearer\s+([^\s"'<>,;]{6,})""")
 _ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
@@ -35,6 +36,11 @@ _ADDRESS = re.compile(r"""://[^\s/:@"'<>]*:([^\s/@"'<>]{6,})@""")
 _ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:glpat-|gh[opsu]_|github_pat_|xox[abprs]-|sk-|sk_live_|rk_live_|AKIA|ASIA|AIza|SG\.|npm_|pypi-|hf_)[A-Za-z0-9_\-.]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 _SECRET_WORDS = frozenset("token secret password passwd pwd pass key apikey api_key access_key auth bearer credential credentials private".split())
 _OTHER_WORDS = frozenset("commit sha sha1 sha256 md5 checksum hash digest uuid guid id revision version build order invoice card iban isbn phone example sample placeholder dummy etag integrity".split())
+#: What stands before data that is written out in text, digests of scripts, and the forms of account numbers and of references to a secret.
+_DATA = re.compile(r"(?i)data:[a-z]+/[a-z0-9.+\-]+;base64,$|;base64,$")
+_DIGEST = re.compile(r"(?i)^sha(?:1|256|384|512)[-:]")
+_ACCOUNT = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+_REFERENCE = re.compile(r"[$%]?\{|\(|\$|<|\.(?:env|get|config|secrets?)\b|^[A-Z]+(?:_[A-Z]+)+$|^[A-Z]+(?:-[A-Z]+)+$")
 _DULL_PATH = re.compile(r"(?i)(^|[/_.\-])(tests?|examples?|fixtures?|docs?|samples?|mock|lock)([/_.\-]|$)")
 #: Parts of ordinary names and placeholders, for the coverage of a candidate by a dictionary.
 DICTIONARY = tuple(
@@ -76,6 +82,7 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(all(c in "0123456789abcdef" for c in lower)), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", lower))), float(n in (32, 40, 64)),
         max((len(m[0]) for m in re.finditer(r"(.)\1*", candidate)), default=0) / n,
         float(bool(_DULL_PATH.search(path))), float(any(w in _SECRET_WORDS or w.rsplit("_", 1)[-1] in _SECRET_WORDS for w in near)), float(any(w in _OTHER_WORDS for w in near)),
+        float(bool(_DATA.search(before))), float(bool(_DIGEST.match(candidate))), float(bool(_ACCOUNT.fullmatch(candidate))), float(bool(_ISSUED.match(candidate))), float(bool(_REFERENCE.search(candidate))),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before[-1:] in ("'", '"') and after[:1] == before[-1:]),
     ]
 
@@ -161,8 +168,9 @@ def train(findings: Sequence[tuple[str, str, str, str, int]], seed: int = 3) ->
 
 
 #: Kinds of secrets and of other candidates that findings are made of.
-SECRET_KINDS = ("hex 40", "hex 32", "hex 64", "mixed", "access key", "issued", "base64", "sk", "password", "letters", "signed", "address")
-OTHER_KINDS = ("commit", "checksum", "digest", "words", "uuid", "number", "path", "placeholder", "version")
+SECRET_KINDS = ("hex 40", "hex 32", "hex 64", "mixed", "access key", "issued", "base64", "sk", "password", "letters", "signed", "address", "human", "phrase")
+OTHER_KINDS = ("commit", "checksum", "digest", "words", "uuid", "number", "path", "placeholder", "version", "data", "integrity", "account", "reference")
+_SYLLABLES = "ba co der fin gul hor jam kel lo mer nu pol qui ras sten tor ul ver wal xen yor zim".split()
 
 
 def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) -> list[tuple[str, str, str, str, int]]:
@@ -173,6 +181,7 @@ def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) ->
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
     hexes, digits, upper = "0123456789abcdef", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     mixed = upper + upper.lower() + digits
+    word = lambda k: "".join(pick(_SYLLABLES) for _ in range(k))
     prose = ["of the", "and then", "is given in", "was here", "de la", "und der", "see also", "it"]
     paths = ["src/app.py", "config/prod.env", "main.go", "src0", "src7", "web/page", ""]
     dull = ["tests/data.py", "docs/guide.md", "examples/run.sh", "fixtures/a.json"]
@@ -182,15 +191,21 @@ def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) ->
         "base64": lambda: chars(mixed + "+/", 40), "sk": lambda: "sk-" + chars(mixed, 32), "password": lambda: chars(mixed + "!$%&", int(rng.integers(8, 24))),
         "letters": lambda: pick(["glpat-", "xoxb-", ""]) + chars(upper + upper.lower(), int(rng.integers(18, 32))), "signed": lambda: "eyJ" + ".".join(chars(mixed + "-_", int(k)) for k in rng.integers(20, 60, 3)),
         "address": lambda: chars(mixed + "!$%&", int(rng.integers(8, 24))),
+        "human": lambda: pick([str, str.title])(word(2)) + chars(digits, int(rng.integers(1, 5))) + pick(["", "!", "#", "x!", "$"]), "phrase": lambda: pick("-_.").join(word(2) for _ in range(int(rng.integers(3, 5)))),
     }
     names_of = {
         "commit": ["commit ", "sha1 ", "revision "], "checksum": ["md5 ", "checksum: ", "etag = "], "digest": ["sha256 ", "digest = ", "integrity: "], "words": [""], "uuid": ["uuid ", "id = ", "guid: "],
+        "data": ["src=\"data:image/png;base64,", "url(data:font/woff2;base64,", "data:image/svg+xml;base64,"], "integrity": ["integrity=\"", "integrity: ", "integrity='"], "account": ["IBAN ", "iban: ", "account ", "konto ", ""],
+        "reference": ["token = ", "password: ", "api_key=", "session_key=", "secret: ", "passphrase = "],
         "number": ["order ", "card ", "invoice ", ""], "path": ["", "href="], "placeholder": ["token = ", "password: ", "api_key="], "version": ["version = ", "build ", ""],
     }
     others_of = {
         "commit": lambda: chars(hexes, 40), "checksum": lambda: chars(hexes, 32), "digest": lambda: chars(hexes, 64), "words": lambda: "_".join(pick(DICTIONARY) for _ in range(4)) + chars(digits, 2),
         "uuid": lambda: "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12)), "number": lambda: chars(digits, int(rng.integers(16, 20))), "path": lambda: "/".join(pick(DICTIONARY) for _ in range(4)) + "/" + chars(digits, 3),
         "placeholder": lambda: pick(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "changeme123456", "example_password_1", "placeholder-key-0000", "your-password"]), "version": lambda: "v" + ".".join(chars(digits, 1) for _ in range(3)) + "-" + chars(digits, 10),
+        "data": lambda: pick(["iVBORw0KGgo", "PHN2Zy", "d09GMg", ""]) + chars(mixed + "+/", int(rng.integers(24, 400))) + pick(["", "=", "=="]), "integrity": lambda: pick(["sha256-", "sha384-", "sha512-"]) + chars(mixed + "+/", int(pick([43, 64, 86]))) + pick(["", "=", "=="]),
+        "account": lambda: pick(["DE", "GB", "FR", "NL", "ES", "AT"]) + chars(digits, 2) + pick([lambda: chars(digits, 18), lambda: chars(upper, 4) + chars(digits, 14), lambda: chars(digits, 23)])(),
+        "reference": lambda: pick([lambda: "_".join(word(1).upper() for _ in range(2)) + pick(["_PLACEHOLDER", "_KEY", "_TOKEN", "_HERE"]), lambda: "${" + word(2).upper() + "_TOKEN}", lambda: pick(["process.env.", "os.environ.", "config.get(", "settings."]) + word(2).upper(), lambda: "get_" + word(1) + "()", lambda: "<" + word(1) + "-token>", lambda: "{{" + word(2) + "}}"])(),
     }
     ours, theirs = [k for k in SECRET_KINDS if k not in without], [k for k in OTHER_KINDS if k not in without]
     out = []
@@ -199,7 +214,7 @@ def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) ->
         if i % 2:
             kind = pick(ours)
             value = secrets_of[kind]()
-            name = pick(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "key", "secret_key", "private_key", "pwd"])
+            name = pick(["password", "passphrase", "pwd", "db_password"]) if kind in ("human", "phrase") else pick(["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "key", "secret_key", "private_key", "pwd"])
             before = case(f"{pick(prose)} {name}{pick(['', ' '])}{pick(['=', ':', '= ', ': '])}") + quote
             if kind == "address":
                 before, quote = f"{pick(prose)} {pick(['postgres', 'redis', 'amqp', 'https'])}://{pick(['admin', 'app', 'root', ''])}:", "@"
@@ -209,7 +224,7 @@ def made_findings(n: int = 4_000, seed: int = 5, without: Sequence[str] = ()) ->
             out.append((value, before, quote + ("host/db" if kind == "address" else " " + pick(prose)), pick(paths if rng.random() < 0.9 else dull), 1))
         else:
             kind = pick(theirs)
-            out.append((others_of[kind](), pick(prose) + " " + pick(names_of[kind]) + (quote if kind in ("uuid", "placeholder") else ""), " " + pick(prose), pick(paths + dull), 0))
+            out.append((others_of[kind](), pick(prose) + " " + pick(names_of[kind]) + (quote if kind in ("uuid", "placeholder", "reference") else ""), " " + pick(prose), pick(paths + dull), 0))
     return out
 
 
