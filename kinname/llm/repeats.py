@@ -1,11 +1,13 @@
-"""Passages that repeat across documents, by minimisers and the words around them.
+"""Passages that repeat across documents, by a sparse suffix array.
 
 A passage is a run of PASSAGE words. Each has one minimiser: of the WINDOW runs of RUN words in it, the
-one with the least hash. The content alone selects it, so equal passages have it at the same place.
-The passages of one minimiser follow each other and make its place; places with equal passages are one
-kind. Places whose run of RUN words no other document has are dropped at once. Of a run that has one
-kind only, the kind tells all; where a run has several, the passages of each kind are looked up one by
-one. So it is known of each passage of each document which document is the first that holds it.
+one with the least hash. The content alone selects it, so equal passages have it at the same place, and
+only suffixes at minimisers are kept. The passages of one minimiser follow each other and make its place;
+places with equal passages are one kind and one suffix. Places whose run of RUN words no other document
+has are dropped at once. Of a run that has one kind only, the kind tells all. The suffixes of all others
+are sorted and their neighbours compared, extended to the right in one order and to the left in another
+(see suffixes.py): passages are equal where both sides are in one stretch. So it is known of each passage
+of each document which document is the first that holds it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from kinname.llm.common import bound_batches, boxed, claim, cut, digest_of, few_rows, of_doc, parted, spread, text_or_empty, unboxed
 from kinname.llm.shingles import mix, run_hashes, word_hashes
+from kinname.llm.suffixes import named_passages
 
 #: Words of a passage, of a run, and runs of a window: every passage of PASSAGE words has a minimiser.
 PASSAGE, RUN = 50, 20
@@ -79,22 +82,32 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "id long, digest binary, words int, run array<long>, kind array<long>, start array<int>, count array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
-def _passages(texts: DataFrame) -> DataFrame:
-    """From (text, kinds): the hashes of the passages of these kinds."""
+def _suffixes(texts: DataFrame) -> DataFrame:
+    """From (text, first, id, kinds): each kind's run with the words around it that its passages have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         for batch in few_rows(batches):
-            out: tuple[list, list, list] = [], [], []
-            for text, kinds in zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True):
-                runs, kind, start, count, passages = places(word_hashes(text.split()))
-                each, first = np.unique(kind.view(np.int64), return_index=True)
-                for i in first[np.isin(each, np.array(kinds, np.int64))]:
-                    for column, value in zip(out, (runs.view(np.int64)[i], kind.view(np.int64)[i], passages[start[i] : start[i] + count[i]]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), _lists(out[2], pa.int64())], ["run", "kind", "passages"])
-
-    return texts.mapInArrow(run, "run long, kind long, passages array<long>")
+            own: list = []
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for i, (text, wanted) in enumerate(zip(batch.column("text").to_pylist(), batch.column("kinds").to_pylist(), strict=True)):
+                hashes = word_hashes(text.split())
+                at, kind, start, count = minimisers(hashes)[0], *places(hashes)[1:4]
+                lasts = {k["kind"]: k["last"] for k in wanted}
+                each, place = np.unique(kind.view(np.int64), return_index=True)
+                words = hashes.view(np.int64)
+                for k, p in zip(each.tolist(), place, strict=True):
+                    if k in lasts:
+                        own.append(i)
+                        end = start[p] + count[p] - 1 + PASSAGE
+                        run_of = run_hashes(hashes[at[p] : at[p] + RUN], RUN).view(np.int64)[0]
+                        for column, value in zip(out, (run_of, k, lasts[k], count[p], words[start[p] : at[p]][::-1], words[at[p] + RUN : end]), strict=True):
+                            column.append(value)
+            first, last = (batch.column(c).take(pa.array(own, pa.int64())) for c in ("first", "id"))
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), first, last, pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), _lists(out[4], pa.int64()), _lists(out[5], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["run", "kind", "first", "id", "last", "count", "before", "after"])
+
+    return texts.mapInArrow(run, "run long, kind long, first long, id long, last long, count int, before array<long>, after array<long>")
 
 
 def _met(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,16 +203,16 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = cut(_met(each, shared, ["run"]))
     kinds = cut(members.groupBy("run", "kind").agg(F.min("node").alias("first"), F.min("id").alias("id"), F.max("node").alias("last"), F.first("mixed").alias("mixed"), F.count(F.lit(1)).alias("n")))
 
-    # runs of several kinds: their passages, from the first document of each kind
-    wanted = kinds.where("mixed").groupBy(F.col("first").alias("node")).agg(F.collect_list("kind").alias("kinds"))
+    # runs of several kinds: each kind is a suffix, with the words around it from the kind's first document
+    wanted = kinds.where("mixed").groupBy(F.col("first").alias("node")).agg(F.collect_list(F.struct("kind", "last")).alias("kinds"))
     wanted = cut(wanted.join(nodes.select("node", F.col("digest").alias("_digest"), F.col("id").alias("_id")), "node"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", digest_of(F.col("text")))
     text, _ = parted(text, wanted.select(F.col("_digest").alias("digest"), F.col("_id").alias("id")), ["digest", "id"])
-    found = _passages(text.join(wanted, (text.digest == wanted["_digest"]) & text.id.eqNullSafe(wanted["_id"])).select("text", "kinds"))
-    found = cut(found.join(kinds.select("run", "kind", "first", "id", "last"), ["run", "kind"]))
-    passages = found.select("run", "kind", "first", "id", "last", F.posexplode("passages").alias("at", "passage"))
-    firsts = cut(passages.groupBy("run", "passage").agg(F.min("first").alias("first"), F.min("id").alias("id"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"))
-    parts = _met(passages.select("run", "kind", "at", "passage"), firsts, ["run", "passage"])
+    text = text.join(wanted, (text.digest == wanted["_digest"]) & text.id.eqNullSafe(wanted["_id"])).select("text", F.col("node").alias("first"), "id", "kinds")
+    passages = named_passages(cut(_suffixes(text)), PASSAGE - RUN)
+    name = ["level", "left_name", "right_name"]
+    firsts = cut(passages.groupBy(*name).agg(F.min("first").alias("first"), F.min("id").alias("id"), F.max("last").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"))
+    parts = _met(passages.select("run", "kind", "at", *name), firsts, name)
     parts = parts.groupBy("run", "kind", "first", "id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     part = F.struct("first", "id", "mask")
     parts = parts.groupBy("run", "kind").agg(F.collect_list(part).alias("parts")).join(kinds.select("run", "kind", "n"), ["run", "kind"])
