@@ -34,6 +34,7 @@ class Mode:
     default: bool = False
 
 
+#: The names and labels of the modes.
 MODES = {
     "prefix": Mode("Exact prefix", "Names that start so, in any case.", True),
     "soundex": Mode("Soundex", "Names of the same Soundex code."),
