@@ -196,8 +196,9 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, n_tokens, ids_sha256, text) of token lists, by gathering from an offset table.
 
-    Null ids give nulls; an empty list gives the empty text; ids that the vocabulary lacks count and
-    are digested but add no text. The digest is of the ids as little-endian unsigned 32-bit integers.
+    Null token lists give nulls, a null id stays null, repeated rows are decoded each, an empty table gives
+    an empty one; other columns are left out. An empty list gives the empty text; ids that the vocabulary
+    lacks count and are digested but add no text. The digest is of the ids as little-endian unsigned 32-bit integers.
     """
     source = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = source.schema["id"].dataType

@@ -190,7 +190,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A null text is the empty text; texts of fewer than PASSAGE words have no stretches; a passage that
     repeats within one document only is left alone; rows that share an id but not a text are different
-    documents; an empty table gives an empty one.
+    documents, null ids come after all others; very long texts are read whole; other columns are left out; an empty
+    table gives an empty one.
     """
     bound_batches(docs.sparkSession)
     scanned = cut(_anchors(docs, id_col, text_col))
