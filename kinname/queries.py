@@ -937,11 +937,18 @@ def page_figures(spark, sf_dir):
 _COUNT, _SEED = 20_000, 42
 
 
-def _weights_sql(column: str, to: str) -> str:
+def _slots_sql(column: str, to: str) -> str:
+    """The alias table by joins to the nearest: who lacks finds who gives next, who has given all finds who lacks next."""
     return f"""
+{to}_names AS (
+  SELECT name, k, row_number() OVER (ORDER BY k DESC, name) - 1 AS slot, CAST(count(*) OVER () AS HUGEINT) AS n, CAST(sum(k) OVER () AS HUGEINT) AS w
+  FROM (SELECT upper({column}) AS name, count(*) AS k FROM court_record WHERE length(upper({column})) <= 50 GROUP BY ALL)),
+{to}_up AS (SELECT slot, name, w, sum(k * n - w) OVER (ORDER BY slot ROWS UNBOUNDED PRECEDING) AS x FROM {to}_names WHERE k * n > w),
+{to}_down AS (SELECT slot, name, w, w - k * n AS lack, sum(w - k * n) OVER (ORDER BY slot ROWS UNBOUNDED PRECEDING) AS x FROM {to}_names WHERE k * n < w),
 {to} AS (
-  SELECT name, CAST(sum(n) OVER (ORDER BY n DESC, name ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS cdf
-  FROM (SELECT upper({column}) AS name, count(*) AS n FROM court_record WHERE length({column}) <= 50 GROUP BY ALL))"""
+  SELECT d.slot, d.name, CAST(d.w - lack AS DOUBLE) / CAST(d.w AS DOUBLE) AS share, u.name AS other FROM (SELECT *, x - lack AS x0 FROM {to}_down) d ASOF JOIN {to}_up u ON d.x0 < u.x
+  UNION ALL SELECT u.slot, u.name, CAST(u.w - (d.x - u.x) AS DOUBLE) / CAST(u.w AS DOUBLE), coalesce(v.name, u.name) FROM {to}_up u ASOF JOIN {to}_down d ON u.x <= d.x LEFT JOIN {to}_up v ON v.slot = u.slot + 1
+  UNION ALL SELECT slot, name, 1, name FROM {to}_names WHERE k * n = w)"""
 
 
 def _typo_sql(name: str, kind: str, where: str, letter: str) -> str:
@@ -953,17 +960,18 @@ def _typo_sql(name: str, kind: str, where: str, letter: str) -> str:
 
 
 _EACH = ("i", "member")
-_GENERATED_SQL = _with(_weights_sql("first_name", "fc"), _weights_sql("last_name", "lc"), f"""
+_GENERATED_SQL = _with(_slots_sql("first_name", "fc"), _slots_sql("last_name", "lc"), f"""
+slots AS (SELECT (SELECT count(*) FROM fc)::DOUBLE AS nf, (SELECT count(*) FROM lc)::DOUBLE AS nl),
 draws AS (
-  SELECT i, {_u(_SEED, 'first', 'i')} AS uf, {_u(_SEED, 'last', 'i')} AS ul, {_u(_SEED, 'middle name', 'i')} AS um, md5(concat_ws('-', '{_SEED}', 'person', CAST(i AS VARCHAR))) AS h,
+  SELECT i, {_u(_SEED, 'first', 'i')} * nf AS uf, {_u(_SEED, 'last', 'i')} * nl AS ul, {_u(_SEED, 'middle name', 'i')} * nf AS um, md5(concat_ws('-', '{_SEED}', 'person', CAST(i AS VARCHAR))) AS h,
     CASE WHEN {_u(_SEED, 'nickname', 'i')} < 0.3 THEN ({[list(n) for n in NICKNAMES.values()]})[CAST(floor({_u(_SEED, 'canonical', 'i')} * {len(NICKNAMES)}) AS BIGINT) + 1] END AS nicks,
     CASE WHEN {_u(_SEED, 'cluster', 'i')} < 0.2 THEN greatest(2, least(80, CAST(floor(pow(1 - {_u(_SEED, 'tail', 'i')}, {-1 / generate.TAIL!r}::DOUBLE) - 1) AS BIGINT) + 2)) ELSE 1 END AS size
-  FROM range({_COUNT}) t(i)),
+  FROM range({_COUNT}) t(i), slots),
 people AS (
-  SELECT d.*, coalesce(nicks[CAST(floor({_u(_SEED, 'which', 'i')} * len(nicks)) AS BIGINT) + 1], f.name) AS fn, l.name AS ln, coalesce(nicks, []) AS nicknames,
-    CASE WHEN {_u(_SEED, 'middle', 'i')} < 0.9 THEN CASE WHEN {_u(_SEED, 'full', 'i')} < 0.5 THEN m.name ELSE chr(CAST(65 + floor({_u(_SEED, 'initial', 'i')} * 26) AS INTEGER)) END END AS middle_name,
+  SELECT d.*, coalesce(nicks[CAST(floor({_u(_SEED, 'which', 'i')} * len(nicks)) AS BIGINT) + 1], CASE WHEN uf - f.slot < f.share THEN f.name ELSE f.other END) AS fn, CASE WHEN ul - l.slot < l.share THEN l.name ELSE l.other END AS ln, coalesce(nicks, []) AS nicknames,
+    CASE WHEN {_u(_SEED, 'middle', 'i')} < 0.9 THEN CASE WHEN {_u(_SEED, 'full', 'i')} < 0.5 THEN CASE WHEN um - m.slot < m.share THEN m.name ELSE m.other END ELSE chr(CAST(65 + floor({_u(_SEED, 'initial', 'i')} * 26) AS INTEGER)) END END AS middle_name,
     DATE '2026-01-01' - CAST(floor({_u(_SEED, 'dob', 'i')} * 24455) + 6570 AS INTEGER) AS date_of_birth
-  FROM draws d ASOF JOIN fc f ON d.uf <= f.cdf ASOF JOIN lc l ON d.ul <= l.cdf ASOF JOIN fc m ON d.um <= m.cdf),
+  FROM draws d JOIN fc f ON floor(d.uf)::BIGINT = f.slot JOIN lc l ON floor(d.ul)::BIGINT = l.slot JOIN fc m ON floor(d.um)::BIGINT = m.slot),
 members AS (SELECT *, unnest(range(size)) AS member FROM people),
 hits AS (
   SELECT *, row_number() OVER (ORDER BY i, member) AS id, member > 0 AND {_u(_SEED, 'typo', *_EACH)} < 0.2 AS hit, CAST(floor({_u(_SEED, 'kind', *_EACH)} * 3) AS INTEGER) AS kind,

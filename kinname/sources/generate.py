@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from kinname.schema import MAX_NAME_LENGTH, NICKNAMES
+from kinname.sources.alias import Draws
 
 #: The rates of the generator.
 NICKNAME_RATE, MIDDLE_NAME_RATE, TYPO_RATE, CLUSTER_RATE = 0.30, 0.90, 0.20, 0.20
@@ -32,43 +33,24 @@ def uniform(seed: int, salt: str, *of: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _stretches(names: DataFrame, column: str) -> DataFrame:
-    """(name, count, low, cdf): names in upper case and summed; a name's stretch of [0, 1] is (low, cdf], most frequent names first.
+def _weights(names: DataFrame, column: str) -> DataFrame:
+    """(name, count): names in upper case and summed, without those that are too long for a record."""
+    return names.dropna(subset=[column]).groupBy(F.upper(column).alias("name")).agg(F.sum("count").alias("count")).where(F.length("name") <= MAX_NAME_LENGTH)
+
+
+def weights_cdf(names: DataFrame, column: str) -> DataFrame:
+    """(name, count, cdf): names in upper case and summed, most frequent first; the last cdf is 1.
 
     Running sums are over groups of names of one count and first two letters, and within each group by
     itself: no task sorts the whole vocabulary, and names that occur once are dealt out, too.
     """
-    kept = names.dropna(subset=[column]).groupBy(F.upper(column).alias("name")).agg(F.sum("count").alias("count")).where(F.length("name") <= MAX_NAME_LENGTH)
-    kept = kept.withColumn("_part", F.substring("name", 1, 2))
+    kept = _weights(names, column).withColumn("_part", F.substring("name", 1, 2))
     parts = kept.groupBy("count", "_part").agg(F.sum("count").alias("_sum"))
     until = F.sum("_sum").over(W.orderBy(F.desc("count"), "_part").rowsBetween(W.unboundedPreceding, 0))
     parts = parts.select("count", "_part", (until - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_total"))
     within = F.row_number().over(W.partitionBy("count", "_part").orderBy("name"))
     running = kept.join(parts, ["count", "_part"]).withColumn("_running", F.col("_before") + within * F.col("count"))
-    return running.select("name", "count", ((F.col("_running") - F.col("count")) / F.col("_total")).alias("low"), (F.col("_running") / F.col("_total")).alias("cdf"))
-
-
-def weights_cdf(names: DataFrame, column: str) -> DataFrame:
-    """(name, count, cdf): names in upper case and summed, most frequent first; the last cdf is 1."""
-    return _stretches(names, column).select("name", "count", "cdf").orderBy(F.desc("count"), "name")
-
-
-#: Parts of [0, 1] in which draws meet names.
-_PARTS = 4_096
-
-
-def sampled(rows: DataFrame, stretches: DataFrame, draw: Column, to: str) -> DataFrame:
-    """``rows`` with the name whose stretch the draw falls into, as column ``to``.
-
-    A name stands in each part of [0, 1] that its stretch meets, so a draw looks among the names of its
-    part only. Spark broadcasts a small vocabulary and shuffles a large one.
-    """
-    low = F.when(F.col("low") == 0, F.lit(-1.0)).otherwise(F.col("low"))  # a draw of 0 falls into the first
-    part = lambda x: F.floor(x * _PARTS)
-    table = stretches.where("count > 0").select(F.col("name").alias(to), low.alias("_low"), F.col("cdf").alias("_high"), F.explode(F.sequence(part(F.col("low")), part(F.col("cdf")))).alias("_part"))
-    drawn = rows.withColumn("_draw", draw)
-    hit = (part(F.col("_draw")) == F.col("_part")) & (F.col("_low") < F.col("_draw")) & (F.col("_draw") <= F.col("_high"))
-    return drawn.join(table, hit).drop("_draw", "_low", "_high", "_part")
+    return running.select("name", "count", (F.col("_running") / F.col("_total")).alias("cdf")).orderBy(F.desc("count"), "name")
 
 
 def choice(options: list[str], draw: Column) -> Column:
@@ -82,14 +64,14 @@ def cluster_size(seed: int, identity: Column) -> Column:
     return F.when(uniform(seed, "cluster", identity) < CLUSTER_RATE, tail).otherwise(F.lit(1)).cast("int")
 
 
-def identities(spark: SparkSession, n: int, first: DataFrame, last: DataFrame, seed: int, as_of: date) -> DataFrame:
+def identities(spark: SparkSession, n: int, first: Draws, last: Draws, seed: int, as_of: date) -> DataFrame:
     """``n`` persons: names, date 18 to 85 years before as_of, person id, cluster size, middle name, nicknames."""
     i = F.col("identity")
     u = lambda salt: uniform(seed, salt, i)
     rows = spark.range(n).select(F.col("id").alias("identity"))
-    rows = sampled(rows, first, u("first"), "_first")
-    rows = sampled(rows, last, u("last"), "last_name")
-    rows = sampled(rows, first, u("middle name"), "_full")
+    rows = first.drawn(rows, u("first"), "_first")
+    rows = last.drawn(rows, u("last"), "last_name")
+    rows = first.drawn(rows, u("middle name"), "_full")
     table = F.array(*[F.array(*map(F.lit, nicks)) for nicks in NICKNAMES.values()])
     hexes = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit("person"), i.cast("string")))
     initial = choice([chr(c) for c in range(65, 91)], u("initial"))
@@ -142,9 +124,10 @@ def with_typos(rows: DataFrame, seed: int) -> DataFrame:
 def generate(spark: SparkSession, count: int, forenames: DataFrame, surnames: DataFrame, *, seed: int = 42, as_of: date = date(2026, 1, 1)) -> DataFrame:
     """Exactly ``count`` records with ids from 1, in the order of identities.
 
-    Ids come from running sums of cluster sizes over blocks of identities, not from one sort of all rows.
+    Ids come from running sums of cluster sizes over blocks of identities, not from one sort of all rows. The
+    alias tables of the names are written when this is called.
     """
-    first, last = _stretches(forenames, "forename"), _stretches(surnames, "surname")
+    first, last = Draws(_weights(forenames, "forename")), Draws(_weights(surnames, "surname"))
     block = 4_096
     people = identities(spark, max(count, 1), first, last, seed, as_of).withColumn("_block", F.floor(F.col("identity") / block))
     sizes = spark.range(max(count, 1)).groupBy(F.floor(F.col("id") / block).alias("_block")).agg(F.sum(cluster_size(seed, F.col("id"))).alias("n"))

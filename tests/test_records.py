@@ -1,8 +1,11 @@
 """Sources, the generator's properties, reports, the stream, and every query against its SQL."""
 
+import collections
 import os
+import random
 import shutil
 from datetime import date, timedelta
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kinname import queries
 from kinname.operators import reports
-from kinname.sources import generate, records
+from kinname.sources import alias, generate, records
 from kinname.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
@@ -150,10 +153,38 @@ def test_export_is_bounded(spark, weights):
         records.export(made, 49)
 
 
+def test_alias_table_gives_every_name_its_weight(spark):
+    """Exactly, for one name, equal counts, heavy tails, counts at the mean, many of one count and counts beyond 64 bits of units."""
+    rng = random.Random(5)
+    cases = [[7], [3, 3, 3], [1, 2, 3], [9_000, 1_000, 0], [2, 2, 1, 3, 2], [1] * 9_000 + [50_000, 700, 700, 3], [10**13, 10**12 + 1, *[10**9 + i for i in range(5_000)]]]
+    cases += [[int(rng.paretovariate(1.1)) for _ in range(n)] for n in (2, 5, 40, 3_000)] + [[rng.randint(1, 4) for _ in range(200)]]
+    for case in cases:
+        names = spark.createDataFrame([(f"N{i:05}", c) for i, c in enumerate(case)], "name string, count long")
+        table = alias.alias_table(names).collect()
+        some, w = sum(c > 0 for c in case), sum(case)
+        order = sorted((-c, f"N{i:05}") for i, c in enumerate(case) if c > 0)
+        assert {r.slot: r.name for r in table} == {i: name for i, (_, name) in enumerate(order)} and len(table) == some
+        units = collections.Counter()
+        for r in table:
+            own = round(Fraction(r.share) * w)
+            assert 0 <= r.share <= 1 and (w > 10**12 or abs(own - Fraction(r.share) * w) < Fraction(1, 10**3))
+            units[r.name] += own
+            units[r.other] += w - own
+        wrong = {name: units[name] - c * some for name, c in ((f"N{i:05}", c) for i, c in enumerate(case)) if abs(units[name] - c * some) > (len(case) * w // 2**52)}
+        assert not wrong, (case[:9], wrong)
+
+
+def test_alias_table_without_names(spark):
+    empty = spark.createDataFrame([(None, 5), ("A", 0), ("B", None)], "name string, count long")
+    draws = alias.Draws(empty)
+    assert draws.slots == 0 and draws.drawn(spark.range(5), F.lit(0.5), "n").count() == 0
+
+
 def test_sampled_names_follow_their_weights(spark):
-    names = spark.createDataFrame([("Alpha", 9_000), ("Beta", 1_000), ("None", 0)], "forename string, count long")
-    got = generate.sampled(spark.range(40_000), generate._stretches(names, "forename"), generate.uniform(3, "x", F.col("id")), "n").groupBy("n").count().collect()
+    names = spark.createDataFrame([("ALPHA", 9_000), ("BETA", 1_000), ("NONE", 0)], "name string, count long")
+    draws = alias.Draws(names)
+    got = draws.drawn(spark.range(40_000), generate.uniform(3, "x", F.col("id")), "n").groupBy("n").count().collect()
     counts = {r.n: r["count"] for r in got}
     assert set(counts) == {"ALPHA", "BETA"} and sum(counts.values()) == 40_000 and 3_400 <= counts["BETA"] <= 4_600
-    edges = spark.createDataFrame([(0.0,), (0.9,), (0.9000001,), (0.99999999,)], "u double")
-    assert [r.n for r in generate.sampled(edges, generate._stretches(names, "forename"), F.col("u"), "n").orderBy("u").collect()] == ["ALPHA", "ALPHA", "BETA", "BETA"]
+    edges = spark.createDataFrame([(0.0,), (0.4999,), (0.5,), (0.5999,), (0.6001,), (1 - 2**-52,)], "u double")
+    assert [r.n for r in draws.drawn(edges, F.col("u"), "n").orderBy("u").collect()] == ["ALPHA"] * 2 + ["BETA"] * 2 + ["ALPHA"] * 2
