@@ -1011,7 +1011,8 @@ def batch_sizes(spark, sf_dir):
 @_query("SELECT step, n, low, high, reports FROM (VALUES ('seeded', 3000, 1, 3000, 3), ('more', 3500, 1, 3500, 0), ('flushed', 800, 1, 800, 0)) t(step, n, low, high, reports)")
 def reseeded_table(spark, sf_dir):
     """Seeds, adds after the highest id, and starts again from an empty table; reports only where they are due."""
-    path, weights, out = f"{shared_dir(spark)}/records", _weights(spark, sf_dir), []
+    path, out = f"{shared_dir(spark)}/records", []
+    weights = [generate.draws(names, c) for names, c in zip(_weights(spark, sf_dir), ("forename", "surname"), strict=True)]
     for step, n, args in (("seeded", 3_000, {"flush": True}), ("more", 500, {"seed": 5, "cases": False}), ("flushed", 800, {"flush": True, "cases": False})):
         found = generate.seed_table(spark, path, n, *weights, **args)
         out.append((step, *records.read_records(spark, path).agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first(), len(found)))

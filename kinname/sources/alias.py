@@ -23,6 +23,13 @@ CHUNK = 4_096
 _UNITS = "decimal(38,0)"
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder: what is used several times is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _counts(names: DataFrame) -> DataFrame:
     """(count, first, gap, low, w) of each distinct count: its first slot, a name's units above (below) a slot, and where its names begin to give (lack)."""
     sizes = names.groupBy("count").agg(F.count(F.lit(1)).cast(_UNITS).alias("k")).withColumn("c", F.col("count").cast(_UNITS))
@@ -63,15 +70,15 @@ def alias_table(names: DataFrame) -> DataFrame:
 
     A draw that falls on a slot is the slot's own name with the probability ``share``, else ``other``. Names that
     are null or occur no times (or null times) have no slot; an empty table gives an empty one. Ranks
-    are counted among names of one count and first two letters.
+    are counted among names of one count and first two letters. Names, counts and ranks are written when this is called.
     """
-    kept = names.where("count > 0 AND name IS NOT NULL").select("name", F.col("count").cast("long").alias("count"), F.substring("name", 1, 2).alias("_part"))
-    counts = _counts(kept)
+    kept = _written(names.where("count > 0 AND name IS NOT NULL").select("name", F.col("count").cast("long").alias("count"), F.substring("name", 1, 2).alias("_part")))
+    counts = _written(_counts(kept))
     parts = kept.groupBy("count", "_part").agg(F.count(F.lit(1)).alias("_k"))
     parts = parts.withColumn("_before", F.sum("_k").over(W.partitionBy("count").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_k"))
     parts = parts.join(counts.select("count", "first"), "count").select("count", "_part", (F.col("first") + F.col("_before")).alias("_before"))
     within = F.row_number().over(W.partitionBy("count", "_part").orderBy("name"))
-    named = kept.join(parts, ["count", "_part"]).select((F.col("_before") + within - 1).alias("slot"), "name")
+    named = _written(kept.join(parts, ["count", "_part"]).select((F.col("_before") + within - 1).alias("slot"), "name"))
     others = named.select(F.col("slot").alias("_other"), F.col("name").alias("other"))
     return _places(counts).withColumnRenamed("other", "_other").join(named, "slot").join(others, "_other").select("slot", "name", "share", "other")
 
@@ -80,9 +87,7 @@ class Draws:
     """Names to draw from: their alias table, written once to the shared folder."""
 
     def __init__(self, names: DataFrame):
-        path = f"{shared_dir(names.sparkSession)}/slots"
-        alias_table(names).write.parquet(path)
-        self.table = names.sparkSession.read.parquet(path)
+        self.table = _written(alias_table(names))
         self.slots = self.table.count()
 
     def drawn(self, rows: DataFrame, draw: Column, to: str) -> DataFrame:

@@ -38,6 +38,11 @@ def _weights(names: DataFrame, column: str) -> DataFrame:
     return names.dropna(subset=[column]).groupBy(F.upper(column).alias("name")).agg(F.sum("count").alias("count")).where(F.length("name") <= MAX_NAME_LENGTH)
 
 
+def draws(names: DataFrame | Draws, column: str) -> Draws:
+    """The names ready to be drawn from, as often as one likes."""
+    return names if isinstance(names, Draws) else Draws(_weights(names, column))
+
+
 def weights_cdf(names: DataFrame, column: str) -> DataFrame:
     """(name, count, cdf): names in upper case and summed, most frequent first; the last cdf is 1.
 
@@ -121,13 +126,13 @@ def with_typos(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumns({"first_name": F.when(hit & first, made("first_name")).otherwise(F.col("first_name")), "last_name": F.when(hit & ~first, made("last_name")).otherwise(F.col("last_name"))})
 
 
-def generate(spark: SparkSession, count: int, forenames: DataFrame, surnames: DataFrame, *, seed: int = 42, as_of: date = date(2026, 1, 1)) -> DataFrame:
+def generate(spark: SparkSession, count: int, forenames: DataFrame | Draws, surnames: DataFrame | Draws, *, seed: int = 42, as_of: date = date(2026, 1, 1)) -> DataFrame:
     """Exactly ``count`` records with ids from 1, in the order of identities.
 
     Ids come from running sums of cluster sizes over blocks of identities, not from one sort of all rows. The
-    alias tables of the names are written when this is called.
+    alias tables of the names are written when this is called; names given as ``draws`` have theirs already.
     """
-    first, last = Draws(_weights(forenames, "forename")), Draws(_weights(surnames, "surname"))
+    first, last = draws(forenames, "forename"), draws(surnames, "surname")
     block = 4_096
     people = identities(spark, max(count, 1), first, last, seed, as_of).withColumn("_block", F.floor(F.col("identity") / block))
     sizes = spark.range(max(count, 1)).groupBy(F.floor(F.col("id") / block).alias("_block")).agg(F.sum(cluster_size(seed, F.col("id"))).alias("n"))
@@ -139,7 +144,7 @@ def generate(spark: SparkSession, count: int, forenames: DataFrame, surnames: Da
     return rows.select("id", "first_name", "last_name", "middle_name", "date_of_birth", "nicknames", "person_id")
 
 
-def seed_table(spark: SparkSession, path: str, count: int, forenames: DataFrame, surnames: DataFrame, *, seed: int = 42, as_of: date = date(2026, 1, 1), flush: bool = False, cases: bool | None = None) -> dict:
+def seed_table(spark: SparkSession, path: str, count: int, forenames: DataFrame | Draws, surnames: DataFrame | Draws, *, seed: int = 42, as_of: date = date(2026, 1, 1), flush: bool = False, cases: bool | None = None) -> dict:
     """Generates into a table, in place of what is there with ``flush``, and gives the reports; large seeds skip them unless asked."""
     from kinname.operators import reports
     from kinname.sources.records import exists, read_records, write_records

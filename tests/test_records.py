@@ -55,6 +55,13 @@ def test_generator(spark, weights):
     assert date(2026, 1, 1) - timedelta(days=85 * 365) < ages[0] and ages[1] <= date(2026, 1, 1) - timedelta(days=18 * 365)
 
 
+def test_names_are_made_ready_once(spark, weights):
+    ready = [generate.draws(names, c) for names, c in zip(weights, ("forename", "surname"), strict=True)]
+    assert [generate.draws(x, "forename") is x for x in ready] == [True, True]
+    want = generate.generate(spark, 300, *weights, seed=4).orderBy("id").collect()
+    assert generate.generate(spark, 300, *ready, seed=4).orderBy("id").collect() == want
+
+
 def test_typos(spark):
     rows = [("SMITH", 0, 0.0, "D"), ("SMITH", 1, 0.5, "D"), ("SMITH", 2, 0.25, "D"), ("AB", 0, 0.9, "D"), ("AAA", 0, 0.2, "D"), ("A", 1, 0.0, "D"), ("ZZ", 0, 0.0, "D"), ("SMITH", 2, 0.25, "M")]
     df = spark.createDataFrame(rows, "n string, k int, w double, l string")
