@@ -941,7 +941,7 @@ def _slots_sql(column: str, to: str) -> str:
     """The alias table by joins to the nearest: who lacks finds who gives next, who has given all finds who lacks next."""
     return f"""
 {to}_names AS (
-  SELECT name, k, row_number() OVER (ORDER BY k DESC, name) - 1 AS slot, CAST(count(*) OVER () AS HUGEINT) AS n, CAST(sum(k) OVER () AS HUGEINT) AS w
+  SELECT name, k, row_number() OVER (ORDER BY k DESC, substr(md5(name), 1, 3), name) - 1 AS slot, CAST(count(*) OVER () AS HUGEINT) AS n, CAST(sum(k) OVER () AS HUGEINT) AS w
   FROM (SELECT upper({column}) AS name, count(*) AS k FROM court_record WHERE length(upper({column})) <= 50 GROUP BY ALL)),
 {to}_up AS (SELECT slot, name, w, sum(k * n - w) OVER (ORDER BY slot ROWS UNBOUNDED PRECEDING) AS x FROM {to}_names WHERE k * n > w),
 {to}_down AS (SELECT slot, name, w, w - k * n AS lack, sum(w - k * n) OVER (ORDER BY slot ROWS UNBOUNDED PRECEDING) AS x FROM {to}_names WHERE k * n < w),

@@ -66,13 +66,13 @@ def _places(counts: DataFrame) -> DataFrame:
 
 
 def alias_table(names: DataFrame) -> DataFrame:
-    """(slot, name, share, other) for ``names`` (name, count), each name once: slot 0 has the most frequent name, equal counts go by name.
+    """(slot, name, share, other) for ``names`` (name, count), each name once: slot 0 has the most frequent name, equal counts go by digest and name.
 
     A draw that falls on a slot is the slot's own name with the probability ``share``, else ``other``. Names that
     are null or occur no times (or null times) have no slot; an empty table gives an empty one. Ranks
-    are counted among names of one count and first two letters. Names, counts and ranks are written when this is called.
+    are counted within 4,096 parts of each count, dealt out by digests, so that no task sorts the many names that are rare. Names, counts and ranks are written when this is called.
     """
-    kept = _written(names.where("count > 0 AND name IS NOT NULL").select("name", F.col("count").cast("long").alias("count"), F.substring("name", 1, 2).alias("_part")))
+    kept = _written(names.where("count > 0 AND name IS NOT NULL").select("name", F.col("count").cast("long").alias("count"), F.substring(F.md5("name"), 1, 3).alias("_part")))
     counts = _written(_counts(kept))
     parts = kept.groupBy("count", "_part").agg(F.count(F.lit(1)).alias("_k"))
     parts = parts.withColumn("_before", F.sum("_k").over(W.partitionBy("count").orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_k"))
