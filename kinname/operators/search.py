@@ -40,7 +40,8 @@ def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | Nam
     A request of names never falls back to all rows of a date. A sort is dropped beside the substring
     mode. Edit distance refines the main part, or is its filter if no other mode gives one. With a
     vocabulary, requests with a fuzzy mode judge each distinct name once and join the records to them; with
-    an index of ``records``, names are found by its postings and prefixes in its sorted copies.
+    an index of ``records``, names are found by its postings and prefixes in its sorted copies. Without either,
+    Daitch-Mokotoff codes and trigrams are judged for each distinct name of the records, but those of one date as they are.
     """
     names, dob, modes = request.names, request.date_of_birth, request.modes
     order = "" if "legacy" in modes else request.sort_field
@@ -49,6 +50,8 @@ def plan(records: DataFrame, request: SearchRequest, vocabulary: DataFrame | Nam
     trigram = "trigram" in modes and bool(names)
     limit = RESULT_LIMIT - TRIGRAM_SLOTS if trigram else RESULT_LIMIT
     main = None
+    if vocabulary is None and dob is None and names and V.DEAR & set(modes):
+        vocabulary = V.build(records, "dm" in modes, list(names))
     if vocabulary is not None and names and V.FUZZY & set(modes):
         nearest = trigram and "levenshtein" not in modes and not base
         return _through(records.columns, V.joined(records, vocabulary, request, nearest=nearest), request, order, limit, base, trigram)
