@@ -82,14 +82,15 @@ def nickname_page(records: DataFrame, most: int = 20) -> DataFrame:
 
     A group has one pair at least, so the first ``most`` groups suffice, and of each the first ``most`` records a side.
     """
-    groups = nickname_pair_groups(records).orderBy("canonical", "nickname", "last_name").limit(most).select("canonical", "nickname", "last_name")
-    rows = records.select("id", F.upper("first_name").alias("name"), "last_name", "date_of_birth")
+    found = nickname_pair_groups(records).orderBy("canonical", "nickname", "last_name").limit(most).select("canonical", "nickname", "last_name")
+    groups = records.sparkSession.createDataFrame(found.collect(), found.schema)  # ``most`` rows, found once
+    keys = F.broadcast(groups.select(F.explode(F.array("canonical", "nickname")).alias("name"), "last_name").distinct())
+    rows = records.select("id", F.upper("first_name").alias("name"), "last_name", "date_of_birth").join(keys, ["name", "last_name"], "left_semi")
+    first = F.row_number().over(W.partitionBy("name", "last_name").orderBy("id"))
+    heads = rows.withColumn("_n", first).where(F.col("_n") <= most)
 
     def side(of: str) -> DataFrame:
-        keys = F.broadcast(groups.select(F.col(of).alias("name"), "last_name").distinct())  # ``most`` rows
-        first = F.row_number().over(W.partitionBy("name", "last_name").orderBy("id"))
-        met = rows.join(keys, ["name", "last_name"], "left_semi").withColumn("_n", first).where(F.col("_n") <= most)
-        return met.select(F.col("name").alias(of), "last_name", F.col("id").alias(f"{of}_id"), F.col("date_of_birth").alias(f"{of}_dob"))
+        return heads.select(F.col("name").alias(of), "last_name", F.col("id").alias(f"{of}_id"), F.col("date_of_birth").alias(f"{of}_dob"))
 
     pairs = groups.join(side("canonical"), ["canonical", "last_name"]).join(side("nickname"), ["nickname", "last_name"])
     return pairs.orderBy("canonical", "nickname", "last_name", "canonical_id", "nickname_id").limit(most)

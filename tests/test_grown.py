@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinname import queries
-from kinname.operators import request, search, vocabulary
+from kinname.operators import reports, request, search, vocabulary
 from kinname.operators.request import SearchRequest
 from kinname.sources import records
+from kinname.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 
@@ -68,3 +69,31 @@ def test_dates_that_recur_are_parsed_once():
     assert request._strict_date.cache_info().misses == 2
     a, b = request.parse_modes("prefix,dm"), request.parse_modes("prefix,dm")
     assert a == b == ["prefix", "dm"] and a is not b
+
+
+def test_nickname_page_reads_the_records_once_a_side(spark, tmp_path):
+    rows = spark.range(60).select("id", F.element_at(F.array(*map(F.lit, ["DANIEL", "DAN", "DANNY"])), (F.col("id") % 3 + 1).cast("int")).alias("first_name"), F.lit("N").alias("last_name"), F.lit(date(1990, 1, 1)).alias("date_of_birth"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    page = reports.nickname_page(spark.read.parquet(str(tmp_path / "rows")), 7)
+    assert _plan(page).count("FileScan") == 2  # equal ones, of which one runs
+    assert [(r.canonical, r.nickname, r.canonical_id, r.nickname_id) for r in page.collect()] == [("DANIEL", "DAN", 0, 1 + 3 * i) for i in range(7)]
+
+
+def test_small_files_have_small_filters(spark, tmp_path):
+    records.write_records(records.complete(_people(spark).where("last_name IS NOT NULL")).coalesce(1), str(tmp_path / "t"), rows_a_file=100)
+    assert max(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 32_000
+
+
+def test_vocabulary_of_a_batch_is_that_of_its_files(spark, tmp_path):
+    """The batch itself, of which each run differs here, runs once."""
+    batch = records.complete(_people(spark, 50).withColumn("last_name", F.uuid()))
+    ingest.append(batch, str(tmp_path / "t"), str(tmp_path / "n"))
+    table, names = records.read_records(spark, str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "n"))
+    assert {r.name for r in names.collect()} == {r[0] for r in table.select(F.explode(F.array("first_name", "last_name"))).collect()}
+    ingest.append(table, str(tmp_path / "u"), str(tmp_path / "n"))
+    assert names.count() == spark.read.parquet(str(tmp_path / "n")).count()
+
+
+def test_stored_records_are_dealt_while_narrow(spark):
+    plan = _plan(queries._dealt(spark, DATA))
+    assert "md5" in plan[: plan.index("Exchange")] and "md5" not in plan[plan.index("Exchange") :]
