@@ -21,12 +21,13 @@ def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream:
     spark = batch.sparkSession
     part = f"{table}/stream={stream}/batch={batch_id}"
     batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(part)
+    written = spark.read.schema(RECORD).parquet(part)  # cheaper than the batch again
     if counts:
-        DayCounts(spark, counts).add(spark.read.schema(RECORD).parquet(part), f"{stream}-{batch_id}")
-    fresh = vocabulary.build(batch)
-    if exists(spark, names):
+        DayCounts(spark, counts).add(written, f"{stream}-{batch_id}")
+    fresh = vocabulary.distinct_names(written)
+    if exists(spark, names):  # before the codes, which are dear, are made
         fresh = fresh.join(spark.read.parquet(names).select("name"), "name", "left_anti")
-    fresh.write.mode("append").parquet(names)
+    vocabulary.coded(fresh).write.mode("append").parquet(names)
 
 
 def start(stream: DataFrame, table: str, names: str, checkpoint: str, counts: str | None = None) -> StreamingQuery:
