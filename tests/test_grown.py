@@ -97,3 +97,7 @@ def test_vocabulary_of_a_batch_is_that_of_its_files(spark, tmp_path):
 def test_stored_records_are_dealt_while_narrow(spark):
     plan = _plan(queries._dealt(spark, DATA))
     assert "md5" in plan[: plan.index("Exchange")] and "md5" not in plan[plan.index("Exchange") :]
+
+
+def test_texts_of_dates_are_parsed_apart_from_records(spark):
+    assert "MapInArrow" not in _plan(queries.reference_dates(spark, DATA))
