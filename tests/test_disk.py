@@ -60,6 +60,10 @@ def test_a_soundex_query_writes_what_it_asks(spark, monkeypatch):
     assert _tables(spark, ["soundex"], monkeypatch) == {"names", "sounds", "by_last"} and not kept
 
 
+def test_a_merged_query_writes_what_it_asks(spark, monkeypatch):
+    assert _tables(spark, ["prefix", "trigram"], monkeypatch) == {"names", "grams", "by_last"}
+
+
 def test_an_index_leaves_no_shuffle_files(spark, rows):
     before = _shuffles(spark)
     index = NameIndex(spark, f"{shared_dir(spark)}/index").build(rows)
