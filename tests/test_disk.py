@@ -64,6 +64,15 @@ def test_a_merged_query_writes_what_it_asks(spark, monkeypatch):
     assert _tables(spark, ["prefix", "trigram"], monkeypatch) == {"names", "grams", "by_last"}
 
 
+def test_a_trigram_query_adds_what_an_earlier_one_has_not(spark, monkeypatch):
+    assert _tables(spark, ["trigram"], monkeypatch) == {"names", "grams", "by_last"}
+    written = []
+    monkeypatch.setattr(NameIndex, "_put", lambda self, rows, table, append: written.append(table))
+    queries._index(spark, DATA, ["trigram", "soundex"])
+    queries._index(spark, DATA, ["soundex"])
+    assert written == ["sounds"]
+
+
 def test_an_index_leaves_no_shuffle_files(spark, rows):
     before = _shuffles(spark)
     index = NameIndex(spark, f"{shared_dir(spark)}/index").build(rows)
