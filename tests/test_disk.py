@@ -9,6 +9,8 @@ from kinname import queries
 from kinname.operators.index import TABLES, NameIndex
 from kinname.operators.request import SearchRequest
 from kinname.operators.search import search
+from kinname.plans import figures
+from kinname.sources import records
 from kinname.sources.shared import shared_dir
 
 DATA = "/root/testdata/sf0.001"
@@ -79,3 +81,31 @@ def test_an_index_leaves_no_shuffle_files(spark, rows):
     index.build(rows.where("id < 5"), append=True)
     assert _shuffles(spark) <= before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_stored_records_are_packed(spark, tmp_path):
+    """Persons of many rows stand once in a row group, not once a row; the rows are those that were written."""
+    made = records.complete(spark.range(60_000).select("id", F.concat(F.lit("N"), F.col("id") % 30_000).alias("first_name"), F.lit("L").alias("last_name"), F.lit(date(1990, 1, 1)).alias("date_of_birth"))).coalesce(1)
+    records.write_records(made, str(tmp_path / "t"))
+    assert sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) < 35 * 60_000
+    table = records.read_records(spark, str(tmp_path / "t"))
+    assert table.orderBy("id").collect() == made.orderBy("id").collect()
+    person = made.where("id = 7").first()["person_id"]
+    assert sorted(r["id"] for r in records.of_person(table, person).collect()) == [7, 30_007]
+    df = records.of_person(table, "nobody")
+    assert df.collect() == [] and figures.scanned(df)[0] == 0
+
+
+def test_stored_records_are_sorted_where_they_are_made(spark, monkeypatch):
+    plans, write = [], records.write_records
+
+    def seen(rows, *args, **more):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() <= 32 << 20
+        write(rows, *args, **more)
+
+    monkeypatch.setattr(records, "write_records", seen)
+    before = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    assert queries.stored_records(spark, DATA).count() == queries.record_count(spark, DATA).first()[0]
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+    assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() == before
