@@ -8,7 +8,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from kinname.operators import vocabulary
 from kinname.operators.day_counts import DayCounts
 from kinname.schema import RECORD
-from kinname.sources.records import exists
+from kinname.sources.records import PACKED, ROW_GROUP, exists
+from kinname.sources.shared import no_shuffles_left
 
 
 def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream: str = "once", counts: str | None = None) -> None:
@@ -20,14 +21,16 @@ def append(batch: DataFrame, table: str, names: str, batch_id: int = 0, stream:
     """
     spark = batch.sparkSession
     part = f"{table}/stream={stream}/batch={batch_id}"
-    batch.select([f.name for f in RECORD]).write.mode("overwrite").parquet(part)
+    writer = batch.select([f.name for f in RECORD]).write.mode("overwrite").options(**PACKED)
+    writer.option("parquet.block.size", str(ROW_GROUP)).parquet(part)
     written = spark.read.schema(RECORD).parquet(part)  # cheaper than the batch again
     if counts:
         DayCounts(spark, counts).add(written, f"{stream}-{batch_id}")
     fresh = vocabulary.distinct_names(written)
     if exists(spark, names):  # before the codes, which are dear, are made
         fresh = fresh.join(spark.read.parquet(names).select("name"), "name", "left_anti")
-    vocabulary.coded(fresh).write.mode("append").parquet(names)
+    with no_shuffles_left(spark):  # each batch makes some
+        vocabulary.coded(fresh).write.mode("append").option("compression", "zstd").parquet(names)
 
 
 def start(stream: DataFrame, table: str, names: str, checkpoint: str, counts: str | None = None) -> StreamingQuery:

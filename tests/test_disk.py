@@ -109,3 +109,19 @@ def test_stored_records_are_sorted_where_they_are_made(spark, monkeypatch):
     assert queries.stored_records(spark, DATA).count() == queries.record_count(spark, DATA).first()[0]
     assert len(plans) == 3 and not any("Exchange" in p for p in plans)
     assert spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() == before
+
+
+def test_streamed_records_keep_nothing_twice(spark, monkeypatch, tmp_path):
+    """No second table of all records, and what a stream has read goes; each batch leaves no shuffle files."""
+    folder = tmp_path / "streamed"
+    monkeypatch.setattr(queries, "shared_dir", lambda s: str(folder))
+    monkeypatch.setattr(queries, "_kept", None)
+    before = _shuffles(spark)
+    got = queries.streamed_records(spark, DATA)
+    assert _shuffles(spark) <= before
+    want = queries._flat(records.complete(queries._records(spark, DATA)).select(got.columns))
+    assert got.orderBy("id").collect() == want.orderBy("id").collect()
+    assert {p.name for p in folder.iterdir()} == {"records", "names", "in", "checkpoint1", "checkpoint2"}
+    assert not list((folder / "in").glob("**/part-*"))
+    files = list(folder.glob("records/**/*.parquet"))
+    assert sum(f.stat().st_size for f in files) < 25 * got.count() and any("stream=" in str(f) for f in files)
